@@ -4,7 +4,8 @@ Documents longer than a sequence are cut from the end into whole sequences, so
 only their first piece is shorter. Pieces are dealt into groups of bounded size
 by a hash; each group is packed by one task. There pieces go longest first,
 and each goes where the sum of the squared counts of open sequences per
-remaining gap becomes smallest, a new sequence included.
+remaining gap becomes smallest. A new sequence is opened only where no open
+one has room: with new ones allowed at any time, 1 % more sequences were used.
 """
 
 from __future__ import annotations
@@ -33,15 +34,14 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     of_gap: list[list[int]] = [[] for _ in range(capacity + 1)]
     bins, offsets, used = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0
     for k, s in enumerate(lengths.tolist()):
-        # from gap g to g - s the sum changes by 2 (N[g-s] - N[g] + 1); at g = s by 1 - 2 N[s]; a new bin by 2 N[capacity-s] + 1
+        # from gap g to g - s the sum changes by 2 (N[g-s] - N[g] + 1); at g = s by 1 - 2 N[s]
         have = open_bins[s:capacity]
         change = 2 * (open_bins[: capacity - s] - have + 1)
-        new = 2 * int(open_bins[capacity - s]) + 1 if s < capacity else 0
         if len(change):
             change[0] = 1 - 2 * have[0]
             change[have == 0] = np.iinfo(np.int64).max
             best = int(change.argmin())  # the tightest of equals
-        if len(change) and have[best] and change[best] <= new:
+        if len(change) and have[best]:
             gap = s + best
             b = of_gap[gap].pop()
             open_bins[gap] -= 1
