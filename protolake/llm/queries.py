@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from protolake.llm.licenses import OP6_SQL, op6_license_scan
 from protolake.llm.packing import op5_best_fit_packing
+from protolake.llm.quality import OP9_SQL, op9_quality_rules
 from protolake.llm.separators import op8_separator_scan
 from protolake.llm.token_files import op4_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_license_scan": op6_license_scan,
     "op8_separator_scan": op8_separator_scan,
+    "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_license_scan": OP6_SQL,
+    "op9_quality_rules": OP9_SQL,
+}
