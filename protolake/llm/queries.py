@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from protolake.llm.langid import op10_language_id
 from protolake.llm.licenses import OP6_SQL, op6_license_scan
 from protolake.llm.packing import op5_best_fit_packing
 from protolake.llm.quality import OP9_SQL, op9_quality_rules
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_license_scan": op6_license_scan,
     "op8_separator_scan": op8_separator_scan,
     "op9_quality_rules": op9_quality_rules,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {
