@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_rows(df: DataFrame, label: str, per_label: int, most_labels: int, id_column: str = "doc_id", most_chars: int = 4000):
-    """A bounded sample of labelled rows off the held-out fold: (texts, labels), in the order of a hash.
+def labelled_rows(df: DataFrame, label: str, per_label: int | dict, most_labels: int, id_column: str = "doc_id", most_chars: int = 4000):
+    """A bounded sample of labelled rows off the held-out fold: (texts, labels, rows of each label), in the order of a hash.
 
-    At most ``per_label`` rows for each of the ``most_labels`` most frequent labels, and of longer
+    At most ``per_label`` rows (a number, or one by label) for each of the ``most_labels`` most frequent labels, and of longer
     texts a run of ``most_chars`` characters from a place that a hash chooses; both bounds hold for
     training only.
     """
@@ -17,13 +17,14 @@ def labelled_rows(df: DataFrame, label: str, per_label: int, most_labels: int, i
     counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()
     parts = []
     for value, n in sorted((r[0], r[1]) for r in counts):
+        most = per_label[value] if isinstance(per_label, dict) else per_label
         mine = rows.filter(F.col(label) == F.lit(value))
-        if n > 3 * per_label:  # a hash thins the rows before the sort
-            mine = mine.filter(F.pmod(F.xxhash64(F.col(id_column), F.lit("sample")), F.lit(n)) < 2 * per_label)
-        picked = mine.select(F.substring(F.col("text"), 1 + F.pmod(F.xxhash64(F.col(id_column), F.lit("place")), F.greatest(F.lit(1), F.length("text") - most_chars + 1)).cast("int"), F.lit(most_chars)).alias("text"), F.xxhash64(F.col(id_column), F.lit("order")).alias("h")).orderBy("h", "text").limit(per_label).collect()
+        if n > 3 * most:  # a hash thins the rows before the sort
+            mine = mine.filter(F.pmod(F.xxhash64(F.col(id_column), F.lit("sample")), F.lit(n)) < 2 * most)
+        picked = mine.select(F.substring(F.col("text"), 1 + F.pmod(F.xxhash64(F.col(id_column), F.lit("place")), F.greatest(F.lit(1), F.length("text") - most_chars + 1)).cast("int"), F.lit(most_chars)).alias("text"), F.xxhash64(F.col(id_column), F.lit("order")).alias("h")).orderBy("h", "text").limit(most).collect()
         parts += [(r["h"], r["text"], value) for r in picked]
     parts.sort(key=lambda x: (x[0], x[1]))
-    return [x[1] for x in parts], [x[2] for x in parts]
+    return [x[1] for x in parts], [x[2] for x in parts], {r[0]: r[1] for r in counts}
 
 
 def is_held_out(doc_id: Column) -> Column:

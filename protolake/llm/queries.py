@@ -12,8 +12,10 @@ from protolake.llm.packing import op5_best_fit_packing
 from protolake.llm.quality import OP9_SQL, op9_quality_rules
 from protolake.llm.separators import op8_separator_scan
 from protolake.llm.token_files import op4_token_files
+from protolake.llm.toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op4_token_files": op4_token_files,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_license_scan": op6_license_scan,
