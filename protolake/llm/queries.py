@@ -12,6 +12,7 @@ from protolake.llm.packing import op5_best_fit_packing
 from protolake.llm.quality import OP9_SQL, op9_quality_rules
 from protolake.llm.separators import op8_separator_scan
 from protolake.llm.token_files import op4_token_files
+from protolake.llm.topk import OP7_SQL, op7_top_k
 from protolake.llm.toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_license_scan": op6_license_scan,
+    "op7_top_k": op7_top_k,
     "op8_separator_scan": op8_separator_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
@@ -26,5 +28,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op6_license_scan": OP6_SQL,
+    "op7_top_k": OP7_SQL,
     "op9_quality_rules": OP9_SQL,
 }
