@@ -1,21 +1,74 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that the stage
+before kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from protolake.llm.langid import fit_languages, identify
+from protolake.llm.minhash import near_duplicates
+from protolake.llm.mixing import mix, taken
 from protolake.llm.packing import pack_documents
 from protolake.llm.storage import scratch
+from protolake.llm.toxicity import fit_toxicity, score_toxicity
+
+
+def _whole_rows(docs: DataFrame) -> DataFrame:
+    """text beside the whole row, so that no column of a row can clash with an operator's."""
+    return docs.select(F.struct("*").alias("row"), "text")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted toxic go."""
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_toxicity(_whole_rows(docs), model).filter("predicted = 0").select("row.*")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose best language is below the rejection level, go."""
+    return identify(_whole_rows(docs), fit_languages(docs)).filter("accepted").select("row.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each component stays, once; rows without doc_id stay."""
+    kept = near_duplicates(docs).filter("kept").groupBy("doc_id").agg(F.count("*").alias("_n")).withColumnRenamed("doc_id", "_id")
+    named = docs.join(kept, docs["doc_id"] == kept["_id"])
+    once = named.filter("_n = 1").drop("_n", "_id")
+    repeated = named.filter("_n > 1").withColumn("_k", F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("text")))).filter("_k = 1").drop("_n", "_id", "_k")
+    return once.unionByName(repeated).unionByName(docs.filter("doc_id is null"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times, rounded, as the mix takes its words: none, one or two."""
+    shares = taken(*mix(docs)).filter("taken > 0").select("doc_id", "source", F.round(F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    copies = shares.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    met = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]) & docs["source"].eqNullSafe(copies["_source"]))
+    # rows that share doc_id and source (there are none behind the dedup stage, but for null ids) share their copies
+    each = F.greatest(F.lit(0), F.least(F.lit(2), F.round(F.col("_copies") / F.col("_rows")))).cast("int")
+    return met.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), each))).drop("_id", "_source", "_copies", "_rows", "_copy")
 
 
-def packed(spark, docs, sf_dir):
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs).drop("row_id")
 
 
-STAGES = [("best-fit packing", packed)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("language ID", language_id),
+    ("near-duplicates", near_dedup),
+    ("source mix", source_mix),
+    ("best-fit packing", best_fit_packing),
+]
 
+#: Trained models, signatures and packing have no SQL form; tests/llm holds brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         path = scratch(spark, f"stage-{k}")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from protolake.llm.langid import op10_language_id
 from protolake.llm.licenses import OP6_SQL, op6_license_scan
+from protolake.llm.minhash import op3_minhash_dedup
 from protolake.llm.mixing import op2_source_mix
 from protolake.llm.packing import op5_best_fit_packing
 from protolake.llm.quality import OP9_SQL, op9_quality_rules
@@ -19,6 +20,7 @@ from protolake.llm.toxicity import op1_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_source_mix": op2_source_mix,
+    "op3_minhash_dedup": op3_minhash_dedup,
     "op4_token_files": op4_token_files,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_license_scan": op6_license_scan,
