@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -76,23 +77,31 @@ class PieceEncoder:
     literal: the special token's name in a text is ordinary text; else it gives the special id.
     """
 
-    def __init__(self, path: str | None = None, literal: bool = False, max_pieces: int = 1_500_000):
+    def __init__(self, path: str | None = None, literal: bool = False, max_pieces: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
-        path = path or tokenizer_path()
-        self.whole = Tokenizer.from_file(path)
-        self.by_piece = Tokenizer.from_file(path)
+        self.path = path or tokenizer_path()
+        self.by_piece = Tokenizer.from_file(self.path)
         self.by_piece.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.literal = self.whole.encode_special_tokens = literal
+        self.literal = literal
         self.max_pieces = max_pieces
         self._forget()
 
+    @cached_property
+    def whole(self):
+        """The tokenizer as it is; loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(self.path)
+        whole.encode_special_tokens = self.literal
+        return whole
+
     def _forget(self) -> None:
         self.hashes = np.zeros(0, np.uint64)  # sorted
-        self.places = np.zeros(0, np.int64)  # of those in starts and lengths
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
+        self.places = np.zeros(0, np.int32)  # of those in starts and lengths
+        self.starts = np.zeros(0, np.int32)
+        self.lengths = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
     def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
@@ -101,12 +110,12 @@ class PieceEncoder:
             part = pieces[k : k + 1000]
             got = self.by_piece.encode_batch([part], is_pretokenized=True, add_special_tokens=False)[0]
             ids.append(np.array(got.ids, np.uint32))
-            lengths.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)))
+            lengths.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)).astype(np.int32))
         known = len(self.lengths)
         self.ids, self.lengths = np.concatenate(ids), np.concatenate(lengths)
-        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.starts = (np.cumsum(self.lengths, dtype=np.int64) - self.lengths).astype(np.int32)
         every = np.concatenate([self.hashes, hashes])
-        places = np.concatenate([self.places, np.arange(known, known + len(hashes))])
+        places = np.concatenate([self.places, np.arange(known, known + len(hashes), dtype=np.int32)])
         order = np.argsort(every, kind="stable")
         self.hashes, self.places = every[order], places[order]
 
@@ -154,8 +163,8 @@ class PieceEncoder:
             self._learn(hashes[~found], [text[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist())])
             places, _ = self._find(hashes)
         pieces = places[codes]
-        lengths = self.lengths[pieces]
-        flat = self.ids[ragged(self.starts[pieces], lengths)]
+        lengths = self.lengths[pieces].astype(np.int64)
+        flat = self.ids[ragged(self.starts[pieces].astype(np.int64), lengths)]
         counts = np.bincount(owner, lengths, len(texts)).astype(np.int64)
         if beyond.any():
             cuts = np.concatenate([[0], np.cumsum(counts)])

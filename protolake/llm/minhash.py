@@ -91,7 +91,7 @@ def sign(df: DataFrame) -> DataFrame:
     """doc_id, n_shingles, fingerprint (f1, f2), band hashes and the minima's low bytes; null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batch_chunks(batches, "text", 4_000_000):
+        for batch in batch_chunks(batches, "text", 2_000_000):
             code, offsets = shingle_sets(batch.column("text"))
             sizes = np.diff(offsets)
             full = sizes > 0
