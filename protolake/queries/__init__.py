@@ -1,4 +1,6 @@
 """Registered queries of the document operators, and their DuckDB equivalents."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from protolake.queries import text
+
+QUERIES = {**text.QUERIES}
+ORACLES = {**text.ORACLES}
