@@ -51,7 +51,7 @@ def remove_headers_footers(docs: DataFrame, repeats: int = 2, width: int = 80) -
     def kept(s: Column) -> Column:
         # sorted runs give each line's count without a quadratic search
         often = lambda o: F.array_distinct(F.filter(o, lambda x, i: (x != "") & (F.length(x) < width) & F.coalesce(F.get(o, i + repeats) == x, F.lit(False))))
-        return F.transform(F.array(F.transform(F.array(F.array_sort(F.transform(s, F.trim))), often)[0]), lambda bad: F.filter(s, lambda x: ~F.array_contains(bad, F.trim(x))))[0]
+        return F.transform(F.array(F.transform(F.array(F.array_sort(F.transform(s, lambda x: F.trim(x)))), often)[0]), lambda bad: F.filter(s, lambda x: ~F.array_contains(bad, F.trim(x))))[0]
 
     out = F.transform(F.array(split), kept)[0]
     return docs.select("doc_id", (F.size(split) - F.size(out)).cast("int").alias("dropped"), F.md5(F.array_join(out, "\n")).alias("digest"))

@@ -1,6 +1,6 @@
 """Registered queries of the document operators, and their DuckDB equivalents."""
 
-from protolake.queries import text
+from protolake.queries import extract, text
 
-QUERIES = {**text.QUERIES}
-ORACLES = {**text.ORACLES}
+QUERIES = {**text.QUERIES, **extract.QUERIES}
+ORACLES = {**text.ORACLES, **extract.ORACLES}
