@@ -3,13 +3,15 @@
 1. Each text's set of five-word shingles gives a signature of 128 minima, 32 band
    hashes of four minima each, and a fingerprint. Equal sets are one class from then on.
 2. Classes that share a band are candidates. In a bucket each class is paired
-   with the bucket's least one, so a bucket of n classes gives n - 1 pairs.
+   with one leader, the class that shares most bands with others, so a bucket of
+   n classes gives n - 1 pairs.
 3. Signatures of a pair are compared 16 minima at a time; the pair is pruned when
    the posterior chance of a similarity at the threshold or above falls under
    the miss probability. Survivors are verified on their full sets.
 4. Verified pairs make components. Buckets that still hold classes of several
-   components give the pairs between them that were not tried, and steps 3 and 4
-   are repeated on those: no pair of a bucket stays unjudged unless already connected.
+   components get other leaders, twice, for the classes of other components than
+   the leader's; then all pairs between components that were not tried, each time
+   with step 3: no pair of a bucket stays unjudged unless already connected.
 
 With 32 bands of four minima, a pair at similarity 0.75 shares no band with
 probability 5e-6, at 0.85 with 1e-10.
@@ -159,6 +161,18 @@ def prune(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(sig("b", "sb"), "b").join(sig("a", "sa"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def among(docs: DataFrame, ids: DataFrame, most_bits: int = 1 << 26) -> DataFrame:
+    """Rows of docs whose doc_id is in ids (distinct). Others are sifted out before the shuffle by a bitmap of hashed ids, whose size is bounded."""
+    bits = 1 << 15
+    while bits < min(most_bits, 16 * ids.count()):
+        bits *= 2
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    maps = ids.select(spot("doc_id").alias("h")).groupBy(F.floor(F.col("h") / 32768).alias("part")).agg(F.expr("bitmap_construct_agg(h % 32768)").alias("map"))
+    held = docs.withColumn("_h", spot("doc_id")).withColumn("part", F.floor(F.col("_h") / 32768)).join(F.broadcast(maps), "part")
+    byte = F.conv(F.hex(F.substring("map", (F.col("_h") % 32768 / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    return held.filter(F.getbit(byte, (F.col("_h") % 8).cast("int")) == 1).drop("_h", "part", "map").join(ids, "doc_id")
+
+
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Stored pairs (a, b) of documents whose full sets reach the threshold."""
 
@@ -174,7 +188,7 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     good.append(100 * both >= PERCENT * (len(p) + len(q) - both) and both > 0)
                 yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    needed = stored(docs.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id"), "minhash-texts")
+    needed = stored(among(docs, stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "minhash-needed")), "minhash-texts")
     text = lambda k, t: needed.select(F.col("doc_id").alias(k), F.col("text").alias(t))
     return pairs.join(text("b", "tb"), "b").join(text("a", "ta"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
@@ -220,19 +234,31 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     linked = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = stored(linked.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "minhash-classes")
     buckets = classes.select("id", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     in_shared = stored(buckets.join(shared, "bucket"), "minhash-buckets")
-    first = stored(in_shared.filter("id <> a").select("a", F.col("id").alias("b")).distinct(), "minhash-pairs")
-    links = stored(verify(stored(prune(first, classes), "minhash-survivors"), docs), "minhash-links")
+    weights = in_shared.groupBy("id").agg(F.sum("n").alias("weight"))
+    central = in_shared.join(weights, "id").groupBy("bucket").agg((-F.max(F.struct("weight", (-F.col("id")).alias("id")))["id"]).alias("leader"))
+    tried = stored(in_shared.join(central, "bucket").filter("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), "minhash-pairs")
+    links = stored(verify(stored(prune(tried, classes), "minhash-survivors"), docs), "minhash-links")
     grouped = components(links)
-    # buckets of three classes or more that still hold several components
-    labelled = in_shared.filter("n > 2").join(grouped, "id", "left").select("bucket", "n", "id", F.coalesce("component", "id").alias("component"))
-    mixed_up = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-    rest = labelled.join(mixed_up, "bucket").join(classes.select("id", "sig"), "id")
-    more = stored(across(rest).join(first, ["a", "b"], "left_anti"), "minhash-more")
-    if not more.isEmpty():
-        links = links.unionByName(verify(more, docs))
-        grouped = components(links)
+    for turn in range(3):
+        # buckets of three classes or more that still hold several components
+        labelled = in_shared.filter("n > 2").join(grouped, "id", "left").select("bucket", "n", "id", F.coalesce("component", "id").alias("component"))
+        ends = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "component")).alias("leader"))
+        rest = stored(labelled.join(ends.filter("low < high").select("bucket", F.col("leader.id").alias("leader"), F.col("leader.component").alias("led")), "bucket"), "minhash-rest")
+        if turn < 2:
+            met = rest.filter("component <> led").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+            new = stored(met.join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
+            tried = tried.unionByName(new)
+            more = stored(prune(new, classes), "minhash-survivors")
+        else:
+            more = stored(across(rest.join(classes.select("id", "sig"), "id")).join(tried, ["a", "b"], "left_anti"), "minhash-survivors")
+        if more.isEmpty():
+            continue
+        found = stored(verify(more, docs), "minhash-links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            grouped = components(links)
     of_class = classes.select("f1", "f2", "id").join(grouped, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("of_class"))
     out = signed.select("doc_id", "n_shingles", "f1", "f2").join(of_class, ["f1", "f2"], "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("of_class", "doc_id"))
