@@ -71,7 +71,7 @@ def scan_flat_files(files: DataFrame, end_id: int = END_ID, block_bytes: int = 4
     n = files.agg(F.sum(F.ceil(F.col("n_bytes") / block_bytes))).first()[0] or 1
     found = stored(blocks.repartition(int(n)).mapInArrow(scan, "path string, block long, ends array<long>"), "ends")
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = found.select("path", "block", F.size("ends").alias("n"), F.element_at("ends", -1).alias("last")).select(
+    carried = found.select("path", "block", F.size("ends").alias("n"), F.try_element_at("ends", F.lit(-1)).alias("last")).select(
         "path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.coalesce(F.max("last").over(before), F.lit(-1).cast("long")).alias("carry"))
     stitched = found.join(carried, ["path", "block"])
     each = stitched.select("path", "base", F.posexplode(F.arrays_zip(F.col("ends").alias("stop"), F.concat(F.array("carry"), F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0)))).alias("prior"))))
