@@ -98,8 +98,13 @@ def pairs_sql(entities: str) -> str:
 
 
 def _cue(text: Column) -> Column:
-    hits = [F.when(F.rlike(text, F.lit(r"\b(?:" + "|".join(cs) + r")\b")), F.lit(x)) for x, cs in RELATION_CUES.items()]
-    return F.get(F.array_compact(F.array(*hits)), F.lit(0))
+    """The first type in order of which a cue stands in the text: one pass finds all cues, longest first; a cue also counts for the types whose cues are among its words."""
+    types = list(RELATION_CUES)
+    cues = sorted({c for cs in RELATION_CUES.values() for c in cs}, key=lambda c: (-len(c), c))
+    order = {c: min(k for k, x in enumerate(types) if any(f" {y} " in f" {c} " for y in RELATION_CUES[x])) for c in cues}
+    table = F.create_map(*[F.lit(v) for c in cues for v in (c, order[c])])
+    found = F.regexp_extract_all(text, F.lit(r"\b(" + "|".join(cues) + r")\b"), F.lit(1))
+    return F.get(F.array(*[F.lit(x) for x in types]), F.array_min(F.transform(found, lambda c: F.element_at(table, c))))
 
 
 def classify_relations(pairs: DataFrame, texts: DataFrame, margin: int = 50, least: float = 0.5) -> DataFrame:
