@@ -102,27 +102,33 @@ def partial_ratio(a: str, b: str) -> float:
     return max((indel_ratio(short, w) for w in windows if w), default=100.0 if not long else 0.0)
 
 
-def ratio_top1(terms: DataFrame, cutoffs: tuple[float, float, float] = (90, 95, 85)) -> DataFrame:
-    """terms: distinct (system, term); the best of ratio, partial ratio and token-sort ratio above their cutoffs; the earlier scorer and the earlier concept win ties."""
+def _string_match(cutoffs: tuple[float, float, float]):
+    """(system, term) -> (near, code, display, score, scorer) or None, over the dictionary of the system."""
     table: dict[str, list[tuple[str, str, str]]] = {}
     for s, term, code, display, _, _ in concepts():
         table.setdefault(s, []).append((term, code, display))
 
-    def best(batches):
+    def best(system: str, term: str):
+        found = None
+        for name, scorer, cutoff in (("ratio", indel_ratio, cutoffs[0]), ("partial_ratio", partial_ratio, cutoffs[1]), ("token_sort_ratio", token_sort_ratio, cutoffs[2])):
+            top = max(((scorer(term, t), -k) for k, (t, _, _) in enumerate(table.get(system, []))), default=(0.0, 0))
+            if top[0] >= cutoff and (found is None or top[0] > found[3]):
+                found = (*table[system][-top[1]], top[0], name)
+        return found
+
+    return best
+
+
+def ratio_top1(terms: DataFrame, cutoffs: tuple[float, float, float] = (90, 95, 85)) -> DataFrame:
+    """terms: distinct (system, term); the best of ratio, partial ratio and token-sort ratio above their cutoffs; the earlier scorer and the earlier concept win ties."""
+
+    def run(batches):
+        best = _string_match(cutoffs)
         for b in batches:
-            rows = []
-            for system, term in zip(b["system"], b["term"]):
-                found = None
-                for name, scorer, cutoff in (("ratio", indel_ratio, cutoffs[0]), ("partial_ratio", partial_ratio, cutoffs[1]), ("token_sort_ratio", token_sort_ratio, cutoffs[2])):
-                    top = max(((scorer(term, t), -k) for k, (t, _, _) in enumerate(table.get(system, []))), default=(0.0, 0))
-                    if top[0] >= cutoff and (found is None or top[0] > found[3]):
-                        t, code, display = table[system][-top[1]]
-                        found = (t, code, display, top[0], name)
-                if found:
-                    rows.append((system, term, *found))
+            rows = [(s, t, *m) for s, t in zip(b["system"], b["term"]) if (m := best(s, t))]
             yield pd.DataFrame(rows, columns=["system", "term", "near", "code", "display", "score", "scorer"])
 
-    return terms.select("system", "term").mapInPandas(best, "system string, term string, near string, code string, display string, score double, scorer string")
+    return terms.select("system", "term").mapInPandas(run, "system string, term string, near string, code string, display string, score double, scorer string")
 
 
 def _grams(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -159,16 +165,30 @@ def context_boost(matches: DataFrame, context: str = "context") -> DataFrame:
     return out.withColumn("score", F.when(F.col("context_term").isNotNull(), F.least(F.lit(100.0), F.col("score") + 10)).otherwise(F.col("score")))
 
 
-def cascade(terms: DataFrame) -> DataFrame:
-    """terms: distinct (system, term) normalized. Exact, variations, ratios, cosine: each stage sees what those before left. match_type none without a match."""
-    keys = ["system", "term"]
-    d = F.broadcast(dictionary(terms.sparkSession).select("system", "term", "code", "display"))
-    exact = terms.join(d, keys).select(*keys, "code", F.lit("exact").alias("match_type"), F.lit(100.0).alias("score"))
-    rest = terms.join(exact, keys, "left_anti")
-    varied = map_variations(rest).select(*keys, "code", F.lit("variation").alias("match_type"), F.lit(95.0).alias("score"))
-    rest = rest.join(varied, keys, "left_anti")
-    string = ratio_top1(rest).select(*keys, "code", F.col("scorer").alias("match_type"), "score")
-    rest = rest.join(string, keys, "left_anti")
-    cosine = cosine_top1(rest).select(*keys, "code", F.lit("cosine").alias("match_type"), "score")
-    none = rest.join(cosine, keys, "left_anti").select(*keys, F.lit(None).cast("string").alias("code"), F.lit("none").alias("match_type"), F.lit(0.0).alias("score"))
-    return exact.unionByName(varied).unionByName(string).unionByName(cosine).unionByName(none)
+def cascade(terms: DataFrame, cutoffs: tuple[float, float, float] = (90, 95, 85)) -> DataFrame:
+    """terms: distinct (system, term) normalized. Exact, variations, ratios, cosine: each stage works on what those before left. match_type none without a match.
+
+    The first two look terms up in a literal map, row by row; the third passes matched rows through.
+    """
+    first: dict[str, str] = {}
+    for system, term, code, _, _, _ in concepts():
+        first.setdefault(f"{system}|{term}", code)
+    table = F.create_map(*[F.lit(x) for kv in first.items() for x in kv])
+    look = lambda t: F.element_at(table, F.concat("system", F.lit("|"), t))
+    exact, varied = look(F.col("term")), F.get(F.filter(F.transform(variations(F.col("term")), look), lambda c: c.isNotNull()), F.lit(0))
+    known = terms.select("system", "term", exact.alias("exact"), F.when(exact.isNull(), varied).alias("varied"))
+
+    def run(batches):
+        best = _string_match(cutoffs)
+        for b in batches:
+            rows = []
+            for s, t, e, v in zip(b["system"], b["term"], b["exact"], b["varied"]):
+                m = None if e or v else best(s, t)
+                rows.append((s, t, e, "exact", 100.0) if e else (s, t, v, "variation", 95.0) if v else (s, t, m[1], m[4], m[3]) if m else (s, t, None, "none", 0.0))
+            yield pd.DataFrame(rows, columns=["system", "term", "code", "match_type", "score"])
+
+    matched = known.mapInPandas(run, "system string, term string, code string, match_type string, score double")
+    cosine = cosine_top1(matched.filter("code is null").select("system", "term")).select("system", "term", F.col("code").alias("near"), F.col("score").alias("cosine"))
+    both = matched.join(cosine, ["system", "term"], "left")
+    late = F.col("code").isNull() & F.col("near").isNotNull()
+    return both.select("system", "term", F.coalesce("code", "near").alias("code"), F.when(late, "cosine").otherwise(F.col("match_type")).alias("match_type"), F.when(late, F.col("cosine")).otherwise(F.col("score")).alias("score"))

@@ -137,3 +137,15 @@ def test_stream_of_files(spark, tmp_path):
     (tmp_path / "in/a.txt").write_text("INTRODUCTION\nx\nMETHODS\ny")
     ingest_sections(text_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(r["title"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["INTRODUCTION", "METHODS"]
+
+
+def test_cascade_agrees_with_its_stages(spark):
+    rows = [("snomed", t) for t in ("asthma", "htn", "dm", "hypertenson", "essential hypertension disease", "nothing like it", "")] + [("loinc", "hba1c"), ("rxnorm", "atorvastatyn")]
+    terms = spark.createDataFrame(rows, "system string, term string")
+    got = {(r["system"], r["term"]): r for r in M.cascade(terms).collect()}
+    assert len(got) == len(rows)
+    ratios = {(r["system"], r["term"]): r["code"] for r in M.ratio_top1(terms).collect()}
+    for k, r in got.items():
+        if r["match_type"] in ("ratio", "partial_ratio", "token_sort_ratio"):
+            assert ratios[k] == r["code"]
+    assert got["rxnorm", "atorvastatyn"]["code"] == "83367" and got["snomed", "dm"]["code"] == "73211009"
