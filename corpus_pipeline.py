@@ -13,7 +13,7 @@ from protolake.llm.langid import fit_languages, identify
 from protolake.llm.minhash import near_duplicates
 from protolake.llm.mixing import mix, taken
 from protolake.llm.packing import pack_documents
-from protolake.llm.storage import scratch
+from protolake.llm.storage import scratch, stored
 from protolake.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -35,11 +35,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each component stays, once; rows without doc_id stay."""
-    kept = near_duplicates(docs).filter("kept").groupBy("doc_id").agg(F.count("*").alias("_n")).withColumnRenamed("doc_id", "_id")
-    named = docs.join(kept, docs["doc_id"] == kept["_id"])
-    once = named.filter("_n = 1").drop("_n", "_id")
-    repeated = named.filter("_n > 1").withColumn("_k", F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("text")))).filter("_k = 1").drop("_n", "_id", "_k")
-    return once.unionByName(repeated).unionByName(docs.filter("doc_id is null"))
+    kept = stored(near_duplicates(docs).filter("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "kept")
+    out = docs.join(kept.select("_id"), docs["doc_id"] == F.col("_id"), "left_semi").unionByName(docs.filter("doc_id is null"))
+    repeated = kept.filter("_n > 1").select("_id")
+    if repeated.isEmpty():
+        return out
+    single = out.join(repeated, F.col("doc_id") == F.col("_id"), "left_anti")
+    several = out.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi")
+    return single.unionByName(several.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).filter("_k = 1").drop("_k"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
