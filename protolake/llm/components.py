@@ -31,14 +31,15 @@ def _small(edges: DataFrame) -> DataFrame:
     return hooked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(hooked.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """True if every u has one v that is no u itself: then v is the least id of its component."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("into").alias("into")).filter("out > 1 or out = 1 and into = 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """links (a, b): rows (id, component) of all linked ids; component is the least id reachable."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    seen = None
-    while True:
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
-        seen = mark
+    while not _stars(edges):
         edges = stored(_small(_large(edges)), "edges")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -193,11 +193,44 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(text("b", "tb"), "b").join(text("a", "ta"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def shared_counts(code: np.ndarray, offsets: np.ndarray, block: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, by products of blocks of the 0/1 matrix of shingles that two sets or more hold."""
+    n = len(offsets) - 1
+    owner = np.repeat(np.arange(n), np.diff(offsets))
+    hashes, place = np.unique(code, return_inverse=True)
+    common = np.bincount(place, minlength=len(hashes)) > 1
+    number = np.cumsum(common) - 1
+    keep = common[place]
+    owner, column = owner[keep], number[place[keep]]
+    out = np.zeros((n, n), np.float64)
+    for a in range(0, int(common.sum()), block):
+        mine = (column >= a) & (column < a + block)
+        x = np.zeros((n, block), np.float32)
+        x[owner[mine], column[mine] - a] = 1
+        out += x @ x.T
+    return out.astype(np.int64)
+
+
+def spanning(rows: np.ndarray, columns: np.ndarray, n: int) -> list[int]:
+    """Places of the pairs that connect what those before leave apart."""
+    top, out = list(range(n)), []
+    for k, (r, c) in enumerate(zip(rows.tolist(), columns.tolist())):
+        while top[r] != r:
+            top[r] = r = top[top[r]]
+        while top[c] != c:
+            top[c] = c = top[top[c]]
+        if r != c:
+            top[max(r, c)] = min(r, c)
+            out.append(k)
+    return out
+
+
 def across(members: DataFrame) -> DataFrame:
-    """members (bucket, n, id, component, sig) of buckets with several components: surviving pairs between components.
+    """members (bucket, n, id, component, sig, text) of buckets with several components: verified links (a, b) between components.
 
     A bucket's members are dealt into chunks, and every two chunks meet in a group of
     their own, so no group holds more than about two chunks whatever the bucket's size.
+    A group judges all its pairs and returns those that connect its members.
     """
 
     def run(key, table):
@@ -205,20 +238,28 @@ def across(members: DataFrame) -> DataFrame:
         ids, comp = table.column("id").to_numpy(), table.column("component").to_numpy()
         low, high = key[1].as_py(), key[2].as_py()
         rows, columns = np.flatnonzero(part == low), np.flatnonzero(part == high)
-        a, b = [], []
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for r in rows.tolist():
             others = columns[(comp[columns] != comp[r]) & ((columns > r) if low == high else True)]
             alive = others[survive(np.broadcast_to(sig[r], (len(others), sig.shape[1])), sig[others])]
-            a.append(np.full(len(alive), ids[r]))
-            b.append(ids[alive])
-        empty = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(empty + a).astype(np.int64), "b": np.concatenate(empty + b).astype(np.int64)})
+            a.append(np.full(len(alive), r))
+            b.append(alive)
+        a, b = np.concatenate(a), np.concatenate(b)
+        if len(a):
+            used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+            code, offsets = shingle_sets(table.column("text").combine_chunks().take(pa.array(used)))
+            i, j = place[: len(a)], place[len(a) :]
+            sizes, both = np.diff(offsets), shared_counts(code, offsets)[i, j]
+            good = np.flatnonzero((100 * both >= PERCENT * (sizes[i] + sizes[j] - both)) & (both > 0))
+            good = good[spanning(i[good], j[good], len(used))]
+            a, b = a[good], b[good]
+        return pa.table({"a": np.minimum(ids[a], ids[b]).astype(np.int64), "b": np.maximum(ids[a], ids[b]).astype(np.int64)})
 
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     dealt = members.withColumn("part", F.pmod(F.xxhash64("id"), chunks).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda k: F.struct(F.least(F.col("part"), k).alias("low"), F.greatest(F.col("part"), k).alias("high")))
-    met = dealt.withColumn("p", F.explode(pairs)).select("bucket", "p.low", "p.high", "part", "id", "component", "sig")
-    return met.groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = dealt.withColumn("p", F.explode(pairs)).select("bucket", "p.low", "p.high", "part", "id", "component", "sig", "text")
+    return met.groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame) -> DataFrame:
@@ -251,14 +292,15 @@ def near_duplicates(df: DataFrame) -> DataFrame:
             new = stored(met.join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
             tried = tried.unionByName(new)
             more = stored(prune(new, classes), "minhash-survivors")
+            found = more if more.isEmpty() else stored(verify(more, docs), "minhash-links")
         else:
-            more = stored(across(rest.join(classes.select("id", "sig"), "id")).join(tried, ["a", "b"], "left_anti"), "minhash-survivors")
-        if more.isEmpty():
-            continue
-        found = stored(verify(more, docs), "minhash-links")
+            # buckets of the same classes are judged once
+            alike = rest.groupBy("bucket").agg(F.count("*").alias("k"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("f")).groupBy("k", "f").agg(F.min("bucket").alias("bucket")).select("bucket")
+            judged = stored(rest.join(alike, "bucket"), "minhash-rest")
+            texts = among(docs, stored(judged.select(F.col("id").alias("doc_id")).distinct(), "minhash-needed")).withColumnRenamed("doc_id", "id")
+            found = stored(across(judged.join(classes.select("id", "sig"), "id").join(stored(texts, "minhash-texts"), "id")), "minhash-links")
         if not found.isEmpty():
-            links = links.unionByName(found)
-            grouped = components(links)
+            grouped = components(grouped.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found))
     of_class = classes.select("f1", "f2", "id").join(grouped, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("of_class"))
     out = signed.select("doc_id", "n_shingles", "f1", "f2").join(of_class, ["f1", "f2"], "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("of_class", "doc_id"))

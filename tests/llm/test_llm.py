@@ -207,15 +207,15 @@ def test_near_duplicates_by_brute_force(spark, odd, none, docs):
 
 
 def test_all_pairs_between_components(spark):
-    """The last round alone, over chunks, finds what brute force finds."""
-    rows = near_copies()
-    signed = minhash.sign(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("id", F.col("doc_id"))
-    members = signed.select(F.lit(1).alias("bucket"), F.lit(1000).cast("long").alias("n"), "id", F.col("id").alias("component"), "sig")
-    pairs = {tuple(r) for r in minhash.across(members).collect()}
-    sig = {r["id"]: np.frombuffer(r["sig"], np.uint8) for r in signed.collect()}
-    ids = sorted(sig)
-    want = {(a, b) for a in ids for b in ids if a < b and len(minhash.survive(sig[a][None], sig[b][None]))}
-    assert pairs == want
+    """The last round alone, over chunks, connects what brute force connects."""
+    rows = near_copies() * 5
+    rows = [(k, t + f" v{k % 400} x{k % 7}") for k, (_, t) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    signed = minhash.sign(df.withColumnRenamed("id", "doc_id")).select(F.col("doc_id").alias("id"), "sig")
+    members = df.join(signed, "id").select(F.lit(1).alias("bucket"), F.lit(len(rows)).cast("long").alias("n"), "id", F.col("id").alias("component"), "sig", "text")
+    found = {r["id"]: r["component"] for r in components(minhash.across(members)).collect()}
+    want = jaccard_components(rows)
+    assert {k: found.get(k, k) for k, _ in rows} == {k: v[1] for k, v in want.items()}
 
 
 def test_posterior_bounds_are_sharp():
