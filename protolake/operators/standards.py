@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from protolake.operators.terms import map_exact
 from protolake.refdata import (
-    BODY_SITES, CONDITION_WORDS, DEVICE_WORDS, EXCLUSION, INCLUSION, LAB_WORDS, OBSERVATION_WORDS, PROTOCOL, SPECIMEN_TYPES, SPECIMEN_WORDS, UNIT_NAMES, UNITS,
+    BODY_SITES, CONDITION_WORDS, DEVICE_WORDS, EXCLUSION, INCLUSION, LAB_WORDS, OBSERVATION_WORDS, PROTOCOL, SPECIMEN_TYPES, SPECIMEN_WORDS,
 )
 
 # fixed values: fields of the CDM tables (name, type, required)

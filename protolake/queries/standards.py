@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from protolake.operators import entities as N
 from protolake.operators import standards as O
-from protolake.operators.terms import map_exact
 from protolake.plans.overlay import ELEMENTS_SQL
 from protolake.queries.entities import MAPPED_SQL, elems, ids
-from protolake.queries.text import docs, unit_concept, unit_sql
+from protolake.queries.text import unit_concept, unit_sql
 from protolake.refdata import BODY_SITES, COLORS, CONDITION_WORDS, DEVICE_WORDS, EXCLUSION, INCLUSION, JOB_PROGRESS, LAB_WORDS, OBSERVATION_WORDS, OTHER_COLOR, PROTOCOL, SPECIMEN_TYPES, SPECIMEN_WORDS
 
 
