@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from protolake.refdata import ABBREVIATIONS, CHARACTERS, DOSAGE_RULES, MONTHS, TERM_PREFIXES
 
@@ -31,7 +32,7 @@ def replaced(text: Column, rules, flags: str = "(?i)") -> Column:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     import unicodedata
 
