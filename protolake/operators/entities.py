@@ -118,9 +118,9 @@ def classify_relations(pairs: DataFrame, texts: DataFrame, margin: int = 50, lea
     for a, b, x, c in reversed(TYPE_RELATIONS):
         either = ((F.col("s_label") == a) & (F.col("t_label") == b)) | ((F.col("s_label") == b) & (F.col("t_label") == a))
         kind, sure = F.when(either, x).otherwise(kind), F.when(either, c).otherwise(sure)
-    found = pairs.join(texts.select("doc_id", F.lower("text").alias("text")), "doc_id").select("doc_id", "s_e", "t_e", let(let(F.struct(between.alias("b"), around.alias("a")), lambda x: F.struct(_cue(x["b"]).alias("b"), _cue(x["a"]).alias("a"), kind.alias("k"), sure.alias("s"))), lambda p: F.when(p["b"].isNotNull(), F.struct(p["b"].alias("relation"), F.lit(0.8).alias("confidence")))
-        .when(p["a"].isNotNull() & (p["s"] <= 0.6), F.struct(p["a"].alias("relation"), F.lit(0.6).alias("confidence"))).otherwise(F.struct(p["k"].alias("relation"), p["s"].alias("confidence")))).alias("r"))
-    return found.select("doc_id", "s_e", "t_e", "r.relation", "r.confidence").filter((F.col("confidence") >= least) & F.col("relation").isNotNull())
+    judged = pairs.join(texts.select("doc_id", F.lower("text").alias("text")), "doc_id").select("doc_id", "s_e", "t_e", F.inline(F.array(let(let(F.struct(between.alias("b"), around.alias("a")), lambda x: F.struct(_cue(x["b"]).alias("b"), _cue(x["a"]).alias("a"), kind.alias("k"), sure.alias("s"))), lambda p: F.when(p["b"].isNotNull(), F.struct(p["b"].alias("relation"), F.lit(0.8).alias("confidence")))
+        .when(p["a"].isNotNull() & (p["s"] <= 0.6), F.struct(p["a"].alias("relation"), F.lit(0.6).alias("confidence"))).otherwise(F.struct(p["k"].alias("relation"), p["s"].alias("confidence")))))))  # fmt: skip  # a generator, so that the filter does not repeat the work
+    return judged.filter((F.col("confidence") >= least) & F.col("relation").isNotNull())
 
 
 def relations_sql(pairs: str, texts: str) -> str:

@@ -13,8 +13,8 @@ def _classified(s, d):
     t = texts(s, d)
     placed = E.sections(t).join(t, "doc_id")
     content = F.substr(F.col("text"), F.col("start") + 1 + F.length("title"), F.col("stop") - F.col("start"))
-    judged = placed.select("doc_id", "no", "title", E.classify_section(F.col("title"), content).alias("c"))
-    return judged.select("doc_id", "no", "title", F.col("c.kind").alias("section_type"), "c.confidence")
+    judged = placed.select("doc_id", "no", "title", F.inline(F.array(E.classify_section(F.col("title"), content))))
+    return judged.withColumnRenamed("kind", "section_type")
 
 
 _CONTENT = "substring(text, start + 1 + length(title), stop - start)"
