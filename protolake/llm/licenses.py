@@ -1,7 +1,10 @@
 """License scans: an exact set-similarity join of text blocks with license templates, in native expressions.
 
-Blocks are lines, templates a parameter. A block matches a template when it
-holds at least ``percent`` of the template's distinct words. Words are ordered
+Blocks are lines and, for notices that wrap, the runs of words of a paragraph
+(adjacent lines, up to a line without a word) that are half as long again as the
+template; templates are a parameter. A block matches a template when it holds at
+least ``percent`` of the template's distinct words, a run of words in the
+template's order (else a word of the line above would count). Words are ordered
 by their number of blocks in the whole corpus, rarest first (counted by a first
 pass, for the templates' words only, since no other word can be shared):
 
@@ -9,7 +12,9 @@ pass, for the templates' words only, since no other word can be shared):
 * length: a block with fewer distinct words than needed cannot match;
 * position: from the first shared word on, both sides must have enough words left.
 
-What passes is counted exactly. Templates are few by contract, so their words
+What passes is counted exactly. A paragraph of several lines is looked at only
+if all of it holds enough words of a template, and then only the runs that hold
+one of the template's rarest words. Templates are few by contract, so their words
 and prefixes are literals in the plan and no row is shuffled for the join.
 """
 
@@ -39,6 +44,8 @@ TEMPLATES = {
     "subject to the terms of the mozilla public license version 2 0": "mpl-2.0",
 }
 PERCENT = 90
+#: Between paragraphs: line ends with no word between them.
+PARAGRAPH = r"\n(?:[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\n)+"
 
 
 def lowered(text: Column) -> Column:
@@ -64,6 +71,24 @@ def matches(block: Column, n_words: Column, template: list[str], percent: int) -
     return F.when(F.arrays_overlap(prefix, block) & (n_words >= need) & (left >= need) & (F.size(shared) >= need), F.size(shared))
 
 
+def in_order(run: Column, phrase: list[str], length: int) -> Column:
+    """Most of the phrase's words that stand in a run in the phrase's order: for each number of them, the least place where they can end."""
+    ends = lambda acc, w: F.transform(acc, lambda e, c: F.least(e, F.when(c > 0, let(F.get(acc, c - 1), lambda p: let(F.array_position(F.slice(run, p + 1, F.lit(length)), w), lambda x: F.when(x > 0, p + x.cast("int")))))))
+    return F.size(F.array_compact(F.aggregate(texts(phrase), F.array(F.lit(0), *[F.lit(None).cast("int")] * len(phrase)), ends))) - 1
+
+
+def wrapped_match(words: Column, block: Column, template: list[str], phrase: list[str], length: int, percent: int) -> Column:
+    """Most words of the template, in its order, in a run of ``length`` words, or null if no run is a match. words: of a paragraph, in order; block: its ordered words that some template has; template: ordered words; phrase: the same, as the template has them."""
+    need = -(-percent * len(template) // 100)
+    held, prefix = texts(template), texts(template[: len(template) - need + 1])
+    rare = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(prefix, w), i)), lambda i: i.isNotNull())
+    starts = F.array_distinct(F.flatten(F.transform(rare, lambda i: F.sequence(F.greatest(i - length + 1, F.lit(0)), i))))
+    runs = F.transform(F.filter(starts, lambda i: F.array_contains(held, F.get(words, i))), lambda i: F.slice(words, i + 1, F.lit(length)))
+    full = F.filter(runs, lambda z: F.size(F.array_intersect(held, z)) >= need)
+    best = F.array_max(F.transform(full, lambda z: in_order(z, phrase, length)))
+    return F.when(F.size(F.array_intersect(held, block)) >= need, let(best, lambda n: F.when(n >= need, n)))
+
+
 def scan_licenses(df: DataFrame, text: str = "text", templates: dict[str, str] | None = None, percent: int = PERCENT, phrases: dict[str, str] | None = None) -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels and score; drops columns of these names.
 
@@ -89,7 +114,11 @@ def scan_licenses(df: DataFrame, text: str = "text", templates: dict[str, str] |
     lines = F.filter(F.split(t, "\n"), lambda x: F.rlike(x, F.lit("(?i)" + ("|".join(rarest) or "$^"))))
     blocks = F.transform(lines, lambda x: let(words_of(lowered(x), GAP), lambda w: F.struct(F.array_intersect(texts(order), w).alias("b"), F.size(F.array_distinct(w)).alias("n"))))
     best_of = lambda x, ws: F.array_max(F.transform(x, lambda y: matches(y["b"], y["n"], ws, percent)))
-    best = let(blocks, lambda x: F.struct(*[best_of(x, ws).alias(f"t{k}") for k, ws in enumerate(ordered.values())]))
+    several = F.filter(F.split(t, PARAGRAPH), lambda x: F.contains(x, F.lit("\n")) & F.rlike(x, F.lit(rf"(?i)(?<!{RAW_WORD[:-1]})(?:{'|'.join(rarest) or '$^'})(?!{RAW_WORD[:-1]})")))
+    paragraphs = F.transform(several, lambda x: let(words_of(lowered(x), GAP), lambda w: F.struct(w.alias("w"), F.array_intersect(texts(order), w).alias("b"))))
+    phrase = {x: p.split() for p, x in templates.items()}
+    wrapped_of = lambda x, label, ws: F.array_max(F.transform(x, lambda y: wrapped_match(y["w"], y["b"], ws, list(dict.fromkeys(phrase[label])), len(phrase[label]) * 3 // 2, percent)))
+    best = let(F.struct(blocks.alias("b"), paragraphs.alias("p")), lambda x: F.struct(*[F.greatest(best_of(x["b"], ws), wrapped_of(x["p"], label, ws)).alias(f"t{k}") for k, (label, ws) in enumerate(ordered.items())]))
     held = df.drop("_base", "_best").withColumns({"_base": base, "_best": best})
     at = [F.coalesce(F.col(f"_base.p{k}"), none) for k in range(len(phrases))]
     every = F.concat(*at) if at else none

@@ -1,5 +1,6 @@
 """The training-data operators: small cases, brute force, round trips, held-out accuracy."""
 
+import random
 import re
 import zlib
 
@@ -265,6 +266,55 @@ def test_licenses_of_odd_rows(spark, odd, none):
     assert [(r["labels"], r["base_labels"], r["n_base"]) for r in got] == [("mit", "", 0), ("cc-by,reserved", "cc-by,reserved", 2), ("apache-2.0", "", 0), ("", "", 0)]
 
 
+def test_licenses_that_wrap_over_lines(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    gpl = " * This work is licensed under the terms of\n * the GNU General Public License,\n * version 3."
+    near = "A word nd above.\nLicensed under CC BY-NC 4.0"
+    far = "released under the " + "x " * 40 + "\nmit license"
+    rows = [(1, "Copyright (c) X. " + bsd), (2, gpl), (3, bsd.replace("\n", "\n \n")), (4, far), (5, "y\n" * 300 + bsd + "\ny" * 300), (6, "Released under\nthe MIT\nLicense"), (7, bsd.replace("\n", " ")), (8, near)]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k]["labels"] for k in range(1, 9)] == ["bsd", "gpl,gpl-3", "", "", "bsd", "mit", "bsd", "cc-by,cc-by-nc"]
+    assert got[1]["score"] == got[5]["score"] == got[6]["score"] == got[7]["score"] == 1.0 and got[3]["score"] == 0.0
+
+
+def test_wrapped_licenses_equal_brute_force(spark):
+    rng = random.Random(5)
+    notices, rows = [t.split() for t in licenses.TEMPLATES], []
+    for k in range(120):
+        words = [rng.choice(["the", "work", "under", "x", "y", "."]) for _ in range(rng.randint(0, 30))]
+        for t in rng.sample(notices, 2):
+            words += [w for w in t if rng.random() > 0.04] + [rng.choice(["z", "of", "license"]) for _ in range(rng.randint(0, 8))]
+        rows.append((k, "".join(w + rng.choice([" ", " ", " ", "\n", "\n * ", "\n\n"] if rng.random() < 0.5 else [" "]) for w in words)))
+
+    def in_order(run, phrase):
+        best = [0] * (len(phrase) + 1)
+        for w in run:
+            for c in range(len(phrase), 0, -1):
+                best[c] = best[c - 1] + 1 if w == phrase[c - 1] else best[c]
+            for c in range(1, len(phrase) + 1):
+                best[c] = max(best[c], best[c - 1])
+        return best[-1]
+
+    def labels(text):
+        lines = [re.findall("[a-z0-9]+", x.lower()) for x in text.split("\n")]
+        paragraphs = [[]]
+        for x in lines:
+            paragraphs = paragraphs[:-1] + [paragraphs[-1] + x] if x else paragraphs + [[]]
+        found = {}
+        for t, label in licenses.TEMPLATES.items():
+            phrase, n = list(dict.fromkeys(t.split())), len(t.split()) * 3 // 2
+            runs = [in_order(p[i : i + n], phrase) for p in paragraphs for i in range(len(p))]
+            best = max([len(set(phrase) & set(x)) for x in lines] + runs)
+            if 100 * best >= licenses.PERCENT * len(phrase):
+                found[label] = best / len(phrase)
+        return found
+
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), phrases={}).collect()}
+    wanted = {k: labels(t) for k, t in rows}
+    assert {k: (r["labels"], r["score"]) for k, r in got.items()} == {k: (",".join(sorted(w)), max(w.values(), default=0.0)) for k, w in wanted.items()}
+    assert any(wanted.values())
+
+
 def test_language_id_on_held_out_rows(spark, odd, none, docs):
     all_docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit_languages(all_docs, per_label=100)
