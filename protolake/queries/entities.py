@@ -41,6 +41,7 @@ QUERIES = {
     "merge_spans": lambda s, d: N.merge_spans(N.stub_entities(ids(s, d))),
     "entity_pairs_within_500": lambda s, d: N.entity_pairs(N.stub_entities(ids(s, d))),
     "relation_classify": _relations,
+    "relation_classify_documents": lambda s, d: N.classify_relations(N.entity_pairs(N.stub_entities(ids(s, d))), docs(s, d)),
     "relation_graph_nodes": lambda s, d: N.relation_graph(N.stub_entities(ids(s, d)), _relations(s, d))[0],
     "relation_graph_edges": lambda s, d: N.relation_graph(N.stub_entities(ids(s, d)), _relations(s, d))[1],
     "entity_section_join": lambda s, d: N.assign_sections(N.stub_entities(ids(s, d)), E.sections(texts(s, d))),
@@ -87,6 +88,7 @@ ORACLES = {
     "merge_spans": N.MERGE_SQL,
     "entity_pairs_within_500": N.pairs_sql(N.ENTITIES_SQL),
     "relation_classify": _RELATIONS,
+    "relation_classify_documents": N.relations_sql(N.pairs_sql(N.ENTITIES_SQL), "SELECT doc_id, text FROM documents"),
     "relation_graph_nodes": f"SELECT doc_id, e AS id, label, label || ' ' || {_PERCENT('confidence')} AS title FROM ({N.ENTITIES_SQL})",
     "relation_graph_edges": f"SELECT doc_id, s_e AS source, t_e AS target, relation AS label, relation || ' ' || {_PERCENT('confidence')} AS title FROM ({_RELATIONS})",
     "entity_section_join": f"SELECT e.doc_id, e, any_value(e.start) AS start, arg_min(title, no) AS title FROM ({N.ENTITIES_SQL}) e LEFT JOIN ({E.sections_sql(TEXTS_SQL)}) s ON e.doc_id = s.doc_id AND e.start BETWEEN s.start AND s.stop GROUP BY e.doc_id, e",

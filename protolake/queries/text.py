@@ -60,6 +60,12 @@ QUERIES = {
     "detect_document_type": lambda s, d: P.detect_document_type(texts(s, d)),
     "key_phrase_scores": lambda s, d: P.key_phrase_scores(texts(s, d)),
     "key_phrases": lambda s, d: P.key_phrases(texts(s, d)),
+    # the general ones again, over whole raw texts
+    "normalize_abbreviations_documents": lambda s, d: docs(s, d).select("doc_id", T.normalize_abbreviations(F.col("text")).alias("text")),
+    "normalize_dates_documents": lambda s, d: docs(s, d).select("doc_id", T.normalize_dates(F.col("text")).alias("text")),
+    "detect_document_type_documents": lambda s, d: P.detect_document_type(docs(s, d)),
+    "key_phrase_scores_documents": lambda s, d: P.key_phrase_scores(docs(s, d)),
+    "key_phrases_documents": lambda s, d: P.key_phrases(docs(s, d)),
     "table_runs": lambda s, d: P.table_runs(docs(s, d)),
     "chunk_offsets": lambda s, d: P.chunk_offsets(docs(s, d)),
 }
@@ -80,6 +86,9 @@ ORACLES = {
     "top_trigrams": P.TOP_TRIGRAMS_SQL,
     "detect_document_type": P.document_type_sql(TEXTS_SQL),
     "key_phrase_scores": P.KEY_PHRASES_SQL.replace("{source}", f"({TEXTS_SQL})"),
+    "normalize_dates_documents": f"SELECT doc_id, {T.sql_replaced('text', T.date_rules(), 'g')} AS text FROM documents",
+    "detect_document_type_documents": P.document_type_sql("SELECT doc_id, text FROM documents"),
+    "key_phrase_scores_documents": P.KEY_PHRASES_SQL.replace("{source}", "documents"),
     "table_runs": P.TABLE_RUNS_SQL,
     "chunk_offsets": P.CHUNKS_SQL,
 }
