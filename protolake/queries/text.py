@@ -36,6 +36,11 @@ def _clean(spark, d):
     return docs(spark, d).select("doc_id", F.length(F.trim(out)).alias("length"), F.md5(F.trim(out)).alias("digest"))
 
 
+def _clean_whole(spark, d):
+    out = T.clean_text(F.col("text"))
+    return docs(spark, d).select("doc_id", out.alias("text")).select("doc_id", F.length("text").alias("length"), F.md5("text").alias("digest"))
+
+
 def _whitespace(spark, d):
     out = T.normalize_whitespace(F.coalesce("text", F.lit("")))
     return docs(spark, d).select("doc_id", F.md5(out).alias("digest"))
@@ -45,6 +50,7 @@ _DATES = "format_string('%04d-%02d-%02d', 1890 + doc_id % 230, doc_id % 14, doc_
 
 QUERIES = {
     "clean_text_stats": _clean,
+    "clean_text_documents": _clean_whole,
     "normalize_whitespace": _whitespace,
     "normalize_abbreviations": lambda s, d: texts(s, d).select("doc_id", T.normalize_abbreviations(F.col("text")).alias("text")),
     "dosage_standardize": lambda s, d: elements(docs(s, d, "doc_id")).filter("dosage is not null").select("doc_id", T.standardize_dosage(F.col("dosage")).alias("dosage")),
