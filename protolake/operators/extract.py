@@ -100,11 +100,14 @@ def items_sql(source: str, titles: dict[str, str]) -> str:
 
 REFERENCE = r"(?:^|\n)\[([0-9]+)\] ([^\n]+)"
 
+#: Also "(n) text", "n. text" and "n) text"; the number is what is left without the marks.
+ANY_REFERENCE = r"(?:^|\n)(\[[0-9]+\]|\(?[0-9]+[.)]) ([^\n]+)"
 
-def references(docs: DataFrame) -> DataFrame:
+
+def references(docs: DataFrame, mark: str = REFERENCE) -> DataFrame:
     """Numbered references below a references heading; without any, its lines of ten characters or more, numbered by place."""
     b = F.regexp_extract(F.coalesce("text", F.lit("")), r"(?i)(?:references|bibliography)[ \t]*:?[ \t]*\n((?:[^\n]*\n?)*)", 1)
-    numbered = F.zip_with(F.regexp_extract_all(b, F.lit(REFERENCE), F.lit(1)), F.regexp_extract_all(b, F.lit(REFERENCE), F.lit(2)), lambda n, t: F.struct(n.alias("number"), F.trim(t).alias("text")))
+    numbered = F.zip_with(F.regexp_extract_all(b, F.lit(mark), F.lit(1)), F.regexp_extract_all(b, F.lit(mark), F.lit(2)), lambda n, t: F.struct(F.regexp_replace(n, "[^0-9]", "").alias("number"), F.trim(t).alias("text")))
     plain = F.filter(F.transform(F.filter(F.transform(F.split(b, "\n"), lambda x: F.trim(x)), lambda x: x != ""), lambda x, i: F.struct((i + 1).cast("string").alias("number"), x.alias("text"))), lambda x: F.length(x["text"]) >= 10)
     return docs.select("doc_id", F.explode(let(numbered, lambda n: F.when(F.size(n) > 0, n).otherwise(plain))).alias("r")).select("doc_id", "r.number", "r.text")
 
@@ -114,6 +117,11 @@ def references_sql(source: str) -> str:
     FROM (SELECT doc_id, regexp_extract(text, '(?i)(?:references|bibliography)[ \t]*:?[ \t]*\n((?:[^\n]*\n?)*)', 1) AS b FROM ({source}))))"""
 
 
+def any_references_sql(source: str) -> str:
+    return rf"""SELECT doc_id, regexp_replace(n[i], '[^0-9]', '', 'g') AS number, trim(t[i]) AS text FROM (SELECT doc_id, n, t, unnest(range(1, len(n) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(b, '{ANY_REFERENCE}', 1) AS n, regexp_extract_all(b, '{ANY_REFERENCE}', 2) AS t
+    FROM (SELECT doc_id, regexp_extract(text, '(?i)(?:references|bibliography)[ \t]*:?[ \t]*\n((?:[^\n]*\n?)*)', 1) AS b FROM ({source}))))"""
+
+
 def is_heading(line: Column) -> Column:
     """Known headings by name, lines in capitals, numbered lines, and short lines that end with a colon."""
     bare = F.trim(line)
@@ -131,6 +139,35 @@ def sections(docs: DataFrame) -> DataFrame:
     return heads.select("doc_id", "no", F.regexp_replace(F.trim("line"), r":\z", "").alias("title"), F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))
 
 
+def sections_or_whole(docs: DataFrame) -> DataFrame:
+    """sections(); a text without a heading is cut at its paragraphs' short first lines, and a text without those is one section, Document. Blank texts give none."""
+    split = F.split(F.coalesce("text", F.lit("")), "\n")
+    by_line = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n"), F.posexplode(split).alias("line_no", "line"))
+    every, w = Window.partitionBy("doc_id"), Window.partitionBy("doc_id").orderBy("line_no")
+    bare, blank = F.trim("line"), F.rlike(F.col("line"), F.lit(r"^[ \t\r\f\x0B]*\z"))
+    placed = by_line.withColumns({"start": F.coalesce(F.sum(F.length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "head": is_heading(F.col("line")), "blank": blank})
+    capitals = (F.upper(bare) == bare) & (F.lower(bare) != bare)
+    first = ~F.col("blank") & F.coalesce(F.lag("blank").over(w), F.lit(True)) & (F.length(bare) < 50) & (F.endswith(bare, F.lit(":")) | capitals | ~F.coalesce(F.lead("blank").over(w), F.lit(True)))
+    judged = placed.withColumns({"first": first, "heads": F.max("head").over(every), "text": F.max(~F.col("blank")).over(every)}).withColumn("firsts", F.max("first").over(every))
+    cut = F.when(F.col("heads"), F.col("head")).when(F.col("firsts"), F.col("first")).otherwise((F.col("line_no") == 0) & F.col("text"))
+    title = F.when(F.col("heads") | F.col("firsts"), F.regexp_replace(bare, r":\z", "")).otherwise(F.lit("Document"))
+    cuts = judged.filter(cut).withColumns({"no": F.row_number().over(w) - 1, "stop": F.coalesce(F.lead("start").over(w), F.col("n"))})
+    return cuts.select("doc_id", "no", title.alias("title"), F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))
+
+
+def sections_or_whole_sql(source: str) -> str:
+    known = " OR ".join(f"contains(lower(b), '{h}')" for h in SECTION_HEADERS)
+    return rf"""SELECT doc_id, CAST(row_number() OVER w - 1 AS INTEGER) AS no, CASE WHEN heads OR firsts THEN regexp_replace(b, ':\z', '') ELSE 'Document' END AS title, CAST(start AS INTEGER) AS start, CAST(coalesce(lead(start) OVER w, n) AS INTEGER) AS stop FROM (
+    SELECT *, bool_or(first) OVER (PARTITION BY doc_id) AS firsts FROM (
+    SELECT *, bool_or(head) OVER (PARTITION BY doc_id) AS heads, bool_or(NOT blank) OVER (PARTITION BY doc_id) AS filled,
+        NOT blank AND coalesce(lag(blank) OVER v, true) AND length(b) < 50 AND (ends_with(b, ':') OR (upper(b) = b AND lower(b) <> b) OR NOT coalesce(lead(blank) OVER v, true)) AS first FROM (
+    SELECT *, regexp_matches(line, '^[ \t\r\f\x0B]*\z') AS blank, b <> '' AND ((({known}) AND length(b) < 50 AND NOT regexp_matches(b, '^[-•*\[]')) OR regexp_matches(b, '^[A-Z][A-Z \-]{{3,48}}:?\z') OR regexp_matches(b, '^(?:[0-9]+\.)+\s+[A-Z][A-Za-z0-9_ \-]+\z')) AS head FROM (
+    SELECT doc_id, n, i, ls[i] AS line, trim(ls[i]) AS b, coalesce(sum(length(ls[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    FROM (SELECT doc_id, n, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, length(coalesce(text, '')) AS n, string_split(coalesce(text, ''), chr(10)) AS ls FROM ({source})))))
+    WINDOW v AS (PARTITION BY doc_id ORDER BY i)))
+    WHERE CASE WHEN heads THEN head WHEN firsts THEN first ELSE i = 1 AND filled END WINDOW w AS (PARTITION BY doc_id ORDER BY i)"""
+
+
 def sections_sql(source: str) -> str:
     known = " OR ".join(f"contains(lower(b), '{h}')" for h in SECTION_HEADERS)
     return rf"""SELECT doc_id, CAST(row_number() OVER w - 1 AS INTEGER) AS no, regexp_replace(b, ':\z', '') AS title, CAST(start AS INTEGER) AS start, CAST(coalesce(lead(start) OVER w, n) AS INTEGER) AS stop FROM (
@@ -171,16 +208,26 @@ ENTITY_RULES = [
     ("PROCEDURE", r"(?i)((?:blood|urine|liver|mri|chest) [a-z]+)"),
 ]
 
+# fixed values: rules of the reference's fallback extractor
+CUED_ENTITY_RULES = [
+    ("ELIGIBILITY", r"(?i)(?:inclusion|exclusion)[ \t\n\r\f\x0B\-:]+([^\n.]+)"),
+    ("ELIGIBILITY", r"(?i)(?:include|exclude)[ \t\n\r\f\x0B\-:]+([^\n.]+)"),
+    ("ELIGIBILITY", r"(?i)(?:eligible|ineligible)[ \t\n\r\f\x0B\-:]+([^\n.]+)"),
+    ("ELIGIBILITY", r"(?i)(?:criteria|criterion)[ \t\n\r\f\x0B\-:]+([^\n.]+)"),
+    ("PROCEDURE", r"(?i)(?:procedure|protocol|intervention)[ \t\n\r\f\x0B\-:]+([^\n.]+)"),
+    ("PROCEDURE", r"(?i)(?:administer|perform|conduct)[ \t\n\r\f\x0B\-:]+([^\n.]+)"),
+]
+
 
-def rule_entities(docs: DataFrame) -> DataFrame:
+def rule_entities(docs: DataFrame, rules=ENTITY_RULES) -> DataFrame:
     """Entities that fixed rules find, at confidence 0.5."""
     t = F.coalesce("text", F.lit(""))
-    all_ = F.concat(*[_kind(F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(1)), lambda x: F.trim(x)), k) for k, p in ENTITY_RULES])
+    all_ = F.concat(*[_kind(F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(1)), lambda x: F.trim(x)), k) for k, p in rules])
     return docs.select("doc_id", F.posexplode(all_).alias("no", "x")).select("doc_id", "no", F.col("x.kind").alias("label"), "x.text", F.lit(0.5).alias("confidence"))
 
 
-def rule_entities_sql(source: str) -> str:
-    parts = " UNION ALL ".join(f"SELECT doc_id, {n} AS o, i, '{k}' AS label, trim(x[i]) AS text FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{p}', 1) AS x FROM ({source})))" for n, (k, p) in enumerate(ENTITY_RULES))
+def rule_entities_sql(source: str, rules=ENTITY_RULES) -> str:
+    parts = " UNION ALL ".join(f"SELECT doc_id, {n} AS o, i, '{k}' AS label, trim(x[i]) AS text FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{p}', 1) AS x FROM ({source})))" for n, (k, p) in enumerate(rules))
     return f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o, i) - 1 AS INTEGER) AS no, label, text, 0.5::DOUBLE AS confidence FROM ({parts})"
 
 

@@ -162,8 +162,8 @@ TABLE_RUNS_SQL = f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id
     FROM ({LINES_SQL}) WHERE contains(line, '|') OR contains(line, chr(9)) OR contains(line, '  ')) GROUP BY doc_id, run HAVING count(*) >= 2)"""
 
 
-def chunk_offsets(docs: DataFrame, size: int = 500, overlap: int = 50, reach: int = 100) -> DataFrame:
-    """Chunks of up to ``size`` characters that end behind the last full stop among their last ``reach`` characters, if any, and begin ``overlap`` before the last one's end.
+def chunk_offsets(docs: DataFrame, size: int = 500, overlap: int = 50, reach: int = 100, marks: str = ".", at_lines: bool = False) -> DataFrame:
+    """Chunks of up to ``size`` characters that end behind the last of ``marks`` (``at_lines``: else the last line end) among their last ``reach`` characters, if any, and begin ``overlap`` before the last one's end.
 
     The cut depends on the one before, so it is a fold over the text, by an aggregate; the last chunk ends with the text.
     """
@@ -177,7 +177,8 @@ def chunk_offsets(docs: DataFrame, size: int = 500, overlap: int = 50, reach: in
         start = F.when(F.size(acc) == 0, F.lit(0)).otherwise(last["stop"] - overlap)
         limit = start + size
         tail = F.substr(t, limit - reach + 1, F.lit(reach))
-        back = F.instr(F.reverse(tail), ".")
+        back = F.instr(F.reverse(F.translate(tail, marks, "." * len(marks)) if marks != "." else tail), ".")
+        back = F.when(back > 0, back).otherwise(F.instr(F.reverse(tail), "\n")) if at_lines else back
         stop = F.when(limit >= n, n).when(back > 0, limit - back + 1).otherwise(limit)
         done = (F.size(acc) > 0) & (last["stop"] >= n)
         return F.when(done | (n == 0), acc).otherwise(F.concat(acc, F.array(F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop")))))
@@ -185,6 +186,13 @@ def chunk_offsets(docs: DataFrame, size: int = 500, overlap: int = 50, reach: in
     return docs.select("doc_id", F.posexplode(F.aggregate(steps, empty, add)).alias("no", "c")).select("doc_id", "no", "c.start", "c.stop")
 
 
+_TAIL = "substring(t, {0} - 99, 100)"
+_BACK = "CASE WHEN regexp_matches(" + _TAIL + ", '[.!?]') THEN instr(reverse(translate(" + _TAIL + ", '!?', '..')), '.') ELSE instr(reverse(" + _TAIL + "), chr(10)) END"
+_STOP = "CASE WHEN {0} >= n THEN n WHEN " + _BACK + " > 0 THEN {0} - (" + _BACK + ") + 1 ELSE {0} END"
+ANY_CHUNKS_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, text AS t, length(text) AS n FROM documents WHERE length(text) > 0),
+c AS (SELECT doc_id, t, n, 0 AS no, CAST(0 AS BIGINT) AS start, {_STOP.format('500')} AS stop FROM d
+    UNION ALL SELECT doc_id, t, n, no + 1, stop - 50, {_STOP.format('(stop + 450)')} FROM c WHERE stop < n)
+SELECT doc_id, CAST(no AS INTEGER) AS no, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop FROM c"""
 CHUNKS_SQL = """WITH RECURSIVE d AS (SELECT doc_id, text AS t, length(text) AS n FROM documents WHERE length(text) > 0),
 c AS (SELECT doc_id, t, n, 0 AS no, CAST(0 AS BIGINT) AS start, CASE WHEN 500 >= n THEN n WHEN contains(substring(t, 401, 100), '.') THEN 500 - instr(reverse(substring(t, 401, 100)), '.') + 1 ELSE 500 END AS stop FROM d
     UNION ALL SELECT doc_id, t, n, no + 1, stop - 50, CASE WHEN stop + 450 >= n THEN n WHEN contains(substring(t, stop + 351, 100), '.') THEN stop + 450 - instr(reverse(substring(t, stop + 351, 100)), '.') + 1 ELSE stop + 450 END FROM c WHERE stop < n)

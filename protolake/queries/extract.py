@@ -29,7 +29,10 @@ QUERIES = {
     "references": lambda s, d: E.references(texts(s, d)),
     "section_spans": lambda s, d: E.sections(texts(s, d)),
     "section_classify": _classified,
+    "section_spans_whole": lambda s, d: E.sections_or_whole(docs(s, d)),
+    "references_any": lambda s, d: E.references(texts(s, d), E.ANY_REFERENCE),
     "rule_entities": lambda s, d: E.rule_entities(texts(s, d)),
+    "rule_entities_cued": lambda s, d: E.rule_entities(texts(s, d), E.CUED_ENTITY_RULES),
     "sentences": lambda s, d: E.sentences(docs(s, d)),
 }
 
@@ -42,6 +45,9 @@ ORACLES = {
     "references": E.references_sql(TEXTS_SQL),
     "section_spans": E.sections_sql(TEXTS_SQL),
     "section_classify": f"SELECT doc_id, no, title, {E.classify_sql('title', _CONTENT)} FROM ({E.sections_sql(TEXTS_SQL)}) JOIN ({TEXTS_SQL}) USING (doc_id)",
+    "section_spans_whole": E.sections_or_whole_sql("SELECT doc_id, text FROM documents"),
+    "references_any": E.any_references_sql(TEXTS_SQL),
     "rule_entities": E.rule_entities_sql(TEXTS_SQL),
+    "rule_entities_cued": E.rule_entities_sql(TEXTS_SQL, E.CUED_ENTITY_RULES),
     "sentences": E.SENTENCES_SQL,
 }

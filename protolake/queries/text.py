@@ -74,6 +74,7 @@ QUERIES = {
     "key_phrases_documents": lambda s, d: P.key_phrases(docs(s, d)),
     "table_runs": lambda s, d: P.table_runs(docs(s, d)),
     "chunk_offsets": lambda s, d: P.chunk_offsets(docs(s, d)),
+    "chunk_offsets_any": lambda s, d: P.chunk_offsets(docs(s, d), marks=".!?", at_lines=True),
 }
 
 ORACLES = {
@@ -97,4 +98,5 @@ ORACLES = {
     "key_phrase_scores_documents": P.KEY_PHRASES_SQL.replace("{source}", "documents"),
     "table_runs": P.TABLE_RUNS_SQL,
     "chunk_offsets": P.CHUNKS_SQL,
+    "chunk_offsets_any": P.ANY_CHUNKS_SQL,
 }

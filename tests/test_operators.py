@@ -149,3 +149,25 @@ def test_cascade_agrees_with_its_stages(spark):
         if r["match_type"] in ("ratio", "partial_ratio", "token_sort_ratio"):
             assert ratios[k] == r["code"]
     assert got["rxnorm", "atorvastatyn"]["code"] == "83367" and got["snomed", "dm"]["code"] == "73211009"
+
+
+def test_rules_and_marks_of_the_reference(spark):
+    docs = lambda text: spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = E.rule_entities(docs("Eligible: adults. Exclude - smokers\nProtocol: give it. Administer: 5 mg"), E.CUED_ENTITY_RULES).orderBy("no").collect()
+    assert [(r["label"], r["text"]) for r in got] == [("ELIGIBILITY", "smokers"), ("ELIGIBILITY", "adults"), ("PROCEDURE", "give it"), ("PROCEDURE", "5 mg")]
+    got = E.references(docs("References\n[1] First one.\n(2) Second one.\n3. Third one.\n4) Fourth one."), E.ANY_REFERENCE).collect()
+    assert [(r["number"], r["text"]) for r in got] == [("1", "First one."), ("2", "Second one."), ("3", "Third one."), ("4", "Fourth one.")]
+
+
+def test_chunks_break_at_any_mark_or_line(spark):
+    first = lambda text: P.chunk_offsets(spark.createDataFrame([(1, text)], "doc_id long, text string"), marks=".!?", at_lines=True).filter("no = 0").first()["stop"]
+    assert [first("x" * 449 + mark + "y" * 400) for mark in (".", "!", "?", "\n", "-")] == [450, 450, 450, 450, 500]
+    assert first("x" * 449 + "!" + "y" * 20 + "\n" + "y" * 400) == 450
+
+
+def test_texts_without_a_heading_have_sections(spark):
+    rows = [(1, "plain text of more than fifty characters on one line, and no heading"), (2, "Notes:\nsome words here\n\nlong " + "z" * 60 + "\n\nMore\nwords"), (3, " \n "), (4, None), (5, "INTRODUCTION\nx\n\nMore\nwords")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["no"], r["title"], r["start"], r["stop"]) for r in E.sections_or_whole(df).orderBy("doc_id", "no").collect()]
+    n = [len(t or "") for _, t in rows]
+    assert got == [(1, 0, "Document", 0, n[0]), (2, 0, "Notes", 0, rows[1][1].index("More")), (2, 1, "More", rows[1][1].index("More"), n[1]), (5, 0, "INTRODUCTION", 0, n[4])]
