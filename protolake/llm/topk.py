@@ -96,9 +96,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int =
 
     Both tables have vec_id long and v array<long>, of one length, without nulls. A
     query's own row (its vec_id) is no candidate. Ties go to the smaller vec_id;
-    rows with equal vec_id and equal vector count once. Empty tables give no row.
+    repeated rows count each, candidates and queries. Empty tables give no row.
     """
-    candidates, asked = vectors.select("vec_id", "v").dropDuplicates(), queries.select("vec_id", "v").dropDuplicates()
+    candidates, asked = vectors.select("vec_id", "v"), queries.select("vec_id", "v")
     blocks, query_blocks = (max(1, -(-df.count() // n)) for df, n in ((candidates, block_rows), (asked, query_rows)))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")

@@ -259,6 +259,17 @@ def test_quality_lines(spark):
     assert a["cleaned"] == good and not b["kept"]
 
 
+def test_top_k_of_repeated_rows_equals_sql(spark, tmp_path):
+    import duckdb
+
+    df = spark.read.parquet(f"{SF}/embeddings.parquet").filter("vec_id < 300")
+    df.unionByName(df.filter("vec_id % 7 < 3")).unionByName(df.filter("vec_id % 100 = 50")).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in topk.op7_top_k(spark, str(tmp_path)).collect())
+    assert got and got == sorted(con.execute(topk.OP7_SQL).fetchall())
+
+
 def test_licenses_of_odd_rows(spark, odd, none):
     assert licenses.scan_licenses(odd).select("labels").distinct().collect()[0][0] == "" and licenses.scan_licenses(none).count() == 0
     rows = [(1, "x\nReleased under the MIT License."), (2, "ALL-RIGHTS\nreserved cc by"), (3, "licence: Licensed under the Apache License, Version 2.0!"), (4, "released under the license")]
