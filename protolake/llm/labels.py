@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_rows(df: DataFrame, label: str, per_label: int | dict, most_labels: int, id_column: str = "doc_id", most_chars: int = 4000):
+def labelled_rows(df: DataFrame, label: str, per_label: int | dict, most_labels: int | None, id_column: str = "doc_id", most_chars: int = 4000):
     """A bounded sample of labelled rows off the held-out fold: (texts, labels, rows of each label), in the order of a hash.
 
-    At most ``per_label`` rows (a number, or one by label) for each of the ``most_labels`` most frequent labels, and of longer
+    At most ``per_label`` rows (a number, or one by label) for each of the ``most_labels`` most frequent labels (None: of every label), and of longer
     texts a run of ``most_chars`` characters from a place that a hash chooses; both bounds hold for
     training only.
     """
     rows = df.filter(F.col(label).isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col(id_column)))
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()
+    counted = rows.groupBy(label).count().orderBy(F.desc("count"), label)
+    counts = (counted if most_labels is None else counted.limit(most_labels)).collect()
     parts = []
     for value, n in sorted((r[0], r[1]) for r in counts):
         most = per_label[value] if isinstance(per_label, dict) else per_label

@@ -139,8 +139,8 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFra
     return kept.mapInArrow(judge, schema)
 
 
-def fit_languages(df: DataFrame, per_label: int = 500, most_labels: int = 64) -> LanguageModel:
-    """Train on documents' text and lang (at most per_label x most_labels rows)."""
+def fit_languages(df: DataFrame, per_label: int = 500, most_labels: int | None = None) -> LanguageModel:
+    """Train on documents' text and lang (at most per_label rows of each lang; every lang is learned)."""
     texts, labels, _ = labelled_rows(df.select("doc_id", "text", "lang"), "lang", per_label, most_labels)
     return train_languages(texts, labels) if texts else LanguageModel([UNKNOWN], np.zeros((1, 1)), np.zeros(1), 1.0, 0.0)
 

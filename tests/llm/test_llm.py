@@ -337,6 +337,18 @@ def test_language_id_on_held_out_rows(spark, odd, none, docs):
     assert langid.identify(none, model).count() == 0
 
 
+def test_language_id_learns_every_language(spark):
+    rng = random.Random(3)
+    vocabulary = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(6)] for k in range(70)}
+    names = [x for k, x in enumerate(vocabulary) for _ in range(12 if k < 69 else 6)]
+    rows = [(k, " ".join(rng.choice(vocabulary[x]) for _ in range(30)), x) for k, x in enumerate(names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit_languages(df)
+    assert sorted(model.languages) == sorted(vocabulary)
+    got = langid.identify(df, model).collect()
+    assert all(r["lang"] == r["lang_pred"] for r in got if r["lang"] == "l69") and sum(r["lang"] == r["lang_pred"] for r in got) >= 0.9 * len(got)
+
+
 def test_toxicity_on_held_out_rows(spark, odd, none):
     d = "/root/testdata/sf0.01"
     all_docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
