@@ -2,30 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def labelled_rows(df: DataFrame, label: str, per_label: int | dict, most_labels: int | None, id_column: str = "doc_id", most_chars: int = 4000):
+def labelled_rows(docs: DataFrame, marks: DataFrame, per_label: int | dict, most_chars: int = 8_000_000):
     """A bounded sample of labelled rows off the held-out fold: (texts, labels, rows of each label), in the order of a hash.
 
-    At most ``per_label`` rows (a number, or one by label) for each of the ``most_labels`` most frequent labels (None: of every label), and of longer
-    texts a run of ``most_chars`` characters from a place that a hash chooses; both bounds hold for
-    training only.
+    docs: doc_id, text; marks: doc_id, label (at most one row for each doc_id), or None if docs has a column label.
+    At most ``per_label`` whole texts (a number, or one by label) of every label: those of the least
+    hashes. Rows of one label are taken until their texts reach ``most_chars`` characters together; no text is cut.
+
+    The first pass counts rows by label and by the size class of their hash (64 classes), without
+    texts but for their being empty; the second fetches the classes that hold enough rows.
     """
-    rows = df.filter(F.col(label).isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col(id_column)))
-    counted = rows.groupBy(label).count().orderBy(F.desc("count"), label)
-    counts = (counted if most_labels is None else counted.limit(most_labels)).collect()
-    parts = []
-    for value, n in sorted((r[0], r[1]) for r in counts):
-        most = per_label[value] if isinstance(per_label, dict) else per_label
-        mine = rows.filter(F.col(label) == F.lit(value))
-        if n > 3 * most:  # a hash thins the rows before the sort
-            mine = mine.filter(F.pmod(F.xxhash64(F.col(id_column), F.lit("sample")), F.lit(n)) < 2 * most)
-        picked = mine.select(F.substring(F.col("text"), 1 + F.pmod(F.xxhash64(F.col(id_column), F.lit("place")), F.greatest(F.lit(1), F.length("text") - most_chars + 1)).cast("int"), F.lit(most_chars)).alias("text"), F.xxhash64(F.col(id_column), F.lit("order")).alias("h")).orderBy("h", "text").limit(most).collect()
-        parts += [(r["h"], r["text"], value) for r in picked]
-    parts.sort(key=lambda x: (x[0], x[1]))
-    return [x[1] for x in parts], [x[2] for x in parts], {r[0]: r[1] for r in counts}
+    rows = docs.filter(F.col("text") != "").filter(~is_held_out(F.col("doc_id")))
+    h = F.xxhash64(F.col("doc_id"), F.lit("sample"))
+    level = F.floor(F.log2(F.shiftrightunsigned(h, 1).cast("double") + 2)).cast("int")  # 1 to 63: a class has half of the rows of the next
+    if marks is None:
+        keyed, held = rows.filter("label is not null"), rows
+    else:
+        keyed = rows.select("doc_id").join(marks.filter("label is not null"), "doc_id")  # ids only are shuffled
+    by_level: dict = {}
+    for r in keyed.groupBy("label", level.alias("level")).count().collect():  # labels x 63 rows at most
+        by_level.setdefault(r["label"], {})[r["level"]] = r["count"]
+    wanted = {}
+    for value, n in by_level.items():
+        most, seen = per_label[value] if isinstance(per_label, dict) else per_label, 0
+        for k in sorted(n):
+            seen += n[k]
+            if seen >= most:
+                break
+        wanted[value] = (k, most)
+    if not wanted:
+        return [], [], {}
+    spark = docs.sparkSession
+    bound = spark.createDataFrame([(v, *x) for v, x in wanted.items()], keyed.select("label").schema.add("top", "integer").add("most", "integer"))
+    if marks is not None:
+        # about twice the wanted rows: a bounded list of ids, so the texts stay where they are
+        some = keyed.withColumn("level", level).join(bound, "label").filter("level <= top").select("doc_id", "label", "most").distinct().collect()
+        ids = spark.createDataFrame(some, keyed.select("doc_id", "label").schema.add("most", "integer"))
+        chosen = rows.join(F.broadcast(ids), "doc_id")
+    else:
+        chosen = held.filter("label is not null").withColumn("level", level).join(F.broadcast(bound), "label").filter("level <= top")
+    order = Window.partitionBy("label").orderBy("h", "text")
+    chosen = chosen.select("label", "most", "text", h.alias("h")).withColumn("k", F.row_number().over(order)).filter("k <= most")
+    before = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = [(r["h"], r["text"], r["label"]) for r in chosen.withColumn("before", before).filter(F.col("before") < most_chars).select("h", "text", "label").collect()]
+    parts.sort(key=lambda x: x[:2])
+    return [x[1] for x in parts], [x[2] for x in parts], {v: sum(n.values()) for v, n in by_level.items()}
 
 
 def is_held_out(doc_id: Column) -> Column:

@@ -3,54 +3,90 @@
 A text's vector is the mean of the embeddings of all its words' subwords (the
 word itself and its character n-grams with word marks, hashed into buckets);
 a linear softmax reads it. Both are trained by stochastic gradient descent in
-numpy on a bounded sample of labelled rows. The probability is calibrated by a
-temperature, and texts below the rejection level that keeps nearly all of the
-calibration rows are marked as rejected.
+numpy on a bounded sample of labelled rows.
+
+Rejection is learned and calibrated with negatives: one more class of the
+softmax stands for texts of no learned language, made from training rows by
+shuffling letters and by drawing letters of other alphabets. Embeddings start
+at zero, so subwords that were never seen move a text towards that class's
+bias. A temperature is fitted to the left-out rows and negatives, whole and as
+short runs of words, and the level is the highest up to a half that keeps nearly
+all of the left-out rows and runs that are rightly identified.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField
 
-from protolake.llm.kernels import batch_chunks, ragged
+from protolake.llm.kernels import ragged
 from protolake.llm.labels import is_held_out, labelled_rows
+from protolake.llm.rows import judged
 from protolake.llm.words import read_words
 
 UNKNOWN = "und"
 #: Lengths of the n-grams, in bytes.
 SIZES = (1, 2, 3, 4)
+#: First and last letters of alphabets that negatives are drawn from.
+ALPHABETS = [("a", "z"), ("\u00e0", "\u00ff"), ("\u0100", "\u017f"), ("\u03b1", "\u03c9"), ("\u0430", "\u044f"), ("\u05d0", "\u05ea"), ("\u0627", "\u064a"), ("\u0905", "\u0939"), ("\u0e01", "\u0e2e"), ("\u3041", "\u3096"), ("\u4e00", "\u9fa5"), ("\uac00", "\ud7a3")]
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and (any("a" <= c <= "z" or "A" <= c <= "Z" for c in text[:200]) or any(unicodedata.category(c)[0] == "L" for c in text))
 
 
+def negatives(texts: list[str], n: int, rng: np.random.Generator, words: int = 40) -> list[str]:
+    """n texts of no language: runs of words of the texts with their letters shuffled over the run, words of letters of one alphabet, of consonants, or of shuffled syllables."""
+    out = []
+    split = [x.split() for x in texts if x and x.split()]
+    for k in range(n if split else 0):
+        own = split[int(rng.integers(len(split)))]
+        at = int(rng.integers(max(1, len(own) - words)))
+        run = own[at : at + int(rng.integers(3, words + 1))]
+        lengths = [len(w) for w in run]
+        if k % 3 == 0:
+            letters = np.array(list("".join(run)))
+            rng.shuffle(letters)
+        elif k % 3 == 1:
+            pool = [chr(c) for a, z in [ALPHABETS[int(rng.integers(len(ALPHABETS)))]] for c in range(ord(a), ord(z) + 1)]
+            letters = rng.choice(pool, sum(lengths))
+        else:
+            letters = rng.choice(list("bcdfghjklmnpqrstvwxyz" if k % 2 else "zxwykjqvcszzrwyiaeou"), sum(lengths))
+        cuts = np.cumsum([0, *lengths])
+        out.append(" ".join("".join(letters[a:b]) for a, b in zip(cuts, cuts[1:])))
+    return out
+
+
 @dataclass
 class LanguageModel:
-    """by_bucket: each bucket's share of the logits (its embedding times the softmax weights)."""
+    """by_bucket: each bucket's share of the logits (its embedding times the softmax weights); the last class is no language, if ``rejects``."""
 
     languages: list[str]
     by_bucket: np.ndarray
     bias: np.ndarray
     sharpness: float
     least: float
+    rejects: bool = False
 
-    def predict(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the best language (-1: none, no letter) and its calibrated probability."""
+    def logits(self, texts: list[str | None]) -> np.ndarray:
         words = read_words(texts)
         spots, whose = words.subwords(len(self.by_bucket), SIZES)
-        k = len(self.languages)
+        k = len(self.bias)
         sums = np.stack([np.bincount(whose, self.by_bucket[spots, c], words.n) for c in range(k)], 1)
         counts = np.bincount(whose, minlength=words.n)
         total = np.bincount(words.doc, counts[words.code], len(texts))
-        logits = np.stack([np.bincount(words.doc, sums[words.code, c], len(texts)) for c in range(k)], 1) / np.maximum(total, 1)[:, None] + self.bias
-        p = softmax(logits * self.sharpness)
-        best = p.argmax(1)
+        return np.stack([np.bincount(words.doc, sums[words.code, c], len(texts)) for c in range(k)], 1) / np.maximum(total, 1)[:, None] + self.bias
+
+    def predict(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the best language (-1: none, no letter) and its calibrated probability, texts of no language included."""
+        p = softmax(self.logits(texts) * self.sharpness)
+        best = p[:, : len(self.languages)].argmax(1)
         none = np.array([not has_letter(x) for x in texts], bool)
         return np.where(none, -1, best), np.where(none, 0.0, p[np.arange(len(p)), best])
 
@@ -60,11 +96,13 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train_languages(texts: list[str], labels: list[str], buckets: int = 1 << 16, width: int = 16, steps: int = 3000, rate: float = 0.5, seed: int = 1, sample_words: int = 40, keep: float = 0.999) -> LanguageModel:
-    """SGD over random runs of words of random rows, languages in turn; a fifth of the rows calibrates."""
+def train_languages(texts: list[str], labels: list[str], buckets: int = 1 << 16, width: int = 16, steps: int = 3000, rate: float = 0.5, seed: int = 1, sample_words: int = 40, keep: float = 0.999, made: int = 600) -> LanguageModel:
+    """SGD over random runs of words of random rows, classes in turn; a fifth of the rows, and of ``made`` negatives, calibrates."""
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
-    y = np.array([languages.index(x) for x in labels])
+    k = len(languages)
+    bad = negatives(texts, made, rng)
+    texts, y = [*texts, *bad], np.array([languages.index(x) for x in labels] + [k] * len(bad))
     words = read_words(texts)
     spots, whose = words.subwords(buckets, SIZES)
     spots, per = spots[np.argsort(whose, kind="stable")], np.bincount(whose, minlength=words.n)
@@ -73,15 +111,16 @@ def train_languages(texts: list[str], labels: list[str], buckets: int = 1 << 16,
     begin = np.cumsum(n_words) - n_words
     usable = n_words > 0
     held = (np.arange(len(texts)) % 5 == 4) & usable
-    if not all(held[y == c].any() for c in range(len(languages))) or not all((~held & usable)[y == c].any() for c in range(len(languages))):
+    if not all(held[y == c].any() and (~held & usable)[y == c].any() for c in range(k)):
         held = usable
-    rows = [np.flatnonzero(usable & (~held | (held.sum() == usable.sum())) & (y == c)) for c in range(len(languages))]
-    languages_at = [c for c in range(len(languages)) if len(rows[c])]
-    table, weights, bias = rng.normal(0, 0.1, (buckets, width)).astype(np.float32), np.zeros((width, len(languages)), np.float32), np.zeros(len(languages), np.float32)
+    trains = usable if held.sum() == usable.sum() else usable & ~held
+    rows = [np.flatnonzero(trains & (y == c)) for c in range(k + 1)]
+    classes = [c for c in range(k + 1) if len(rows[c])]
+    table, weights, bias = np.zeros((buckets, width), np.float32), rng.normal(0, 0.3, (width, k + 1)).astype(np.float32), np.zeros(k + 1, np.float32)
     batch = 32
-    for step in range(steps if languages_at else 0):
+    for step in range(steps if classes else 0):
         lr = rate * (1 - step / steps)
-        truth = np.array([languages_at[(step * batch + k) % len(languages_at)] for k in range(batch)])
+        truth = np.array([classes[(step * batch + j) % len(classes)] for j in range(batch)])
         docs = np.array([rng.choice(rows[c]) for c in truth])
         size = np.minimum(n_words[docs], rng.integers(1, sample_words + 1, batch))
         at = begin[docs] + (rng.random(batch) * (n_words[docs] - size + 1)).astype(np.int64)
@@ -89,59 +128,78 @@ def train_languages(texts: list[str], labels: list[str], buckets: int = 1 << 16,
         mine = np.repeat(np.repeat(np.arange(batch), size), per[code])
         used = spots[ragged(first[code], per[code])]
         n = np.bincount(mine, minlength=batch)
-        cuts = np.cumsum(n) - n
-        mean = np.add.reduceat(table[used], cuts, axis=0) / n[:, None]
+        mean = np.add.reduceat(table[used], np.cumsum(n) - n, axis=0) / n[:, None]
         p = softmax(mean @ weights + bias)
         p[np.arange(batch), truth] -= 1
         back = (p @ weights.T) / n[:, None]
         weights -= lr * mean.T @ p / batch * 8
         bias -= lr * p.mean(0)
         np.subtract.at(table, used, (lr * 8 * back)[mine].astype(np.float32))
-    model = LanguageModel(languages, (table @ weights).astype(np.float64), bias.astype(np.float64), 1.0, 0.0)
-    check = np.flatnonzero(held)[:2000]
+    model = LanguageModel(languages, (table @ weights).astype(np.float64), bias.astype(np.float64), 1.0, 0.0, True)
+    check = np.flatnonzero(held)
     if len(check):
-        some = [texts[k] for k in check]
-        best_loss = np.inf
-        for sharpness in (0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0):
-            tried = LanguageModel(languages, model.by_bucket, model.bias, sharpness, 0.0)
-            best, p = tried.predict(some)
-            right = best == y[check]
-            loss = -np.log(np.where(right, np.clip(p, 1e-9, 1), np.clip((1 - p) / max(1, len(languages) - 1), 1e-9, 1))).mean()
-            if loss < best_loss:
-                best_loss, model.sharpness = loss, sharpness
-        best, p = model.predict(some)
-        right = best == y[check]
-        model.least = float(min(0.5, np.quantile(p[right], 1 - keep))) if right.any() else 0.0
+        logits, truth = [], []
+        for a in range(0, len(check), 200):
+            some = [texts[j] for j in check[a : a + 200]]
+            logits += [model.logits(some), model.logits([" ".join(x.split()[: 3 + j % 20]) for j, x in enumerate(some)])]
+            truth += [y[check[a : a + 200]]] * 2
+        logits, truth = np.concatenate(logits), np.concatenate(truth)
+        model.sharpness = fitted_sharpness(logits, truth)
+        p = softmax(logits * model.sharpness)[:, :k]
+        right = (truth < k) & (p.argmax(1) == truth)
+        if right.any():
+            model.least = float(min(0.5, np.quantile(p[right].max(1), 1 - keep)))
     return model
 
 
-def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """Adds lang_pred, score and accepted (calibrated rejection); drops columns of these names.
+def fitted_sharpness(logits: np.ndarray, y: np.ndarray) -> float:
+    """The inverse temperature of the least cross entropy, by golden-section search on its logarithm.
 
-    Texts that are null or have no letter get `und`, score 0, not accepted. Repeated
-    rows are judged each; an empty table gives no row; other columns stay.
+    Truth is smoothed as if one more row had been wrong, so that rows that are all right do not drive it to infinity.
+    """
+    share = 1 / (len(y) + 2)
+
+    def loss(x: float) -> float:
+        p = np.log(np.clip(softmax(logits * np.exp(x)), 1e-300, 1))
+        return float(-((1 - share) * p[np.arange(len(y)), y] + share * p.mean(1)).mean())
+
+    a, b, g = -6.0, 6.0, (np.sqrt(5) - 1) / 2
+    c, d = b - g * (b - a), a + g * (b - a)
+    lc, ld = loss(c), loss(d)
+    while b - a > 1e-3:
+        if lc < ld:
+            b, d, ld = d, c, lc
+            c = b - g * (b - a)
+            lc = loss(c)
+        else:
+            a, c, lc = c, d, ld
+            d = a + g * (b - a)
+            ld = loss(d)
+    return float(np.exp((a + b) / 2))
+
+
+def identify(df: DataFrame, model: LanguageModel, text: str = "text", only_accepted: bool = False) -> DataFrame:
+    """Adds lang_pred, score and accepted (calibrated rejection); replaces columns of these names, in any case.
+
+    Texts that are null or have no letter get `und`, score 0, not accepted. Very long texts are read
+    whole. Repeated rows are judged each; an empty table gives no row; other columns stay, whatever
+    their names. only_accepted: the accepted rows, without the new columns.
     """
-    names = [c for c in df.columns if c not in ("lang_pred", "score", "accepted")]
-    kept = df.select(*names, F.col(text).cast("string").alias("_text") if text != "_text" else F.col(text))
     shared = df.sparkSession.sparkContext.broadcast(model)  # one table of buckets x languages, whatever the input
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(texts: list[str | None]) -> list:
         m = shared.value
-        for batch in batch_chunks(batches, "_text"):
-            best, p = m.predict(batch.column("_text").to_pylist())
-            columns = {c: batch.column(c) for c in names}
-            columns |= {"lang_pred": pa.array([UNKNOWN if k < 0 else m.languages[k] for k in best.tolist()], pa.string()), "score": p, "accepted": (best >= 0) & (p >= m.least)}
-            yield pa.RecordBatch.from_pydict(columns)
-
-    from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
+        best, p = m.predict(texts)
+        return [pa.array([UNKNOWN if k < 0 else m.languages[k] for k in best.tolist()], pa.string()), pa.array(p), pa.array((best >= 0) & (p >= m.least))]
 
-    schema = StructType([df.schema[c] for c in names] + [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("accepted", BooleanType())])
-    return kept.mapInArrow(judge, schema)
+    added = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("accepted", BooleanType())]
+    return judged(df, text, added, judge, (lambda found: found[2]) if only_accepted else None)
 
 
-def fit_languages(df: DataFrame, per_label: int = 500, most_labels: int | None = None) -> LanguageModel:
-    """Train on documents' text and lang (at most per_label rows of each lang; every lang is learned)."""
-    texts, labels, _ = labelled_rows(df.select("doc_id", "text", "lang"), "lang", per_label, most_labels)
+def fit_languages(df: DataFrame, per_label: int = 500, most_chars: int = 4_000_000) -> LanguageModel:
+    """Train on documents' text and lang: at most per_label whole texts of each lang, and of each no more once they hold most_chars characters; every lang is learned."""
+    docs = df.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").alias("label"))
+    texts, labels, _ = labelled_rows(docs, None, per_label, most_chars)
     return train_languages(texts, labels) if texts else LanguageModel([UNKNOWN], np.zeros((1, 1)), np.zeros(1), 1.0, 0.0)
 
 

@@ -34,8 +34,8 @@ from protolake.llm.storage import stored
 
 SHINGLE, BANDS, ROWS, BATCH = 5, 32, 4, 16
 PERCENT, MISS = 75, 1e-6
-#: Members of a bucket's group in the second round.
-CHUNK = 256
+#: Members, and their shingles, of a chunk of a bucket in the last round.
+CHUNK, CHUNK_SHINGLES = 256, 1 << 20
 _IS_SPACE = np.isin(np.arange(256), list(SPACES))
 _LOWER = np.array([c + 32 if 0x41 <= c <= 0x5A else c for c in range(256)], np.uint8)
 _MIX = np.uint64(0xD1342543DE82EF95)
@@ -225,26 +225,39 @@ def spanning(rows: np.ndarray, columns: np.ndarray, n: int) -> list[int]:
     return out
 
 
-def across(members: DataFrame) -> DataFrame:
-    """members (bucket, n, id, component, sig, text) of buckets with several components: verified links (a, b) between components.
+def _surviving(table: pa.Table, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the pairs of a group (between its two chunks, or inside its one) that lie in different components and that no batch of minima prunes."""
+    part, sig, comp = table.column("part").to_numpy(), _bytes(table.column("sig").combine_chunks()), table.column("component").to_numpy()
+    rows, columns = np.flatnonzero(part == low), np.flatnonzero(part == high)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for r in rows.tolist():
+        others = columns[(comp[columns] != comp[r]) & ((columns > r) if low == high else True)]
+        alive = others[survive(np.broadcast_to(sig[r], (len(others), sig.shape[1])), sig[others])]
+        a.append(np.full(len(alive), r))
+        b.append(alive)
+    return np.concatenate(a), np.concatenate(b)
+
+
+GROUPED = "bucket long, low int, high int, part int, id long, component long, sig binary"
+
+
+def across(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """members (bucket, n, id, component, sig, n_shingles) of buckets with several components: verified links (a, b) between components.
 
     A bucket's members are dealt into chunks, and every two chunks meet in a group of
-    their own, so no group holds more than about two chunks whatever the bucket's size.
-    A group judges all its pairs and returns those that connect its members.
+    their own, so no group holds more than about two chunks whatever the bucket's size;
+    chunks are bounded by members and by shingles. Groups first meet with signatures
+    only (128 bytes a member); texts go to the members that are left with a partner
+    there. A group then judges its pairs and returns those that connect its members.
     """
 
+    def sift(key, table):
+        a, b = _surviving(table, key[1].as_py(), key[2].as_py())
+        return table.take(pa.array(np.union1d(a, b)))
+
     def run(key, table):
-        part, sig = table.column("part").to_numpy(), _bytes(table.column("sig").combine_chunks())
-        ids, comp = table.column("id").to_numpy(), table.column("component").to_numpy()
-        low, high = key[1].as_py(), key[2].as_py()
-        rows, columns = np.flatnonzero(part == low), np.flatnonzero(part == high)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for r in rows.tolist():
-            others = columns[(comp[columns] != comp[r]) & ((columns > r) if low == high else True)]
-            alive = others[survive(np.broadcast_to(sig[r], (len(others), sig.shape[1])), sig[others])]
-            a.append(np.full(len(alive), r))
-            b.append(alive)
-        a, b = np.concatenate(a), np.concatenate(b)
+        ids = table.column("id").to_numpy()
+        a, b = _surviving(table, key[1].as_py(), key[2].as_py())
         if len(a):
             used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
             code, offsets = shingle_sets(table.column("text").combine_chunks().take(pa.array(used)))
@@ -255,11 +268,15 @@ def across(members: DataFrame) -> DataFrame:
             a, b = a[good], b[good]
         return pa.table({"a": np.minimum(ids[a], ids[b]).astype(np.int64), "b": np.maximum(ids[a], ids[b]).astype(np.int64)})
 
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    dealt = members.withColumn("part", F.pmod(F.xxhash64("id"), chunks).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda k: F.struct(F.least(F.col("part"), k).alias("low"), F.greatest(F.col("part"), k).alias("high")))
-    met = dealt.withColumn("p", F.explode(pairs)).select("bucket", "p.low", "p.high", "part", "id", "component", "sig", "text")
-    return met.groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long").distinct()
+    sizes = members.groupBy("bucket").agg(F.greatest(F.ceil(F.max("n") / CHUNK), F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    dealt = members.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(F.col("part"), k).alias("low"), F.greatest(F.col("part"), k).alias("high")))
+    met = dealt.withColumn("p", F.explode(pairs)).select("bucket", "p.low", "p.high", "part", "id", "component", "sig")
+    left = stored(met.groupBy("bucket", "low", "high").applyInArrow(sift, GROUPED), "minhash-sifted")
+    if left.isEmpty():
+        return left.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    texts = stored(among(docs, stored(left.select(F.col("id").alias("doc_id")).distinct(), "minhash-needed")).withColumnRenamed("doc_id", "id"), "minhash-texts")
+    return left.join(texts, "id").select(*left.columns, "text").groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame) -> DataFrame:
@@ -273,7 +290,7 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(sign(docs), "minhash-signed")
     linked = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = stored(linked.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "minhash-classes")
+    classes = stored(linked.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "minhash-classes")
     buckets = classes.select("id", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     in_shared = stored(buckets.join(shared, "bucket"), "minhash-buckets")
@@ -297,8 +314,7 @@ def near_duplicates(df: DataFrame) -> DataFrame:
             # buckets of the same classes are judged once
             alike = rest.groupBy("bucket").agg(F.count("*").alias("k"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("f")).groupBy("k", "f").agg(F.min("bucket").alias("bucket")).select("bucket")
             judged = stored(rest.join(alike, "bucket"), "minhash-rest")
-            texts = among(docs, stored(judged.select(F.col("id").alias("doc_id")).distinct(), "minhash-needed")).withColumnRenamed("doc_id", "id")
-            found = stored(across(judged.join(classes.select("id", "sig"), "id").join(stored(texts, "minhash-texts"), "id")), "minhash-links")
+            found = stored(across(judged.join(classes.select("id", "sig", "n_shingles"), "id"), docs), "minhash-links")
         if not found.isEmpty():
             grouped = components(grouped.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found))
     of_class = classes.select("f1", "f2", "id").join(grouped, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("of_class"))

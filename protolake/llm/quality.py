@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from protolake.llm.columns import let, texts, words_of
+from protolake.llm.rows import unused
 
 GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,24 +46,25 @@ def line_fails(line: Column, mark_percent: int = 30, separators: int = 3) -> Col
 
 
 def quality(df: DataFrame, text: str = "text", min_words: int = 50, repeat_percent: int = 50, lost_percent: int = 50) -> DataFrame:
-    """Adds the base counts, cleaned (the text of the lines that pass), base_failed and kept; drops columns of these names.
+    """Adds the base counts, cleaned (the text of the lines that pass), base_failed and kept; replaces columns of these names.
 
     Null and empty texts have no word: zero counts, an empty cleaned text, base_failed.
     Repeated rows are judged each; an empty table gives no row; other columns stay.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.rlike(x, F.lit(WORD)))
-    judged = df.drop("_words", "_lines").withColumns({
-        "_words": let(words_of(t, GAP), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("repeat"))),
-        "_lines": let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"), F.array_join(F.filter(x, lambda y: ~line_fails(y)), "\n").alias("clean"))),
+    w, x = unused(df, "counted"), unused(df, "cleaned_lines")
+    judged = df.withColumns({
+        w: let(words_of(t, GAP), lambda z: F.struct(F.size(z).cast("long").alias("n"), repeated_words(z).alias("repeat"))),
+        x: let(lines, lambda z: F.struct((F.size(z) - F.size(F.array_distinct(z))).cast("long").alias("dup"), F.array_join(F.filter(z, lambda y: ~line_fails(y)), "\n").alias("clean"))),
     })
-    n, repeat = F.col("_words.n"), F.col("_words.repeat")
+    n, repeat = F.col(f"{w}.n"), F.col(f"{w}.repeat")
     failed = (n < min_words) | (100 * repeat > repeat_percent * n)
-    left = F.regexp_count(F.col("_lines.clean"), F.lit(WORD))
+    left = F.regexp_count(F.col(f"{x}.clean"), F.lit(WORD))
     return judged.withColumns({
-        "n_words": n, "word_chars": F.length(F.regexp_replace(t, GAP, "")).cast("long"), "n_symbols": F.regexp_count(t, F.lit(SYMBOL)).cast("long"), "n_dup_lines": F.col("_lines.dup"),
-        "n_repeat_words": repeat, "base_failed": failed, "cleaned": F.col("_lines.clean"), "words_left": left.cast("long"), "kept": ~failed & (100 * (n - left) <= lost_percent * n),
-    }).drop("_words", "_lines")
+        "n_words": n, "word_chars": F.length(F.regexp_replace(t, GAP, "")).cast("long"), "n_symbols": F.regexp_count(t, F.lit(SYMBOL)).cast("long"), "n_dup_lines": F.col(f"{x}.dup"),
+        "n_repeat_words": repeat, "base_failed": failed, "cleaned": F.col(f"{x}.clean"), "words_left": left.cast("long"), "kept": ~failed & (100 * (n - left) <= lost_percent * n),
+    }).drop(w, x)
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """Shared folders: scratch tables and raw files that every executor can reach.
 
-The cluster names the folder in spark.checkpoint.dir. Only where that is unset
-(local runs, tests) a temporary folder of this machine is used. Raw files are
-written under names that no other attempt uses, and only files that a finished
-task has listed are read, so lost executors leave garbage at most.
+The cluster names the folder in spark.checkpoint.dir. Only a local master may
+leave that unset (tests): then a temporary folder of this machine is used; a
+cluster without it is refused, as its tasks would write to their own disks. Raw
+files are written under names that no other attempt uses, and only files that a
+finished task has listed are read, so lost executors leave garbage at most.
+Folders under a named directory stay until discard_scratch() or the cluster's
+own cleaning, since results are read from them lazily.
 """
 
 from __future__ import annotations
@@ -16,12 +19,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="protolake-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -30,7 +36,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def discard_scratch(spark: SparkSession) -> None:
+    """Delete all scratch folders of this driver. DataFrames that still read them fail afterwards."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ File format (little-endian), one file for each partition of the sorted input:
     widths      uint8 for each block
     block index uint64 payload start and uint64 first exception of each block, and of the end
     documents   int64 doc_id and int64 first id of each, and of the end
-    footer      6 uint64: ids, blocks, exceptions, documents, start of exceptions, start of the block index
+    footer      7 uint64: ids, blocks, exceptions, documents, start of exceptions, start of the block index, documents without an id (the first ones)
 
 A block's width is the smallest that holds the given percentile of its ids; the
 rest are exceptions. The last block is padded with its first id.
@@ -33,7 +33,7 @@ from protolake.llm.storage import open_to_read, open_to_write, scratch, stored
 
 BLOCK = 128
 _MAGIC = b"PFOR1\0\0\0"
-_FOOTER = 48
+_FOOTER = 56
 MANIFEST = "file_no int, path string, n_docs long, n_ids long"
 DOCUMENTS = "file_no int, doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -84,10 +84,13 @@ class TokenFileWriter:
         self.out, self.percentile = open_to_write(uri), percentile
         self.out.write(_MAGIC)
         self.left = np.zeros(0, np.uint32)
+        self.nulls = 0
         self.low, self.widths, self.counts, self.over, self.places, self.docs, self.lengths = [], [], [], [], [], [], []
 
-    def add(self, doc_ids: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
-        self.docs.append(doc_ids)
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Documents without an id must come first."""
+        self.nulls += doc_ids.null_count
+        self.docs.append(doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         self.lengths.append(lengths)
         ids = np.concatenate([self.left, ids])
         whole = len(ids) // BLOCK * BLOCK
@@ -115,7 +118,7 @@ class TokenFileWriter:
             self.out.write(x.tobytes())
         index = at + 5 * len(over) + 5 * len(low)
         n = int(lengths.sum())
-        self.out.write(np.array([n, len(low), len(over), len(docs), at, index], np.uint64).tobytes())
+        self.out.write(np.array([n, len(low), len(over), len(docs), at, index, self.nulls], np.uint64).tobytes())
         self.out.close()
         return n, len(docs)
 
@@ -126,7 +129,7 @@ class TokenFile:
     def __init__(self, uri: str):
         self.file = open_to_read(uri)
         size = self.file.size()
-        self.n, self.blocks, self.exceptions, self.n_docs, self.at, self.index = np.frombuffer(self.file.read_at(_FOOTER, size - _FOOTER), np.uint64).astype(np.int64).tolist()
+        self.n, self.blocks, self.exceptions, self.n_docs, self.at, self.index, self.nulls = np.frombuffer(self.file.read_at(_FOOTER, size - _FOOTER), np.uint64).astype(np.int64).tolist()
         both = np.frombuffer(self._read(self.index, 16 * (self.blocks + 1)), np.uint64).astype(np.int64)
         self.payload, self.first = both[: self.blocks + 1], both[self.blocks + 1 :]
         at = self.index + 16 * (self.blocks + 1)
@@ -171,8 +174,8 @@ def with_end(flat: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.nda
 def write_token_files(df: DataFrame, path: str, end_id: int = 0, tokenizer: str | None = None, percentile: float = 0.9) -> DataFrame:
     """Write the texts' ids in ascending doc_id order; one manifest row for each file (file_no, path, n_docs, n_ids).
 
-    Nulls in text count as empty; rows without doc_id come first, under the
-    smallest 64-bit number. Repeated doc_ids stay as many documents, ordered by
+    Nulls in text count as empty; rows without doc_id come first and are counted
+    in the file, so every 64-bit number is an id. Repeated doc_ids stay as many documents, ordered by
     their texts' hash. An empty table gives no file. Only doc_id and text are read.
     """
     tokenizer = tokenizer or tokenizer_path()
@@ -185,12 +188,12 @@ def write_token_files(df: DataFrame, path: str, end_id: int = 0, tokenizer: str
         for batch in batch_chunks(batches):
             writer = writer or TokenFileWriter(uri, percentile)
             ids, lengths = with_end(*encoder.encode(batch.column("text")), end_id)
-            writer.add(batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), ids, lengths)
+            writer.add(batch.column("doc_id"), ids, lengths)
         if writer:
             n, docs = writer.close()
             yield pa.RecordBatch.from_pydict({"file_no": pa.array([no], pa.int32()), "path": [uri], "n_docs": [docs], "n_ids": [n]})
 
-    rows = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = ("doc_id", F.xxhash64("text"))
     return stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(write, MANIFEST), "token-manifest")
 
@@ -216,7 +219,7 @@ def read_token_files(manifest: DataFrame, most_ids: int = 1 << 20) -> DataFrame:
                 f.close()
                 for x in range(0, f.n_docs, 10_000):
                     part = slice(x, x + 10_000)
-                    yield pa.RecordBatch.from_pydict({"file_no": pa.array(np.full(len(crc[part]), no, np.int32)), "doc_id": f.doc_ids[part], "start": f.starts[:-1][part] + base, "n_tokens": np.diff(f.starts)[part], "ids_crc32": crc[part]})
+                    yield pa.RecordBatch.from_pydict({"file_no": pa.array(np.full(len(crc[part]), no, np.int32)), "doc_id": pa.array(f.doc_ids[part], mask=np.arange(x, x + len(crc[part])) < f.nulls), "start": f.starts[:-1][part] + base, "n_tokens": np.diff(f.starts)[part], "ids_crc32": crc[part]})
 
     files = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return files.repartition(max(1, manifest.count())).mapInArrow(read, DOCUMENTS)
@@ -226,5 +229,4 @@ def op4_token_files(spark, sf_dir: str) -> DataFrame:
     """Every document's place in the token files and the checksum of its ids, as read back from them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     manifest = write_token_files(docs, scratch(spark, "token-files"))
-    out = read_token_files(manifest)
-    return out.select(F.when(F.col("doc_id") != -(2**63), F.col("doc_id")).alias("doc_id"), "start", "n_tokens", "ids_crc32")
+    return read_token_files(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")

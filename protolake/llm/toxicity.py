@@ -15,17 +15,17 @@ come from the highest ones of all clean texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField
 
-from protolake.llm.kernels import batch_chunks, ragged
+from protolake.llm.kernels import ragged
 from protolake.llm.labels import is_held_out, labelled_rows
+from protolake.llm.rows import judged
 from protolake.llm.words import Words, read_words
 
 WINDOW, STRIDE = 16, 8
@@ -33,6 +33,8 @@ WINDOW, STRIDE = 16, 8
 SIZES = (3, 4, 5)
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 14, 1 << 15
 WORD_WIDTH, CHAR_WIDTH, HIDDEN, ATTENTION = 8, 12, 8, 8
+#: Bytes between words: ASCII but letters, digits and the marks that stand for letters.
+BREAK = np.array([c < 0x80 and not chr(c).isalnum() and chr(c) not in "@$*#" for c in range(256)])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -173,7 +175,7 @@ class ToxicityModel:
 
     def highest(self, texts: list[str | None], batch: int = 4096) -> np.ndarray:
         """The highest logit of each text's windows; -inf without words."""
-        words = read_words(texts)
+        words = read_words(texts, BREAK)
         best = np.full(len(texts), -np.inf)
         if not words.n:
             return best
@@ -196,12 +198,12 @@ class ToxicityModel:
         return np.where(np.isfinite(logit), sigmoid(self.sharpness * np.nan_to_num(logit, neginf=0) + self.shift), 0.0)
 
 
-def train_toxicity(texts: list[str], labels: list[int], prior: float = 0.1, steps: int = 1200, batch: int = 64, rate: float = 0.01, seed: int = 1) -> ToxicityModel:
+def train_toxicity(texts: list[str], labels: list[int], prior: float = 0.1, steps: int = 2400, batch: int = 64, rate: float = 0.01, seed: int = 1) -> ToxicityModel:
     """Half of each batch is toxic. A fifth of the rows is left out and calibrates; prior: the toxic share of all labels."""
     rng = np.random.default_rng(seed)
     y = np.array(labels, np.int64)
     p = new_parameters(rng)
-    words = read_words(texts)
+    words = read_words(texts, BREAK)
     counts = np.bincount(words.doc, minlength=len(texts))
     begin = np.cumsum(counts) - counts
     held = np.arange(len(texts)) % 5 == 4
@@ -293,30 +295,32 @@ def calibrated(logit: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, f
     return float(a / scale), float(b - a * logit.mean() / scale)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 800, clean_rows: int = 1600) -> ToxicityModel:
-    """Train on labels.toxic of documents off the held-out fold (at most per_label toxic and clean_rows clean ones)."""
-    rows = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1)).dropDuplicates(["doc_id"]), "doc_id")
-    texts, marks, counts = labelled_rows(rows, "toxic", {0: clean_rows, 1: per_label}, 2)
-    return train_toxicity(texts, marks, (counts.get(1, 0) + 1) / (sum(counts.values()) + 2))
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 800, clean_rows: int = 1600, most_chars: int = 8_000_000) -> ToxicityModel:
+    """Train on labels.toxic of documents off the held-out fold.
+
+    At most per_label toxic and clean_rows clean whole texts, and of each label no more once they
+    hold most_chars characters. A doc_id with several labels is toxic if one of them says so.
+    """
+    marks = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    texts, found, counts = labelled_rows(docs.select("doc_id", F.col("text").cast("string").alias("text")), marks, {0: clean_rows, 1: per_label}, most_chars)
+    return train_toxicity(texts, found, (counts.get(1, 0) + 1) / (sum(counts.values()) + 2))
 
 
-def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """Adds score (0 to 1) and predicted (1 if score >= 0.5); drops columns of these names.
+def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", only_clean: bool = False) -> DataFrame:
+    """Adds score (0 to 1) and predicted (1 if score >= 0.5); replaces columns of these names, in any case.
 
-    Null and empty texts, and texts without words, score 0. Repeated rows are scored
-    each; an empty table gives no row; other columns stay.
+    Null and empty texts, and texts without words, score 0. Very long texts are scored whole. Repeated
+    rows are scored each; an empty table gives no row; other columns stay, whatever their names.
+    only_clean: the rows that are predicted 0, without the new columns.
     """
-    names = [c for c in df.columns if c not in ("score", "predicted")]
     shared = df.sparkSession.sparkContext.broadcast(model)  # some MB, whatever the input
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batch_chunks(batches, "_text"):
-            score = m.score(batch.column("_text").to_pylist())
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in names} | {"score": score, "predicted": (score >= 0.5).astype(np.int32)})
+    def judge(texts: list[str | None]) -> list:
+        score = shared.value.score(texts)
+        return [pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
 
-    schema = StructType([df.schema[c] for c in names] + [StructField("score", DoubleType()), StructField("predicted", IntegerType())])
-    return df.select(*names, F.col(text).cast("string").alias("_text")).mapInArrow(judge, schema)
+    added = [StructField("score", DoubleType()), StructField("predicted", IntegerType())]
+    return judged(df, text, added, judge, (lambda found: pa.array(found[1].to_numpy() == 0)) if only_clean else None)
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:

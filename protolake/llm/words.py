@@ -13,8 +13,8 @@ _BREAK = np.array([c < 0x80 and not chr(c).isalpha() for c in range(256)])
 _FOLD = np.array([c + 32 if 0x41 <= c <= 0x5A else c for c in range(256)], np.uint8)
 
 
-def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, buckets: int, sizes: tuple[int, ...] = (1, 2, 3, 4)) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each subword of each word, and the word it belongs to. data: bytes, folded, a break after each word.
+def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, buckets: int | None, sizes: tuple[int, ...] = (1, 2, 3, 4)) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket (without buckets: hash) of each subword of each word, and the word it belongs to. data: bytes, folded, a break after each word.
 
     Subwords: the whole word, and all n-grams of bytes of the word between two marks.
     """
@@ -28,18 +28,19 @@ def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, buckets: in
     marked = np.where(mark, data[np.clip(at, 0, len(data) - 1)], 0).astype(np.uint64) + np.uint64(1)
     rest = edge[owner] - np.arange(len(at))  # bytes to the end of the word, this one included
     code = np.zeros(len(at), np.uint64)
-    for n in range(1, max(sizes) + 1):
+    for n in range(1, min(max(sizes), len(at)) + 1):
         code[: len(at) - n + 1] = code[: len(at) - n + 1] * np.uint64(257) + marked[n - 1 :] if n > 1 else marked
         if n in sizes:
             keep = np.flatnonzero(rest >= n) if n > 1 else np.flatnonzero(mark)
             spots.append(mixed(code[keep] + np.uint64(n << 48)))
             whose.append(owner[keep])
-    return (np.concatenate(spots) % np.uint64(buckets)).astype(np.int64), np.concatenate(whose)
+    spots = np.concatenate(spots)
+    return spots if buckets is None else (spots % np.uint64(buckets)).astype(np.int64), np.concatenate(whose)
 
 
 @dataclass
 class Words:
-    """All words of a batch of texts: the text and the distinct word of each; where distinct words first stand."""
+    """All words of a batch of texts: the text and the distinct word of each; data, starts, ends: the distinct words' bytes."""
 
     doc: np.ndarray
     code: np.ndarray
@@ -52,16 +53,41 @@ class Words:
     def n(self) -> int:
         return len(self.hashes)
 
-    def subwords(self, buckets: int, sizes: tuple[int, ...], which: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+    def subwords(self, buckets: int | None, sizes: tuple[int, ...], which: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
         """Buckets of the subwords of distinct words, and the place in ``which`` of the word of each."""
         return subwords(self.data, self.starts[which], self.ends[which], buckets, sizes)
 
 
-def read_words(texts: list[str | None]) -> Words:
+def _slices(data: np.ndarray, is_break: np.ndarray, most: int):
+    """(first, last) ranges of about ``most`` bytes that cut no word."""
+    a = 0
+    while a < len(data):
+        b = min(a + most, len(data))
+        while b < len(data) and not is_break[data[b - 1]]:
+            ahead = np.flatnonzero(is_break[data[b : b + most]])
+            b = b + int(ahead[0]) + 1 if len(ahead) else min(b + most, len(data))
+        yield a, b
+        a = b
+
+
+def read_words(texts: list[str | None], is_break: np.ndarray = _BREAK, most: int = 1_000_000) -> Words:
+    """Words in lower case; texts are worked on ``most`` bytes at a time, so the memory beside them and their words is bounded."""
     blobs = [(x or "").lower().encode() for x in texts]
     data = _FOLD[np.frombuffer(b" " + b" ".join([*blobs, b""]), np.uint8)]
     ends = np.cumsum(np.fromiter((len(x) + 1 for x in blobs), np.int64, len(blobs))) + 1
-    starts, stops = word_spans(data, _BREAK)
-    hashes, code = distinct(span_hashes(BYTE_VALUES[data], starts, stops))
-    at = first_places(code, len(hashes))
-    return Words(np.searchsorted(ends, starts, side="right"), code, hashes, data, starts[at], stops[at])
+    del blobs
+    docs, hashes, firsts, lasts = [], [], [], []
+    for a, b in _slices(data, is_break, most):
+        starts, stops = word_spans(data[a:b], is_break)
+        docs.append(np.searchsorted(ends, starts + a, side="right"))
+        hashes.append(span_hashes(BYTE_VALUES[data[a:b]], starts, stops))
+        firsts.append(starts + a)
+        lasts.append(stops + a)
+    every = np.concatenate(hashes)
+    known, code = distinct(every)
+    at = first_places(code, len(known))
+    starts, stops = np.concatenate(firsts)[at], np.concatenate(lasts)[at]
+    lengths = stops - starts + 1  # with the break behind the word
+    own = np.concatenate([data[:1], data[ragged(starts, lengths)]])
+    stops = np.cumsum(lengths)
+    return Words(np.concatenate(docs), code, known, own, stops - lengths + 1, stops)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from protolake.llm import columns, encode, langid, licenses, minhash, mixing, packing, quality, queries, separators, storage, token_files, topk, toxicity
 from protolake.llm.components import components
+from protolake.llm.labels import labelled_rows
+from protolake.llm.words import read_words
 from tests.compare import SF, assert_same
 
 LONG = " ".join(f"w{k % 7919}" for k in range(30_000))
@@ -19,7 +21,7 @@ ROWS = [
     (1, BASE, "en", "a"), (2, BASE, "en", "a"), (3, BASE + " phi", "en", None), (4, None, None, "b"), (5, "", "en", "b"), (6, " \n\t ", "en", "b"), (7, "one two", "fr", "c"), (8, "One TWO", "fr", "c"),
     (9, LONG, "en", "a"), (10, "... 123 !!!", "de", "é"), (7, "one two", "fr", "c"), (None, "no id here", "en", "a"), (None, None, None, None),
 ]
-CLASH = ["score", "predicted", "lang_pred", "accepted", "kept", "n_words", "labels", "cleaned", "base_failed", "size", "taken", "begin", "row", "bands"]
+CLASH = ["score", "predicted", "lang_pred", "accepted", "kept", "n_words", "labels", "cleaned", "base_failed", "size", "taken", "begin", "row", "bands", "_text", "_id", "_words", "_lines", "_base", "kept_id", "nth", "c0", "a1", "judged_text", "slot", "scanned", "counted"]
 
 
 @pytest.fixture(scope="module")
@@ -74,7 +76,7 @@ def test_token_files_round_trip(spark, odd, none, docs, library):
         assert sorted(r["ids_crc32"] for r in got) == crc
         ordered = sorted(got, key=lambda r: r["start"])
         assert [r["start"] for r in ordered] == np.cumsum([0, *(r["n_tokens"] for r in ordered)])[:-1].tolist()
-        assert [r["doc_id"] for r in ordered] == sorted(r["doc_id"] for r in got)
+        assert [r["doc_id"] for r in ordered] == sorted((r["doc_id"] for r in got), key=lambda x: (x is not None, x or 0))
     uri = manifest.filter("n_docs > 0").first()["path"]
     f = token_files.TokenFile(uri)
     whole = f.ids(0, f.n)
@@ -82,6 +84,12 @@ def test_token_files_round_trip(spark, odd, none, docs, library):
     assert token_files.read_token_files(token_files.write_token_files(none, storage.scratch(spark, "t"))).count() == 0
 
 
+def test_smallest_id_is_no_null(spark):
+    df = spark.createDataFrame([(-(2**63), "a b"), (None, "c"), (2**63 - 1, None)], "doc_id long, text string")
+    got = token_files.read_token_files(token_files.write_token_files(df, storage.scratch(spark, "t"))).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, -(2**63), 2**63 - 1]
+
+
 def test_blocks_with_exceptions():
     rng = np.random.default_rng(0)
     for high in (1, 2, 50_000, 2**32 - 1):
@@ -133,33 +141,104 @@ def test_sum_of_squares_by_brute_force():
 
 def test_separator_scan_over_small_blocks(spark, odd, none, library):
     written = separators.write_flat_files(odd, storage.scratch(spark, "f"))
-    got = separators.scan_flat_files(written.filter("n_bytes is not null").select("path", "n_bytes"), block_bytes=64)
+    got = separators.scan_flat_files(written.filter("n_bytes is not null").select("path", "n_bytes", "id_bytes"), block_bytes=64)
     names = written.filter("ordinal is not null").select("path", "ordinal", "doc_id")
     found = sorted((r["doc_id"] or 0, r["n_tokens"]) for r in names.join(got, ["path", "ordinal"]).collect())
     assert found == sorted((r[0] or 0, len(library.encode(r[1] or "", add_special_tokens=False).ids)) for r in ROWS)
     assert separators.write_flat_files(none, storage.scratch(spark, "f")).count() == 0
 
 
+def test_flat_files_of_large_vocabularies(spark, tmp_path):
+    """Ids above 65535 are written whole."""
+    import json
+
+    vocabulary = {f"t{k}": k for k in range(70_000)}
+    path = tmp_path / "large.json"
+    path.write_text(json.dumps({"version": "1.0", "model": {"type": "WordLevel", "vocab": vocabulary, "unk_token": "t0"}}))
+    assert separators.id_bytes(str(path), 69_999) == 4 and separators.id_bytes(encode.tokenizer_path(), separators.END_ID) == 2
+    ids = np.array([69_999, 5, 69_999 - 65_536, 69_999, 69_999], "<u4")
+    with storage.open_to_write(f"file://{tmp_path}/f.ids") as f:
+        f.write(ids.tobytes())
+    files = spark.createDataFrame([(f"file://{tmp_path}/f.ids", 20, 4)], "path string, n_bytes long, id_bytes int")
+    got = separators.scan_flat_files(files, 69_999, block_bytes=8).orderBy("start").collect()
+    assert [r["n_tokens"] for r in got] == [0, 2, 0]
+
+
+def python_mix(rows, share=1.5, weights=(5, 2, 1), most=2):
+    """rows (doc_id, text, source) -> target of each source, by water filling round by round."""
+    sizes: dict = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(re.findall(mixing.WORD, t or ""))
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    left, target, free = share * sum(sizes.values()), dict.fromkeys(sizes, 0.0), set(sizes)
+    while free:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] >= most * sizes[s]}
+        for s in over or free:
+            target[s] = most * sizes[s] if over else level * weight[s]
+            left -= target[s]
+        free -= over or free
+    return sizes, target
+
+
 def test_mix(spark, odd, none, docs):
     for df in (docs, odd):
-        d, s, p = mixing.mix(df)
-        got = mixing.taken(d, s, p).collect()
+        d, sources, slots = mixing.mix(df)
+        got = mixing.taken(d, slots).collect()
         assert len(got) == df.count() and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+        sizes, target = python_mix([tuple(r) for r in df.select("doc_id", "text", "source").collect()])
         by: dict = {}
         for r in got:
             by.setdefault(r["source"], []).append(r)
-        total = sum(r["size"] for r in got)
-        assert abs(sum(x[0]["target"] for x in by.values()) - min(1.5 * total, 2 * total)) < 1e-3 * max(1, total)
-        for rows in by.values():
-            assert sum(r["size"] for r in rows) == rows[0]["source_size"] and abs(sum(r["taken"] for r in rows) - rows[0]["target"]) <= 1
-    again = mixing.taken(*mixing.mix(odd)).collect()
+        for s, rows in by.items():
+            assert rows[0]["source_size"] == sizes[s] == sum(r["size"] for r in rows) and abs(rows[0]["target"] - target[s]) < 1e-6
+            assert abs(sum(r["taken"] for r in rows) - target[s]) <= 8 * rows[0]["block"]
+        assert all((r["first_slot"] is None) == (r["n_slots"] == 0) == (r["taken"] == 0) for r in got)
+    again = mixing.taken(*[mixing.mix(odd)[k] for k in (0, 2)]).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
-    assert mixing.taken(*mixing.mix(none)).count() == 0
+    d, _, slots = mixing.mix(none)
+    assert mixing.taken(d, slots).count() == 0
     skewed = [("s0", 300), ("s1", 200), ("s2", 10), ("s3", 5), ("s4", 100), (None, 1)]
     t = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(skewed, "source string, source_size long")).collect()}
     assert t["s3"] == 10 and t[None] == 2 and abs(sum(t.values()) - 1.5 * 616) < 1e-6
 
 
+def test_every_run_of_slots_is_near_the_targets(spark, docs, monkeypatch):
+    _, sources, slots = mixing.mix(docs)
+    blocks = {r["no"]: r["target"] / r["block"] for r in sources.collect()}
+    total, drawn = sum(blocks.values()), slots.orderBy("slot").select("no", "slot").toPandas()
+    for a in range(0, len(drawn), 997):
+        for n in (50, 500, 5000):
+            run = drawn[(drawn.slot >= a) & (drawn.slot < a + n)].no.value_counts()
+            if a + n <= total:
+                assert all(abs(run.get(k, 0) - n * b / total) <= 8 for k, b in blocks.items())
+    monkeypatch.setattr(mixing, "_GOLDEN", 1)  # points that are not spread: the mix must follow them
+    d, sources, slots = mixing.mix(docs)
+    rows = mixing.taken(d, slots).groupBy("no").agg(F.sum("taken").alias("n"), F.first("target").alias("t")).collect()
+    assert sum(abs(r["n"] - r["t"]) > 0.5 * r["t"] for r in rows) > len(rows) / 2
+
+
+def test_mixed_rows_follow_the_slots(spark, docs, odd):
+    for df in (docs, odd):
+        d, _, slots = mixing.mix(df)
+        times: dict = {}
+        for r in slots.collect():
+            times.setdefault((r["no"], r["k"]), []).append(r["slot"])
+        want, order = {}, {}
+        for r in d.filter("size > 0").collect():
+            mine = times.get((r["no"], r["begin"] // r["block"]), [])
+            want[r["doc_id"], r["source"]] = want.get((r["doc_id"], r["source"]), 0) + len(mine)
+            order.setdefault((r["doc_id"], r["source"]), set()).update(mine)
+        rows, got = mixing.mixed(df).collect(), {}
+        assert mixing.mixed(df).columns == df.columns
+        for r in rows:
+            got[r["doc_id"], r["source"]] = got.get((r["doc_id"], r["source"]), 0) + 1
+        assert got == {k: n for k, n in want.items() if n}
+        first = [min(order[r["doc_id"], r["source"]]) for r in rows]
+        assert all(a <= max(order[r["doc_id"], r["source"]]) for a, r in zip(first, rows))
+
+
 def jaccard_components(rows):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
@@ -212,9 +291,10 @@ def test_all_pairs_between_components(spark):
     rows = near_copies() * 5
     rows = [(k, t + f" v{k % 400} x{k % 7}") for k, (_, t) in enumerate(rows)]
     df = spark.createDataFrame(rows, "id long, text string")
-    signed = minhash.sign(df.withColumnRenamed("id", "doc_id")).select(F.col("doc_id").alias("id"), "sig")
-    members = df.join(signed, "id").select(F.lit(1).alias("bucket"), F.lit(len(rows)).cast("long").alias("n"), "id", F.col("id").alias("component"), "sig", "text")
-    found = {r["id"]: r["component"] for r in components(minhash.across(members)).collect()}
+    docs = df.withColumnRenamed("id", "doc_id")
+    signed = minhash.sign(docs).select(F.col("doc_id").alias("id"), "sig", "n_shingles")
+    members = signed.select(F.lit(1).cast("long").alias("bucket"), F.lit(len(rows)).cast("long").alias("n"), "id", F.col("id").alias("component"), "sig", "n_shingles")
+    found = {r["id"]: r["component"] for r in components(minhash.across(members, docs)).collect()}
     want = jaccard_components(rows)
     assert {k: found.get(k, k) for k, _ in rows} == {k: v[1] for k, v in want.items()}
 
@@ -246,6 +326,25 @@ def test_top_k_by_brute_force(spark):
     assert len(got) == 8 and topk.top_k(df.filter("vec_id < 0"), df.filter("vec_id < 0")).count() == 0
 
 
+def test_bounds_prune_and_lengths_stay_apart(spark):
+    """Most pairs get no exact product; vectors of other lengths are never compared."""
+    v = topk.integer_vectors(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"))
+    asked = v.filter("vec_id % 100 = 0")
+    for block_rows in (8000, 500):
+        products = topk.searched(v, asked, block_rows=block_rows).agg(F.sum("exact")).first()[0]
+        assert products < (0.25 if block_rows == 8000 else 0.5) * asked.count() * v.count()
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(0, 0.2, 3 + k % 4).tolist()) for k in range(90)] + [(200, rng.normal(0, 1, 7).tolist())]
+    df = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    held = {k: np.floor(1024 * np.array(x)).astype(np.int64) for k, x in rows}
+    got: dict = {}
+    for r in topk.top_k(df, df.filter("vec_id % 10 = 0"), 5, block_rows=20, query_rows=4).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for q in (k for k in held if k % 10 == 0):
+        score = {k: int(x @ held[q]) for k, x in held.items() if k != q and len(x) == len(held[q])}
+        assert got.get(q, []) == sorted(score.items(), key=lambda e: (-e[1], e[0]))[:5]
+
+
 def test_quality_of_odd_rows(odd, none):
     got = quality.quality(odd).select("doc_id", "n_words", "n_repeat_words", "base_failed", "kept", "cleaned").collect()
     assert len(got) == len(ROWS) and all(r["base_failed"] and not r["kept"] for r in got if r["n_words"] < 50)
@@ -326,6 +425,32 @@ def test_wrapped_licenses_equal_brute_force(spark):
     assert any(wanted.values())
 
 
+def test_templates_that_share_a_label(spark):
+    templates = {"alpha beta gamma": "x", "delta epsilon zeta": "x"}
+    df = spark.createDataFrame([(1, "Alpha beta GAMMA"), (2, "- delta\n- epsilon zeta"), (3, "alpha epsilon gamma")], "doc_id long, text string")
+    assert [r["labels"] for r in licenses.scan_licenses(df, templates=templates).orderBy("doc_id").collect()] == ["x", "x", ""]
+
+
+def test_hundreds_of_templates_equal_brute_force(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randint(0, 400) ** 2 // 400}" for _ in range(400)]
+    templates = [(" ".join(rng.sample(words, rng.randint(4, 14))), f"l{k % 90}") for k in range(500)]
+    rows = []
+    for k in range(150):
+        lines = []
+        for _ in range(rng.randint(0, 6)):
+            t = rng.choice(templates)[0].split()
+            line = [w for w in t if rng.random() > 0.06] + rng.choices(words, k=rng.randint(0, 4))
+            rng.shuffle(line)
+            lines.append(" ".join(line) + "\n")  # an empty line behind each: no block is wider
+        rows.append((k, "\n".join(lines)))
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates=templates, phrases={}).collect()}
+    sets = [(set(t.split()), x) for t, x in templates]
+    for k, text in rows:
+        found = [(x, len(t & b) / len(t)) for b in (set(y.split()) for y in text.split("\n")) for t, x in sets if 100 * len(t & b) >= 90 * len(t)]
+        assert got[k] == (",".join(sorted({x for x, _ in found})), max((p for _, p in found), default=0.0))
+
+
 def test_language_id_on_held_out_rows(spark, odd, none, docs):
     all_docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit_languages(all_docs, per_label=100)
@@ -349,16 +474,91 @@ def test_language_id_learns_every_language(spark):
     assert all(r["lang"] == r["lang_pred"] for r in got if r["lang"] == "l69") and sum(r["lang"] == r["lang_pred"] for r in got) >= 0.9 * len(got)
 
 
-def test_toxicity_on_held_out_rows(spark, odd, none):
-    d = "/root/testdata/sf0.01"
-    all_docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    model = toxicity.fit_toxicity(all_docs, labels)
-    got = toxicity.score_toxicity(all_docs, model).join(labels, "doc_id").collect()
-    for toxic in (0, 1):
+def test_rejection_of_other_languages(spark, docs):
+    all_docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit_languages(all_docs, per_label=100)
+    foreign = ["xkcd qwrtp zxcvb mnbvc lkjhg fdsqw rtzpl kjhgf wqxzt", "Wszyscy ludzie rodz\u0105 si\u0119 wolni i r\u00f3wni pod wzgl\u0119dem swej godno\u015bci", "\u4eba\u4eba\u751f\u800c\u81ea\u7531", "\u0412\u0441\u0435 \u043b\u044e\u0434\u0438 \u0440\u043e\u0436\u0434\u0430\u044e\u0442\u0441\u044f \u0441\u0432\u043e\u0431\u043e\u0434\u043d\u044b\u043c\u0438"]
+    best, p = model.predict(foreign)
+    assert (best >= 0).all() and (p < model.least).all()
+    plain = langid.LanguageModel(model.languages, model.by_bucket[:, :-1], model.bias[:-1], model.sharpness, model.least)
+    assert (plain.predict(foreign)[1] >= model.least).any()  # without the learned class they would pass
+    kept = langid.identify(all_docs.filter("lang is not null"), model, only_accepted=True)
+    assert kept.columns == all_docs.columns and kept.count() >= 0.99 * all_docs.filter("lang is not null").count()
+    assert 0.01 < langid.fitted_sharpness(np.array([[2.0, 0], [0, 2.0], [1.0, 0]]), np.array([0, 1, 1])) < 10
+
+
+def test_training_rows_are_whole_and_bounded(spark):
+    long = "x " * 50_000
+    rows = [(k, long if k % 7 == 0 else f"text {k}", "a" if k % 3 else "b") for k in range(600)] + [(k, None, "a") for k in range(600, 700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    held = {k for k, *_ in rows if zlib.crc32(str(k).encode()) % 5 == 0}
+    texts, labels, counts = labelled_rows(df, None, {"a": 40, "b": 30})
+    assert labels.count("a") == 40 and labels.count("b") == 30 and set(map(len, texts)) <= {len(long)} | set(range(5, 10))
+    assert counts == {x: sum(1 for k, t, y in rows if t and y == x and k not in held) for x in "ab"}
+    mine = labelled_rows(df.select("doc_id", "text"), df.select("doc_id", "label"), {"a": 40, "b": 30})
+    assert sorted(zip(mine[0], mine[1])) == sorted(zip(texts, labels)) and mine[2] == counts
+    assert sum(map(len, labelled_rows(df, None, 400, 300_000)[0])) < 2 * 400_100
+    same = spark.createDataFrame([(7, f"t{k}", "a") for k in range(50)], "doc_id long, text string, label string")
+    assert len(labelled_rows(same, None, 10)[0]) == 10  # one id for all rows: still a full sample
+
+
+def slow_score(model, text):
+    """The score of one text, window by window and word by word."""
+    p, h = model.parameters, toxicity.HIDDEN
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    words = re.findall(r"[0-9a-z@$*#\x80-\xff]+", (text or "").lower().encode().decode("latin-1"))
+    vectors = []
+    if not words:
+        return 0.0
+    for w in words:
+        one = read_words([w.encode("latin-1").decode()], toxicity.BREAK)
+        spots, _ = one.subwords(toxicity.CHAR_BUCKETS, toxicity.SIZES)
+        v = np.concatenate([p["words"][int(one.hashes[0]) % toxicity.WORD_BUCKETS], p["chars"][spots].mean(0)])
+        vectors.append(v @ p["input"] + p["bias"])
+    best = None
+    for a in range(0, 1 if len(words) <= 16 else len(words) - 16 + 8, 8):
+        run = vectors[a : a + 16]
+        states = []
+        for d, order in ((0, run), (1, run[::-1])):
+            s, mine = np.zeros(h), []
+            for x in order:
+                x = x[3 * h * d : 3 * h * (d + 1)]
+                z, r = np.split(sig(x[: 2 * h] + s @ p["gates"][d]), 2)
+                s = s + z * (np.tanh(x[2 * h :] + (r * s) @ p["state"][d]) - s)
+                mine.append(s)
+            states.append(mine if d == 0 else mine[::-1])
+        joined = [np.concatenate(x) for x in zip(*states)]
+        weight = np.exp([float((np.tanh(x @ p["look"] + p["look_bias"]) @ p["look_out"])[0]) for x in joined])
+        logit = float((sum(w * x for w, x in zip(weight / weight.sum(), joined)) @ p["out"])[0] + p["out_bias"][0])
+        best = logit if best is None else max(best, logit)
+    return float(sig(model.sharpness * best + model.shift))
+
+
+@pytest.fixture(scope="module")
+def toxic_model(spark):
+    d = "/root/testdata/sf0.1"
+    return toxicity.fit_toxicity(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+
+
+def test_toxicity_on_held_out_rows(spark, odd, none, toxic_model):
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet").filter(langid.is_held_out(F.col("doc_id"))) for t in ("documents", "labels"))
+    got = toxicity.score_toxicity(docs.join(labels, "doc_id"), toxic_model).collect()
+    for toxic, least in ((0, 0.97), (1, 0.75)):
         mine = [r["predicted"] for r in got if r["toxic"] == toxic]
-        assert sum(p == toxic for p in mine) >= (0.95 if toxic == 0 else 0.6) * len(mine)
-    rows = toxicity.score_toxicity(odd, model).collect()
-    assert len(rows) == len(ROWS) and all(0 <= r["score"] <= 1 for r in rows) and toxicity.score_toxicity(none, model).count() == 0
+        assert len(mine) > 50 and sum(p == toxic for p in mine) >= least * len(mine)
+    rows = toxicity.score_toxicity(odd, toxic_model).collect()
+    assert len(rows) == len(ROWS) and all(0 <= r["score"] <= 1 for r in rows) and toxicity.score_toxicity(none, toxic_model).count() == 0
+    assert all(r["_text"] == "x" for r in rows) and all((r["predicted"] == 1) == (r["score"] >= 0.5) for r in rows)
+    kept = toxicity.score_toxicity(odd, toxic_model, only_clean=True)
+    assert kept.columns == odd.columns and kept.count() == sum(r["predicted"] == 0 for r in rows)
+
+
+def test_toxicity_equals_a_slow_scorer(spark, toxic_model, docs):
+    texts = [r[0] for r in docs.select("text").limit(25).collect()] + ["", None, "...", "a", "12 34", "un deux tr\u00e8s " * 9, "@$$ b*d #1 word!"]
+    fast = toxic_model.score([x and x[:900] for x in texts])
+    assert np.allclose(fast, [slow_score(toxic_model, x and x[:900]) for x in texts], atol=2e-4)
+    assert np.allclose(fast, [toxic_model.score([x and x[:900]])[0] for x in texts], atol=1e-5)
 
 
 def test_gradients_of_the_recurrent_network():
@@ -387,14 +587,61 @@ def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    counts = [docs.count()]
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, docs, "/root/testdata/sf0.01")
-        out.write.parquet(f"{tmp_path}/{k}")
-        back = spark.read.parquet(f"{tmp_path}/{k}")
+        before = docs
+        stage(spark, docs, "/root/testdata/sf0.01").write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        counts.append(docs.count())
         if k < 4:
-            assert back.columns == docs.columns
-        docs = back
-    assert docs.count() > 0
+            assert docs.columns == before.columns
+        if k == 0:
+            gone = before.join(docs, "doc_id", "left_anti").collect()
+            assert sum(labels.get(r["doc_id"]) == 0 for r in gone) <= 0.05 * sum(x == 0 for x in labels.values())
+        if k == 2:
+            want = jaccard_components([(r["doc_id"], r["text"]) for r in before.select("doc_id", "text").collect()])
+            assert sorted(r["doc_id"] for r in docs.collect()) == sorted(d for d, w in want.items() if w[2])
+    assert counts[1] > 0.8 * counts[0] and counts[2] > 0.98 * counts[1] and docs.count() > 0
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_pipeline_stage_on_odd_rows(spark, odd, none, tmp_path, k):
+    """Nulls, empty and very long texts, ties, repeated rows, clashing names and an empty table, stage by stage."""
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    _, stage = corpus_pipeline.STAGES[k]
+    more = odd.unionByName(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang", "source").withColumn("doc_id", F.col("doc_id") + 1000), allowMissingColumns=True)
+    out = stage(spark, more, d)
+    out.write.parquet(f"{tmp_path}/some")
+    rows = spark.read.parquet(f"{tmp_path}/some").collect()
+    empty = stage(spark, none, d)
+    assert empty.count() == 0
+    if k == 4:
+        assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in more.collect()}
+        return
+    assert out.columns == odd.columns == empty.columns
+    ids = [r["doc_id"] for r in rows]
+    if k == 0:
+        assert {4, 5, 6} <= set(ids) and ids.count(7) == 2 and len(rows) > 150
+    if k == 1:
+        assert not {4, 5, 6, 10} & set(ids) and len(rows) > 150
+    if k == 2:
+        assert {1, 4, 5, 6, 9, 10} <= set(ids) and 2 not in ids and 3 not in ids and 8 not in ids and ids.count(7) == 1 and ids.count(None) == 2
+    if k == 3:
+        assert not {4, 5, 6} & set(ids) and max(ids.count(x) for x in set(ids) - {None, 7}) <= 2
+    whole = {r["doc_id"]: r["text"] for r in more.collect() if r["doc_id"] not in (None, 7)}
+    assert all(r["text"] == whole[r["doc_id"]] for r in rows if r["doc_id"] in whole)
+
+
+def test_storage_is_refused_on_a_cluster_without_a_shared_folder():
+    class Far:
+        conf = {}
+        sparkContext = type("C", (), {"master": "local-cluster[3,2,3000]"})()
+
+    with pytest.raises(ValueError):
+        storage.shared_dir(Far)
 
 
 def test_let_computes_once(spark):
