@@ -1,7 +1,10 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage
-before kept; all but the last return the columns of documents.
+before kept; all but the last return the columns of documents. Further columns
+stay, whatever their names (temporary columns get names that the table does not
+have). Null, empty and repeated texts are defined in each stage's docstring; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -11,51 +14,52 @@ from pyspark.sql import functions as F
 
 from protolake.llm.langid import fit_languages, identify
 from protolake.llm.minhash import near_duplicates
-from protolake.llm.mixing import mix, taken
+from protolake.llm.mixing import mixed
 from protolake.llm.packing import pack_documents
+from protolake.llm.rows import unused
 from protolake.llm.storage import scratch, stored
 from protolake.llm.toxicity import fit_toxicity, score_toxicity
 
 
-def _whole_rows(docs: DataFrame) -> DataFrame:
-    """text beside the whole row, so that no column of a row can clash with an operator's."""
-    return docs.select(F.struct("*").alias("row"), "text")
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are predicted toxic go."""
+    """Documents that are predicted toxic go. Null, empty and wordless texts score 0 and stay; repeated rows share their fate."""
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_toxicity(_whole_rows(docs), model).filter("predicted = 0").select("row.*")
+    return score_toxicity(docs, model, only_clean=True)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose best language is below the rejection level, go."""
-    return identify(_whole_rows(docs), fit_languages(docs)).filter("accepted").select("row.*")
+    """Documents without a letter (null and empty ones too), or whose best language is below the rejection level, go."""
+    return identify(docs, fit_languages(docs), only_accepted=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each component stays, once; rows without doc_id stay."""
-    kept = stored(near_duplicates(docs).filter("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "kept")
-    out = docs.join(kept.select("_id"), docs["doc_id"] == F.col("_id"), "left_semi").unionByName(docs.filter("doc_id is null"))
-    repeated = kept.filter("_n > 1").select("_id")
+    """The document with the least doc_id of each component stays, once; texts without a shingle (null, empty) and rows without doc_id are linked with nothing and stay.
+
+    Rows of one doc_id are one document: the one with the least hash of its text stays.
+    """
+    kept = stored(near_duplicates(docs).filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    mine, nth = unused(docs, "kept_id"), unused(docs, "nth")
+    ids = lambda rows: rows.select(F.col("doc_id").alias(mine))
+    same = F.col("doc_id") == F.col(mine)
+    out = docs.join(ids(kept), same, "left_semi").unionByName(docs.filter("doc_id is null"))
+    repeated = kept.filter("n > 1")
     if repeated.isEmpty():
         return out
-    single = out.join(repeated, F.col("doc_id") == F.col("_id"), "left_anti")
-    several = out.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi")
-    return single.unionByName(several.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).filter("_k = 1").drop("_k"))
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    once = out.join(ids(repeated), same, "left_semi").withColumn(nth, F.row_number().over(first)).filter(F.col(nth) == 1).drop(nth)
+    return out.join(ids(repeated), same, "left_anti").unionByName(once)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times, rounded, as the mix takes its words: none, one or two."""
-    shares = taken(*mix(docs)).filter("taken > 0").select("doc_id", "source", F.round(F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    copies = shares.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    met = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]) & docs["source"].eqNullSafe(copies["_source"]))
-    # rows that share doc_id and source (there are none behind the dedup stage, but for null ids) share their copies
-    each = F.greatest(F.lit(0), F.least(F.lit(2), F.round(F.col("_copies") / F.col("_rows")))).cast("int")
-    return met.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), each))).drop("_id", "_source", "_copies", "_rows", "_copy")
+    """The documents in the order of the mix, each as often as slots take the block that it begins in: none, one or two times.
+
+    Texts without a word (null, empty) are in no block and go; a null source is a source; repeated rows are documents each.
+    """
+    return mixed(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece of every document, with its sequence and its offset there. Null and empty texts give one piece with the end id."""
     return pack_documents(docs).drop("row_id")
 
 
