@@ -104,8 +104,8 @@ def train_languages(texts: list[str], labels: list[str], buckets: int = 1 << 16,
     bad = negatives(texts, made, rng)
     texts, y = [*texts, *bad], np.array([languages.index(x) for x in labels] + [k] * len(bad))
     words = read_words(texts)
-    spots, whose = words.subwords(buckets, SIZES)
-    spots, per = spots[np.argsort(whose, kind="stable")], np.bincount(whose, minlength=words.n)
+    spots, whose = words.subwords(buckets, SIZES, ordered=True)
+    per = np.bincount(whose, minlength=words.n)
     first = np.cumsum(per) - per
     n_words = np.bincount(words.doc, minlength=len(texts))
     begin = np.cumsum(n_words) - n_words
@@ -139,10 +139,10 @@ def train_languages(texts: list[str], labels: list[str], buckets: int = 1 << 16,
     check = np.flatnonzero(held)
     if len(check):
         logits, truth = [], []
-        for a in range(0, len(check), 200):
-            some = [texts[j] for j in check[a : a + 200]]
+        for a in range(0, len(check), 50):
+            some = [texts[j] for j in check[a : a + 50]]
             logits += [model.logits(some), model.logits([" ".join(x.split()[: 3 + j % 20]) for j, x in enumerate(some)])]
-            truth += [y[check[a : a + 200]]] * 2
+            truth += [y[check[a : a + 50]]] * 2
         logits, truth = np.concatenate(logits), np.concatenate(truth)
         model.sharpness = fitted_sharpness(logits, truth)
         p = softmax(logits * model.sharpness)[:, :k]

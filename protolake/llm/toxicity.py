@@ -130,15 +130,22 @@ class Subwords:
 
     @classmethod
     def of(cls, words: Words, which=slice(None)) -> Subwords:
-        spots, whose = words.subwords(CHAR_BUCKETS, SIZES, which)
+        spots, whose = words.subwords(CHAR_BUCKETS, SIZES, which, ordered=True)
         n = len(words.hashes[which])
         count = np.bincount(whose, minlength=n)
-        return cls((words.hashes[which] % np.uint64(WORD_BUCKETS)).astype(np.int64), spots[np.argsort(whose, kind="stable")], np.cumsum(count) - count, count)
+        return cls((words.hashes[which] % np.uint64(WORD_BUCKETS)).astype(np.int32), spots, np.cumsum(count) - count, count)
 
     def vectors(self, p: dict[str, np.ndarray]) -> np.ndarray:
         chars = np.add.reduceat(p["chars"][self.spots], self.first, axis=0) / self.count[:, None]
         return np.concatenate([p["words"][self.word], chars.astype(np.float32)], 1)
 
+    def inputs(self, p: dict[str, np.ndarray], block: int = 8192) -> np.ndarray:
+        """Projected inputs of all words, a block of them at a time."""
+        out = np.empty((len(self.word), 6 * HIDDEN), np.float32)
+        for a in range(0, len(out), block):
+            out[a : a + block] = self.some(np.arange(a, min(a + block, len(out)))).vectors(p) @ p["input"] + p["bias"]
+        return out
+
     def some(self, which: np.ndarray) -> Subwords:
         count = self.count[which]
         return Subwords(self.word[which], self.spots[ragged(self.first[which], count)], np.cumsum(count) - count, count)
@@ -151,7 +158,7 @@ class ToxicityModel:
     parameters: dict[str, np.ndarray]
     sharpness: float = 1.0
     shift: float = 0.0
-    most_words: int = 250_000
+    most_words: int = 150_000
     _known: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     _rows: np.ndarray = field(default_factory=lambda: np.zeros((0, 6 * HIDDEN), np.float32))
 
@@ -164,7 +171,7 @@ class ToxicityModel:
         out[~new] = self._rows[at[~new]]
         if new.any():
             fresh = np.flatnonzero(new)
-            out[fresh] = Subwords.of(words, fresh).vectors(p) @ p["input"] + p["bias"]
+            out[fresh] = Subwords.of(words, fresh).inputs(p)
             if len(self._known) + len(fresh) > self.most_words:
                 self._known, self._rows = self._known[:0], self._rows[:0]
             if len(fresh) <= self.most_words:
@@ -234,7 +241,7 @@ def train_toxicity(texts: list[str], labels: list[int], prior: float = 0.1, step
         """Clean texts' highest windows."""
         text, start, _ = windows_of(counts[rows[0]])
         docs, starts = rows[0][text], start
-        inputs = every.vectors(p) @ p["input"] + p["bias"]
+        inputs = every.inputs(p)
         logits = []
         for a in range(0, len(docs), 4096):
             code, mask = gather(docs[a : a + 4096], starts[a : a + 4096])
@@ -278,7 +285,8 @@ def train_toxicity(texts: list[str], labels: list[int], prior: float = 0.1, step
     check = np.flatnonzero(held & (counts > 0))
     if len(np.unique(y[check])) < 2:
         check = np.flatnonzero(counts > 0)
-    model.sharpness, model.shift = calibrated(model.highest([texts[k] for k in check]), y[check], prior)
+    logits = [model.highest([texts[k] for k in check[a : a + 50]]) for a in range(0, len(check), 50)]
+    model.sharpness, model.shift = calibrated(np.concatenate(logits), y[check], prior)
     return model
 
 

@@ -13,11 +13,26 @@ _BREAK = np.array([c < 0x80 and not chr(c).isalpha() for c in range(256)])
 _FOLD = np.array([c + 32 if 0x41 <= c <= 0x5A else c for c in range(256)], np.uint8)
 
 
-def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, buckets: int | None, sizes: tuple[int, ...] = (1, 2, 3, 4)) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket (without buckets: hash) of each subword of each word, and the word it belongs to. data: bytes, folded, a break after each word.
+def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, buckets: int, sizes: tuple[int, ...] = (1, 2, 3, 4), ordered: bool = False, block: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each subword of each word, and the word it belongs to (ordered: word by word). data: bytes, folded, a break after each word.
 
     Subwords: the whole word, and all n-grams of bytes of the word between two marks.
+    Words are worked on in blocks, so the memory beside the result is bounded.
     """
+    spots, whose = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for a in range(0, len(starts), block):
+        part, of = _subwords(data, starts[a : a + block], ends[a : a + block], buckets, sizes)
+        if ordered:
+            order = np.argsort(of, kind="stable")
+            part, of = part[order], of[order]
+        spots.append(part.astype(np.int32))
+        whose.append((of + a).astype(np.int32))
+    return np.concatenate(spots), np.concatenate(whose)
+
+
+def _subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, buckets: int, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    first = int(starts.min()) - 1  # words stand near each other: only their bytes are looked at
+    data, starts, ends = data[first : int(ends.max()) + 1], starts - first, ends - first
     spots, whose = [span_hashes(BYTE_VALUES[data], starts, ends)], [np.arange(len(starts))]
     lengths = ends - starts + 2
     at = ragged(starts - 1, lengths)
@@ -34,8 +49,7 @@ def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, buckets: in
             keep = np.flatnonzero(rest >= n) if n > 1 else np.flatnonzero(mark)
             spots.append(mixed(code[keep] + np.uint64(n << 48)))
             whose.append(owner[keep])
-    spots = np.concatenate(spots)
-    return spots if buckets is None else (spots % np.uint64(buckets)).astype(np.int64), np.concatenate(whose)
+    return (np.concatenate(spots) % np.uint64(buckets)).astype(np.int64), np.concatenate(whose)
 
 
 @dataclass
@@ -53,9 +67,9 @@ class Words:
     def n(self) -> int:
         return len(self.hashes)
 
-    def subwords(self, buckets: int | None, sizes: tuple[int, ...], which: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets of the subwords of distinct words, and the place in ``which`` of the word of each."""
-        return subwords(self.data, self.starts[which], self.ends[which], buckets, sizes)
+    def subwords(self, buckets: int, sizes: tuple[int, ...], which: np.ndarray | slice = slice(None), ordered: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of the subwords of distinct words, and the place in ``which`` of the word of each (ordered: word by word)."""
+        return subwords(self.data, self.starts[which], self.ends[which], buckets, sizes, ordered)
 
 
 def _slices(data: np.ndarray, is_break: np.ndarray, most: int):
