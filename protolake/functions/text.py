@@ -20,12 +20,6 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def trigrams(text: Column) -> Column:
-    """All runs of three characters of the lower-cased text between two underscores."""
-    padded = F.concat(F.lit("_"), F.lower(F.coalesce(text, F.lit(""))), F.lit("_"))
-    return let(F.filter(F.split(padded, ""), lambda c: c != ""), lambda cs: F.transform(F.slice(cs, 1, F.greatest(F.size(cs) - 2, F.lit(1))), lambda c, i: F.concat(c, F.coalesce(F.get(cs, i + 1), F.lit("")), F.coalesce(F.get(cs, i + 2), F.lit("")))))
-
-
 def replaced(text: Column, rules, flags: str = "(?i)") -> Column:
     for pattern, by in rules:
         text = F.regexp_replace(text, flags + pattern, by)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from protolake.functions.text import let
 from protolake.refdata import RELATION_CUES, TYPE_RELATIONS
 
 TAGS = ["O", "B-ELIGIBILITY", "I-ELIGIBILITY", "B-CONDITION", "I-CONDITION", "O", "I-CONDITION", "B-MEDICATION", "I-MEDICATION"]
@@ -97,30 +99,75 @@ def pairs_sql(entities: str) -> str:
     return f"SELECT s.doc_id, {cols('s')}, {cols('t')} FROM ({entities}) s JOIN ({entities}) t ON s.doc_id = t.doc_id AND s.e <> t.e AND NOT (abs(s.stop - t.start) > 500 AND abs(t.stop - s.start) > 500)"
 
 
-def _cue(text: Column) -> Column:
-    """The first type in order of which a cue stands in the text: one pass finds all cues, longest first; a cue also counts for the types whose cues are among its words."""
-    types = list(RELATION_CUES)
-    cues = sorted({c for cs in RELATION_CUES.values() for c in cs}, key=lambda c: (-len(c), c))
-    order = {c: min(k for k, x in enumerate(types) if any(f" {y} " in f" {c} " for y in RELATION_CUES[x])) for c in cues}
-    table = F.create_map(*[F.lit(v) for c in cues for v in (c, order[c])])
-    found = F.regexp_extract_all(text, F.lit(r"\b(" + "|".join(cues) + r")\b"), F.lit(1))
-    return F.get(F.array(*[F.lit(x) for x in types]), F.array_min(F.transform(found, lambda c: F.element_at(table, c))))
+class Cues:
+    """All places of all cues in a text, and the first type with a cue inside a part of it.
+
+    A cue counts in a part as if the part stood alone: where it touches the part's edge, no word goes on there.
+    """
+
+    def __init__(self) -> None:
+        self.types = list(RELATION_CUES)
+        order: dict[str, int] = {}
+        for k, x in enumerate(self.types):
+            for c in RELATION_CUES[x]:
+                order.setdefault(c, k)
+        self.cues = sorted(order.items(), key=lambda x: x[1])
+
+    def places(self, text: str) -> list[tuple[int, int, int, bool, bool]]:
+        """(type, start, stop, a word ends before it, a word ends with it), types in order."""
+        out, word = [], lambda c: c == "_" or c.isascii() and c.isalnum()
+        for cue, kind in self.cues:
+            at = text.find(cue)
+            while at >= 0:
+                stop = at + len(cue)
+                out.append((kind, at, stop, at == 0 or not word(text[at - 1]), stop == len(text) or not word(text[stop])))
+                at = text.find(cue, at + 1)
+        return out
+
+    def first(self, places: list[tuple[int, int, int, bool, bool]], low: int, high: int) -> str | None:
+        for kind, a, b, free, ends in places:
+            if a >= low and b <= high and (free or a == low) and (ends or b == high):
+                return self.types[kind]
+        return None
 
 
 def classify_relations(pairs: DataFrame, texts: DataFrame, margin: int = 50, least: float = 0.5) -> DataFrame:
-    """A cue between the two 0.8, else a cue within ``margin`` around 0.6, else or if surer what the labels suggest."""
+    """A cue between the two 0.8, else a cue within ``margin`` around 0.6, else or if surer what the labels suggest.
+
+    pairs: of doc_id; texts: doc_id, text. A document's pairs meet its text once; the text's cues
+    are found once and each pair is decided by their places.
+    """
     low, high = F.least("s_start", "t_start"), F.greatest("s_stop", "t_stop")
-    inner, outer = F.least("s_stop", "t_stop"), F.greatest("s_start", "t_start")
-    t = F.col("text")
-    between = F.substr(t, inner + 1, F.greatest(F.lit(0), outer - inner))
-    around = F.substr(t, F.greatest(F.lit(0), low - margin) + 1, high + margin - F.greatest(F.lit(0), low - margin))
     kind, sure = F.lit(None).cast("string"), F.lit(0.0)
     for a, b, x, c in reversed(TYPE_RELATIONS):
         either = ((F.col("s_label") == a) & (F.col("t_label") == b)) | ((F.col("s_label") == b) & (F.col("t_label") == a))
         kind, sure = F.when(either, x).otherwise(kind), F.when(either, c).otherwise(sure)
-    judged = pairs.join(texts.select("doc_id", F.lower("text").alias("text")), "doc_id").select("doc_id", "s_e", "t_e", F.inline(F.array(let(let(F.struct(between.alias("b"), around.alias("a")), lambda x: F.struct(_cue(x["b"]).alias("b"), _cue(x["a"]).alias("a"), kind.alias("k"), sure.alias("s"))), lambda p: F.when(p["b"].isNotNull(), F.struct(p["b"].alias("relation"), F.lit(0.8).alias("confidence")))
-        .when(p["a"].isNotNull() & (p["s"] <= 0.6), F.struct(p["a"].alias("relation"), F.lit(0.6).alias("confidence"))).otherwise(F.struct(p["k"].alias("relation"), p["s"].alias("confidence")))))))  # fmt: skip  # a generator, so that the filter does not repeat the work
-    return judged.filter((F.col("confidence") >= least) & F.col("relation").isNotNull())
+    inner, outer = F.least("s_stop", "t_stop"), F.greatest("s_start", "t_start")
+    one = F.struct("s_e", "t_e", inner.alias("inner"), F.greatest(inner, outer).alias("outer"), F.greatest(F.lit(0), low - margin).alias("low"), (high + margin).alias("high"), kind.alias("kind"), sure.alias("sure"))
+    # a document's pairs come from its few entities and are bounded by them; rows of texts that share a doc_id meet the pairs each
+    packed = pairs.groupBy("doc_id").agg(F.collect_list(one).alias("pairs"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cues = Cues()
+        for batch in batches:
+            out: dict[str, list] = {k: [] for k in ("doc_id", "s_e", "t_e", "relation", "confidence")}
+            for doc_id, text, mine in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "pairs"))):
+                text = (text or "").lower()
+                places, n = cues.places(text), len(text)
+                for x in mine:
+                    found, score = cues.first(places, x["inner"], min(x["outer"], n)), 0.8
+                    if found is None and x["sure"] <= 0.6:
+                        found, score = cues.first(places, x["low"], min(x["high"], n)), 0.6
+                    if found is None:
+                        found, score = x["kind"], x["sure"]
+                    if found is not None and score >= least:
+                        for k, v in zip(out, (doc_id, x["s_e"], x["t_e"], found, score)):
+                            out[k].append(v)
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
+
+    schema = pa.schema([("doc_id", pa.int64()), ("s_e", pa.int32()), ("t_e", pa.int32()), ("relation", pa.string()), ("confidence", pa.float64())])
+    rows = packed.join(texts.select("doc_id", "text"), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "pairs")
+    return rows.mapInArrow(judge, "doc_id long, s_e int, t_e int, relation string, confidence double")
 
 
 def relations_sql(pairs: str, texts: str) -> str:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from protolake.functions.text import trigrams
+from protolake.functions.text import let
 from protolake.refdata import DOCUMENT_TYPES, LANGUAGE_PROFILES, STOPWORDS
 
 
@@ -61,13 +67,36 @@ HEADERS_SQL = f"""SELECT doc_id, CAST(count(*) FILTER (bad) AS INTEGER) AS dropp
 FROM (SELECT *, trim(line) <> '' AND length(trim(line)) < 80 AND count(*) OVER (PARTITION BY doc_id, trim(line)) > 2 AS bad FROM ({LINES_SQL})) GROUP BY doc_id"""
 
 
-def detect_language(docs: DataFrame, counted: int = 20, ranked: int = 10) -> DataFrame:
-    """Trigram profile: the ``ranked`` most frequent trigrams (first seen wins ties) score 3 - rank in each language that lists them; the best above 0, else unknown."""
-    grams = docs.select("doc_id", F.posexplode(trigrams(F.col("text"))).alias("pos", "gram"))
-    counts = grams.groupBy("doc_id", "gram").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first"))).filter(F.col("rank") <= ranked)
-    score = [F.sum(F.coalesce(_profile(gs), F.lit(0))).alias(x) for x, gs in LANGUAGE_PROFILES.items()]
-    sums = top.groupBy("doc_id").agg(*score)
+def _frequent(text: str | None, most: int) -> list[tuple[str, int]]:
+    """The most frequent trigrams of the lower-cased text between two underscores, and their counts; first seen wins ties."""
+    padded = f"_{(text or '').lower()}_"
+    if len(padded) < 3:
+        return [(padded, 1)]
+    points = np.frombuffer(padded.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    codes = (points[:-2] << np.uint64(42)) | (points[1:-1] << np.uint64(21)) | points[2:]
+    _, first, n = np.unique(codes, return_index=True, return_counts=True)
+    if len(n) > most:
+        some = np.flatnonzero(n >= np.partition(n, -most)[-most])
+        first, n = first[some], n[some]
+    order = np.lexsort((first, -n))[:most]
+    return [(padded[i : i + 3], int(k)) for i, k in zip(first[order].tolist(), n[order].tolist())]
+
+
+def with_trigrams(docs: DataFrame, most: int = 10) -> DataFrame:
+    """doc_id and grams, the ``most`` most frequent trigrams in rank order: a row for each row of docs, counted inside it, so nothing is shuffled."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[{"gram": g, "n": n} for g, n in _frequent(t, most)] for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.struct([("gram", pa.string()), ("n", pa.int64())])))], ["doc_id", "grams"])
+
+    return docs.select("doc_id", "text").mapInArrow(count, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, grams array<struct<gram: string, n: bigint>>")
+
+
+def detect_language(docs: DataFrame, ranked: int = 10) -> DataFrame:
+    """Trigram profile: the ``ranked`` most frequent trigrams (first seen wins ties) score 3 - rank in each language that lists them; the best above 0, else unknown. A row for each row of docs."""
+    score = lambda gs: F.aggregate(F.transform("grams", lambda x: F.coalesce(F.element_at(F.create_map(*[F.lit(v) for k, g in enumerate(gs) for v in (g, 3 - k)]), x["gram"]), F.lit(0))), F.lit(0), lambda a, x: a + x)
+    sums = with_trigrams(docs, ranked).select("doc_id", *[score(gs).alias(x) for x, gs in LANGUAGE_PROFILES.items()])
     best = F.greatest(*[F.col(x) for x in LANGUAGE_PROFILES])
     out = F.lit("unknown")
     for x in reversed(LANGUAGE_PROFILES):
@@ -75,19 +104,9 @@ def detect_language(docs: DataFrame, counted: int = 20, ranked: int = 10) -> Dat
     return sums.select("doc_id", out.alias("language"), *[F.col(x).cast("int").alias(f"score_{x}") for x in LANGUAGE_PROFILES])
 
 
-def _profile(grams: list[str]) -> Column:
-    out = F.lit(None).cast("int")
-    for k, g in enumerate(grams):
-        out = F.when(F.col("gram") == g, F.lit(3 - k)).otherwise(out)
-    return out
-
-
 def top_trigrams(docs: DataFrame, k: int = 5) -> DataFrame:
-    """The k most frequent trigrams of each text, in rank order."""
-    grams = docs.select("doc_id", F.posexplode(trigrams(F.col("text"))).alias("pos", "gram"))
-    counts = grams.groupBy("doc_id", "gram").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first"))
-    return counts.withColumn("rank", rank).filter(F.col("rank") <= k).select("doc_id", "rank", "gram", "n")
+    """The k most frequent trigrams of each text, in rank order; rows that share a doc_id are counted each."""
+    return with_trigrams(docs, k).select("doc_id", F.posexplode("grams").alias("rank", "x")).select("doc_id", (F.col("rank") + 1).alias("rank"), "x.gram", "x.n")
 
 
 _GRAMS_SQL = """SELECT doc_id, gram, count(*) AS n, min(i) AS first FROM (SELECT doc_id, i, substring(p, i, 3) AS gram FROM (SELECT doc_id, p, unnest(range(1, greatest(length(p) - 2, 1) + 1)) AS i
@@ -117,28 +136,56 @@ def document_type_sql(source: str) -> str:
     return f"SELECT *, CASE WHEN {best} = 0 THEN 'unknown' {' '.join(f'WHEN {x} = {best} THEN {chr(39)}{x}{chr(39)}' for x in DOCUMENT_TYPES)} END AS document_type FROM (SELECT doc_id, {', '.join(f'{count(ps)} AS {x}' for x, ps in DOCUMENT_TYPES.items())} FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM ({source})))"
 
 
-def key_phrase_scores(texts: DataFrame) -> DataFrame:
-    """Phrases of one to three words without words of under three characters; score: mean frequency in the text of their words that carry content."""
-    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    tokens = texts.select("doc_id", F.posexplode(words).alias("pos", "w")).withColumn("content", ~F.col("w").isin(STOPWORDS) & (F.length("w") > 2))
-    freq = F.sum(F.col("content").cast("int")).over(Window.partitionBy("doc_id", "w"))
-    scored = tokens.withColumn("f", F.when(F.col("content"), freq).otherwise(0))
-    ahead = Window.partitionBy("doc_id").orderBy("pos")
-    out = []
+_WORDS = re.compile(r"\w+")
+_EMPTY_WORDS = frozenset(STOPWORDS)
+
+
+def phrases_of(text: str | None) -> dict[str, tuple[float, int]]:
+    """Score and count of each phrase of one to three words without words of under three characters; score: mean frequency in the text of their words that carry content."""
+    words = _WORDS.findall((text or "").lower())
+    often = Counter(w for w in words if len(w) > 2 and w not in _EMPTY_WORDS)
+    value = [often.get(w, 0) for w in words]
+    out: dict[str, tuple[float, int]] = {}
     for n in (1, 2, 3):
-        ws = [F.col("w")] + [F.lead("w", k).over(ahead) for k in range(1, n)]
-        fs = [F.col("f")] + [F.lead("f", k).over(ahead) for k in range(1, n)]
-        grams = scored.select("doc_id", F.concat_ws(" ", *ws).alias("phrase"), F.round(sum(fs[1:], start=fs[0]) / n, 6).alias("score"), F.array(*ws).alias("ws"))
-        out.append(grams.filter(F.forall("ws", lambda x: F.coalesce(F.length(x) > 2, F.lit(False)))).drop("ws"))
-    return out[0].unionByName(out[1]).unionByName(out[2]).groupBy("doc_id", "phrase").agg(F.max("score").alias("score"), F.count("*").alias("n"))
+        for k in range(len(words) - n + 1):
+            if all(len(w) > 2 for w in words[k : k + n]):
+                phrase = " ".join(words[k : k + n])
+                out[phrase] = (sum(value[k : k + n]) / n, out.get(phrase, (0, 0))[1] + 1)
+    return out
+
+
+def _phrase_rows(texts: DataFrame, found) -> DataFrame:
+    """doc_id and phrases, found(text): a row for each row of texts, counted inside it."""
+    kind = pa.list_(pa.struct([("phrase", pa.string()), ("score", pa.float64()), ("n", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 200):  # a text has more phrases than words
+                part = batch.slice(a, 200)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([found(t) for t in part.column("text").to_pylist()], kind)], ["doc_id", "phrases"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, phrases array<struct<phrase: string, score: double, n: bigint>>")
+
+
+def key_phrase_scores(texts: DataFrame) -> DataFrame:
+    """doc_id, phrase, score and count of the phrases of every text; see phrases_of()."""
+    every = lambda t: [{"phrase": p, "score": s, "n": n} for p, (s, n) in phrases_of(t).items()]
+    return _phrase_rows(texts, every).select("doc_id", F.explode("phrases").alias("x")).select("doc_id", "x.phrase", F.round("x.score", 6).alias("score"), "x.n")
 
 
 def key_phrases(texts: DataFrame, k: int = 10) -> DataFrame:
-    """Up to k phrases by score that are not part of one taken before: rank, phrase."""
-    ordered = key_phrase_scores(texts).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("phrase")))).alias("all"))
-    none = F.array().cast("array<string>")
-    taken = F.aggregate("all", none, lambda acc, x: F.when((F.size(acc) < k) & ~F.exists(acc, lambda y: F.contains(y, x["phrase"])), F.concat(acc, F.array(x["phrase"]))).otherwise(acc))
-    return ordered.select("doc_id", F.posexplode(taken).alias("rank", "phrase"))
+    """Up to k phrases of each text by score that are not part of one taken before: rank, phrase."""
+
+    def greedy(text: str | None) -> list[dict]:
+        taken: list[str] = []
+        for phrase, (score, n) in sorted(phrases_of(text).items(), key=lambda x: (-round(x[1][0], 6), x[0])):
+            if not any(phrase in y for y in taken):
+                taken.append(phrase)
+                if len(taken) == k:
+                    break
+        return [{"phrase": p, "score": 0.0, "n": 0} for p in taken]
+
+    return _phrase_rows(texts, greedy).select("doc_id", F.posexplode("phrases.phrase").alias("rank", "phrase"))
 
 
 KEY_PHRASES_SQL = r"""WITH toks AS (SELECT doc_id, i AS pos, ws[i] AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS ws FROM {source}))),
@@ -147,14 +194,51 @@ g AS (SELECT doc_id, w, f, lead(w, 1) OVER o AS w1, lead(f, 1) OVER o AS f1, lea
 p AS (SELECT doc_id, w AS phrase, round(CAST(f AS DOUBLE), 6) AS score FROM g WHERE length(w) > 2 UNION ALL SELECT doc_id, w || ' ' || w1, round((f + f1) / 2, 6) FROM g WHERE length(w) > 2 AND length(w1) > 2
     UNION ALL SELECT doc_id, w || ' ' || w1 || ' ' || w2, round((f + f1 + f2) / 3, 6) FROM g WHERE length(w) > 2 AND length(w1) > 2 AND length(w2) > 2)
 SELECT doc_id, phrase, max(score) AS score, count(*) AS n FROM p GROUP BY doc_id, phrase""".replace("@stop", str(STOPWORDS))
+#: The greedy choice as a recursion over the phrases in order; binary collation, as Python and Spark order by code point.
+GREEDY_SQL = f"""WITH RECURSIVE o AS (SELECT doc_id, phrase, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, phrase) AS k FROM ({KEY_PHRASES_SQL})),
+r AS (SELECT doc_id, k, [phrase] AS taken, true AS hit FROM o WHERE k = 1
+    UNION ALL SELECT o.doc_id, o.k, CASE WHEN len(list_filter(taken, lambda y: contains(y, o.phrase))) = 0 THEN list_append(taken, o.phrase) ELSE taken END, len(list_filter(taken, lambda y: contains(y, o.phrase))) = 0
+    FROM r JOIN o ON o.doc_id = r.doc_id AND o.k = r.k + 1 WHERE len(taken) < 10)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS rank, phrase FROM r JOIN o USING (doc_id, k) WHERE hit"""
+
+
+def _runs(split: Column) -> Column:
+    """(first_line, n_lines) of the runs of two or more lines that look like rows of a table (a pipe, a tab or two spaces)."""
+    like = lambda x: F.contains(x, F.lit("|")) | F.contains(x, F.lit("\t")) | F.contains(x, F.lit("  "))
+    rows = let(split, lambda ls: F.filter(F.transform(ls, lambda x, i: F.when(like(x), i)), lambda i: i.isNotNull()))
+    # a run begins where the row before is not one, and ends where the row behind is not one
+    first = lambda r: F.filter(r, lambda x, k: F.coalesce(F.get(r, k - 1) != x - 1, F.lit(True)))
+    last = lambda r: F.filter(r, lambda x, k: F.coalesce(F.get(r, k + 1) != x + 1, F.lit(True)))
+    both = let(rows, lambda r: F.zip_with(first(r), last(r), lambda a, b: F.struct(a.alias("first_line"), (b - a + 1).cast("long").alias("n_lines"))))
+    return F.filter(both, lambda x: x["n_lines"] >= 2)
 
 
 def table_runs(docs: DataFrame) -> DataFrame:
-    """Runs of two or more lines that look like rows of a table (a pipe, a tab or two spaces): table_no, first line, lines."""
-    marked = lines(docs).withColumn("row", F.contains("line", F.lit("|")) | F.contains("line", F.lit("\t")) | F.contains("line", F.lit("  ")))
-    w = Window.partitionBy("doc_id").orderBy("no")
-    runs = marked.withColumn("run", F.col("no") - F.row_number().over(Window.partitionBy("doc_id", "row").orderBy("no"))).filter("row").groupBy("doc_id", "run").agg(F.min("no").alias("first_line"), F.count("*").alias("n_lines")).filter("n_lines >= 2")
-    return runs.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("first_line")).alias("table_no"), "first_line", "n_lines")
+    """table_no, first line and number of lines of each table of a text; a text's lines stay in its row."""
+    runs = _runs(F.split(F.coalesce("text", F.lit("")), "\n"))
+    return docs.select("doc_id", F.posexplode(runs).alias("k", "x")).select("doc_id", (F.col("k") + 1).alias("table_no"), "x.first_line", "x.n_lines")
+
+
+def replace_tables(docs: DataFrame) -> DataFrame:
+    """doc_id, text with each table in one line, [TABLE_n], and tables, their lines joined again."""
+    split = F.split(F.coalesce("text", F.lit("")), "\n")
+    held = docs.select("doc_id", let(split, lambda ls: F.struct(ls.alias("lines"), _runs(ls).alias("runs"))).alias("x"))
+
+    def kept(lines: Column, runs: Column) -> Column:
+        number = lambda i: F.array_max(F.transform(runs, lambda r, k: F.when((i >= r["first_line"]) & (i < r["first_line"] + r["n_lines"]), k + 1)))
+        head = lambda i: F.exists(runs, lambda r: r["first_line"] == i)
+        marked = F.transform(lines, lambda x, i: let(number(i), lambda n: F.when(n.isNull(), x).when(head(i), F.concat(F.lit("[TABLE_"), n.cast("string"), F.lit("]")))))
+        return F.array_join(F.filter(marked, lambda x: x.isNotNull()), "\n")
+
+    tables = F.transform("x.runs", lambda r: F.array_join(F.slice("x.lines", r["first_line"] + 1, r["n_lines"].cast("int")), "\n"))
+    return held.select("doc_id", kept(F.col("x.lines"), F.col("x.runs")).alias("text"), tables.alias("tables"))
+
+
+REPLACE_TABLES_SQL = f"""WITH l AS (SELECT *, contains(line, '|') OR contains(line, chr(9)) OR contains(line, '  ') AS row FROM ({LINES_SQL})),
+m AS (SELECT *, CASE WHEN row THEN no - row_number() OVER (PARTITION BY doc_id, row ORDER BY no) END AS run FROM l),
+r AS (SELECT doc_id, run, min(no) AS first, string_agg(line, chr(10) ORDER BY no) AS body, row_number() OVER (PARTITION BY doc_id ORDER BY min(no)) AS k FROM m WHERE row GROUP BY doc_id, run HAVING count(*) >= 2),
+t AS (SELECT m.doc_id, string_agg(CASE WHEN r.k IS NULL THEN line ELSE '[TABLE_' || k || ']' END, chr(10) ORDER BY no) AS text FROM m LEFT JOIN r USING (doc_id, run) WHERE r.k IS NULL OR no = first GROUP BY m.doc_id)
+SELECT doc_id, text, len(coalesce(b, [])) AS n, md5(coalesce(array_to_string(b, chr(10)), '')) AS digest FROM t LEFT JOIN (SELECT doc_id, list(body ORDER BY k) AS b FROM r GROUP BY doc_id) USING (doc_id)"""
 
 
 TABLE_RUNS_SQL = f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_line) AS INTEGER) AS table_no, CAST(first_line AS INTEGER) AS first_line, n_lines FROM (
@@ -162,28 +246,41 @@ TABLE_RUNS_SQL = f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id
     FROM ({LINES_SQL}) WHERE contains(line, '|') OR contains(line, chr(9)) OR contains(line, '  ')) GROUP BY doc_id, run HAVING count(*) >= 2)"""
 
 
-def chunk_offsets(docs: DataFrame, size: int = 500, overlap: int = 50, reach: int = 100, marks: str = ".", at_lines: bool = False) -> DataFrame:
-    """Chunks of up to ``size`` characters that end behind the last of ``marks`` (``at_lines``: else the last line end) among their last ``reach`` characters, if any, and begin ``overlap`` before the last one's end.
+def chunks_of(text: str, size: int, overlap: int, reach: int, marks: str, at_lines: bool) -> list[tuple[int, int]]:
+    """(start, stop) of each chunk of a text: one pass, as each cut looks back over ``reach`` characters only."""
+    out, start, n = [], 0, len(text)
+    while n:
+        limit = start + size
+        if limit >= n:
+            return [*out, (start, n)]
+        low = limit - reach
+        at = max(text.rfind(m, low, limit) for m in marks)
+        if at < 0 and at_lines:
+            at = text.rfind("\n", low, limit)
+        stop = at + 1 if at >= 0 else limit
+        out.append((start, stop))
+        start = stop - overlap
+    return out
+
 
-    The cut depends on the one before, so it is a fold over the text, by an aggregate; the last chunk ends with the text.
+def with_chunks(docs: DataFrame, size: int = 500, overlap: int = 50, reach: int = 100, marks: str = ".", at_lines: bool = False) -> DataFrame:
+    """docs with chunks, an array of (start, stop): up to ``size`` characters that end behind the last of ``marks`` (``at_lines``: else the last line end) among their last ``reach`` characters, if any, and begin ``overlap`` before the last one's end.
+
+    The cut depends on the one before, so an Arrow function walks over each text; the last chunk ends with the text.
     """
-    t = F.coalesce("text", F.lit(""))
-    n = F.length(t)
-    steps = F.sequence(F.lit(0), F.floor(n / (size - reach - overlap)).cast("int"))
-    empty = F.array().cast("array<struct<start:int,stop:int>>")
+    if not 0 < overlap + reach < size:
+        raise ValueError("overlap and reach must leave a chunk some way ahead")
 
-    def add(acc: Column, _: Column) -> Column:
-        last = F.element_at(acc, -1)
-        start = F.when(F.size(acc) == 0, F.lit(0)).otherwise(last["stop"] - overlap)
-        limit = start + size
-        tail = F.substr(t, limit - reach + 1, F.lit(reach))
-        back = F.instr(F.reverse(F.translate(tail, marks, "." * len(marks)) if marks != "." else tail), ".")
-        back = F.when(back > 0, back).otherwise(F.instr(F.reverse(tail), "\n")) if at_lines else back
-        stop = F.when(limit >= n, n).when(back > 0, limit - back + 1).otherwise(limit)
-        done = (F.size(acc) > 0) & (last["stop"] >= n)
-        return F.when(done | (n == 0), acc).otherwise(F.concat(acc, F.array(F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop")))))
-
-    return docs.select("doc_id", F.posexplode(F.aggregate(steps, empty, add)).alias("no", "c")).select("doc_id", "no", "c.start", "c.stop")
+    @F.pandas_udf("array<struct<start: int, stop: int>>")
+    def cut(texts):
+        return texts.map(lambda t: [{"start": a, "stop": b} for a, b in chunks_of(t or "", size, overlap, reach, marks, at_lines)])
+
+    return docs.withColumn("chunks", cut(F.col("text")))
+
+
+def chunk_offsets(docs: DataFrame, size: int = 500, overlap: int = 50, reach: int = 100, marks: str = ".", at_lines: bool = False) -> DataFrame:
+    """doc_id, no, start, stop of the chunks that with_chunks() cuts; empty texts have none."""
+    return with_chunks(docs.select("doc_id", "text"), size, overlap, reach, marks, at_lines).select("doc_id", F.posexplode("chunks").alias("no", "c")).select("doc_id", "no", "c.start", "c.stop")
 
 
 _TAIL = "substring(t, {0} - 99, 100)"

@@ -47,13 +47,15 @@ QUERIES = {
     "entity_section_join": lambda s, d: N.assign_sections(N.stub_entities(ids(s, d)), E.sections(texts(s, d))),
     "term_normalize": lambda s, d: elems(s, d).select("doc_id", normalize_term(F.col("text")).alias("term")),
     "term_exact": lambda s, d: M.map_exact(elems(s, d)).select("doc_id", "system", "term", "code", "display", M.system_uri(F.col("system")).alias("uri")),
-    "term_unmapped": lambda s, d: distinct_terms(s, d).join(F.broadcast(M.dictionary(s)), ["system", "term"], "left_anti"),
+    "term_unmapped": lambda s, d: distinct_terms(s, d).join(M.dictionary(s), ["system", "term"], "left_anti"),
     "term_variations": lambda s, d: M.map_variations(distinct_terms(s, d)),
     "term_levenshtein_top1": lambda s, d: M.levenshtein_top1(distinct_terms(s, d)),
     "term_ratio_top1": lambda s, d: M.ratio_top1(distinct_terms(s, d)),
-    "term_cosine_top1": lambda s, d: M.cosine_top1(distinct_terms(s, d)),
+    "term_cosine_top1": lambda s, d: M.cosine_top1(distinct_terms(s, d)).drop("display"),
     "term_context_boost": _boost,
     "term_cascade": lambda s, d: M.cascade(distinct_terms(s, d)),
+    "term_map": lambda s, d: M.map_terms(elems(s, d).select("doc_id", "system", "text").withColumn("context", F.concat(F.lit("Patient on metformin, glucose "), F.col("doc_id").cast("string"))), context="context").select("doc_id", "system", "term", "code", "match_type", F.round("score", 4).alias("score"), "context_term"),
+    "term_statistics": lambda s, d: M.mapper_statistics(M.dictionary(s)),
 }
 
 _str = lambda x: "'" + x.replace("'", "''") + "'"

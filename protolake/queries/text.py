@@ -72,6 +72,7 @@ QUERIES = {
     "detect_document_type_documents": lambda s, d: P.detect_document_type(docs(s, d)),
     "key_phrase_scores_documents": lambda s, d: P.key_phrase_scores(docs(s, d)),
     "key_phrases_documents": lambda s, d: P.key_phrases(docs(s, d)),
+    "replace_tables": lambda s, d: P.replace_tables(docs(s, d)).select("doc_id", "text", F.size("tables").alias("n"), F.md5(F.array_join("tables", "\n")).alias("digest")),
     "table_runs": lambda s, d: P.table_runs(docs(s, d)),
     "chunk_offsets": lambda s, d: P.chunk_offsets(docs(s, d)),
     "chunk_offsets_any": lambda s, d: P.chunk_offsets(docs(s, d), marks=".!?", at_lines=True),
@@ -93,9 +94,12 @@ ORACLES = {
     "top_trigrams": P.TOP_TRIGRAMS_SQL,
     "detect_document_type": P.document_type_sql(TEXTS_SQL),
     "key_phrase_scores": P.KEY_PHRASES_SQL.replace("{source}", f"({TEXTS_SQL})"),
+    "key_phrases": P.GREEDY_SQL.replace("{source}", f"({TEXTS_SQL})"),
+    "key_phrases_documents": P.GREEDY_SQL.replace("{source}", "documents"),
     "normalize_dates_documents": f"SELECT doc_id, {T.sql_replaced('text', T.date_rules(), 'g')} AS text FROM documents",
     "detect_document_type_documents": P.document_type_sql("SELECT doc_id, text FROM documents"),
     "key_phrase_scores_documents": P.KEY_PHRASES_SQL.replace("{source}", "documents"),
+    "replace_tables": P.REPLACE_TABLES_SQL,
     "table_runs": P.TABLE_RUNS_SQL,
     "chunk_offsets": P.CHUNKS_SQL,
     "chunk_offsets_any": P.ANY_CHUNKS_SQL,

@@ -171,3 +171,68 @@ def test_texts_without_a_heading_have_sections(spark):
     got = [(r["doc_id"], r["no"], r["title"], r["start"], r["stop"]) for r in E.sections_or_whole(df).orderBy("doc_id", "no").collect()]
     n = [len(t or "") for _, t in rows]
     assert got == [(1, 0, "Document", 0, n[0]), (2, 0, "Notes", 0, rows[1][1].index("More")), (2, 1, "More", rows[1][1].index("More"), n[1]), (5, 0, "INTRODUCTION", 0, n[4])]
+
+
+def test_blocked_stages_equal_all_pairs(spark):
+    """Edit distance and ratios over their indexes find what a look at every pair finds."""
+    import random
+
+    from protolake.refdata import concepts
+
+    rng = random.Random(4)
+    table: dict = {}
+    for system, term, code, _, priority, _ in sorted(concepts(), key=lambda x: x[4]):
+        table.setdefault(system, {}).setdefault(term, code)
+    rows = set()
+    for system, terms in table.items():
+        for t in terms:
+            for _ in range(3):
+                cs = list(t)
+                for _ in range(rng.randint(0, 4)):
+                    at = rng.randrange(len(cs) + 1)
+                    cs[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "x", " ", "er"])
+                rows.add((system, "".join(cs).strip()))
+            rows.add((system, " ".join(reversed(t.split()))))
+    rows = sorted(r for r in rows if len(r[1]) > 1)
+    df = spark.createDataFrame(rows, "system string, term string")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for k, y in enumerate(b, 1):
+                last, row[k] = row[k], min(row[k] + 1, row[k - 1] + 1, last + (x != y))
+        return row[-1]
+
+    got = {(r["system"], r["term"]): (r["distance"], r["near"]) for r in M.levenshtein_top1(df).collect()}
+    for s, t in rows:
+        near = min(((distance(t, c), k, c) for k, c in enumerate(table[s])))
+        assert got.get((s, t)) == ((near[0], near[2]) if near[0] <= 3 else None)
+    scorers = dict(zip(M.SCORERS, (M.indel_ratio, M.partial_ratio, M.token_sort_ratio)))
+    got = {(r["system"], r["term"]): (r["near"], r["scorer"], r["score"]) for r in M.ratio_top1(df).collect()}
+    for s, t in rows[::4]:
+        found = [(-f(t, c), i, k, c, n) for i, (n, f) in enumerate(scorers.items()) for k, c in enumerate(table[s]) if f(t, c) >= M.CUTOFFS[i]]
+        assert got.get((s, t)) == ((min(found)[3], min(found)[4], -min(found)[0]) if found else None)
+
+
+def test_own_terminology_reaches_every_stage(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("code,term,display,is_active\n111,Zorbitis Magna,Zorbitis magna,1\n222,gone,,0\n333,asthma,Own asthma,1\n")
+    (tmp_path / "m.json").write_text('{"mappings": [{"term": "zm", "system": "snomed", "code": "111", "display": "Zorbitis magna"}], "synonyms": [{"term": "zorbitis magna", "synonyms": ["zorb"]}]}')
+    imported = S.read_concepts(spark, str(tmp_path / "c.csv")).withColumn("system", F.lit("snomed"))
+    mappings, synonyms = S.read_mappings(spark, str(tmp_path / "m.json"))
+    later = spark.createDataFrame([("zq", "snomed", "444", "Zq")], "term string, system string, code string, display string")
+    d = M.dictionary(spark, imported, S.upsert(mappings, later, ["system", "term"]))
+    sets = M.add_synonyms(synonyms.select(F.col("term").alias("set_id"), "term").unionByName(synonyms.select(F.col("term").alias("set_id"), F.col("synonym").alias("term"))), "zorb", ["zrb"])
+    rows = [("snomed", t) for t in ("ZM", "zq", "zorb", "zrb", "zorbitis magno", "asthma", "gone")] + [("icd", "asthma")]
+    got = {(r["system"], r["term"]): r for r in M.map_terms(spark.createDataFrame(rows, "system string, text string"), d, sets).collect()}
+    assert [got["snomed", t]["code"] for t in ("zm", "zq", "zorb", "zrb", "zorbitis magno")] == ["111", "444", "111", "111", "111"]
+    assert got["snomed", "zorb"]["match_type"] == "variation" and got["snomed", "zorbitis magno"]["match_type"] == "partial_ratio"
+    assert got["snomed", "asthma"]["code"] == "333" and got["snomed", "gone"]["match_type"] == "none" and got["icd", "asthma"]["match_type"] == "unsupported"
+    assert {r["system"]: r["custom"] for r in M.mapper_statistics(d).collect()}["snomed"] == 4
+    assert M.levenshtein_top1(spark.createDataFrame([("snomed", "zorbitismagna")], "system string, term string"), d=d).first()["code"] == "111"
+
+
+def test_context_raises_fuzzy_matches_only(spark):
+    rows = [("snomed", "hypertention", "BP 140 mmHg"), ("snomed", "hypertension", "BP 140"), ("snomed", "hypertention", "none")]
+    got = M.map_terms(spark.createDataFrame(rows, "system string, text string, context string"), context="context").collect()
+    assert sorted((r["term"], r["context"], round(r["score"], 2), r["context_term"]) for r in got) == [("hypertension", "BP 140", 100.0, None), ("hypertention", "BP 140 mmHg", 100.0, "bp"), ("hypertention", "none", 91.67, None)]
