@@ -41,6 +41,7 @@ def normalize_unicode(text: Column) -> Column:
     return out
 
 
+# fixed values: white space and cleaning rules, applied in this order
 WHITESPACE_RULES = [(r"\t", "    "), (r" +", " "), (r"\n{3,}", "\n\n"), (r" *\n *", "\n"), (r" +([.,;:!?)])", "$1"), (r"\( +", "("), (r"([.,;:!?])([A-Za-z])", "$1 $2")]
 PARSED_WHITESPACE_RULES = [(r"\t", " "), (r"\r\n", "\n"), (r" +", " "), (r"\n +", "\n"), (r"\n{3,}", "\n\n")]
 CLEAN_RULES = [(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), (r"[ \t]+", " "), (r"\n+", "\n"), (r" *\n *", "\n"), (r"[–—]", "-"), (r"\.([A-Z])", ". $1")]

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from protolake.functions.text import let
-from protolake.refdata import CONTENT_PATTERNS, SECTION_CUES, SECTION_HEADERS
+from protolake.refdata import CONTENT_PATTERNS, CUED_ENTITY_RULES, SECTION_CUES, SECTION_HEADERS
 
+# fixed values: numbers with units, and time expressions
 NUMBER = r"([0-9]+(?:\.[0-9]+)?)[ \t\n]*([a-zA-Z]+(?:/[a-zA-Z]+)?)?"
 TIMES = {
     "duration": r"([0-9]+(?:\.[0-9]+)?\s*(?:days?|weeks?|months?|years?|hours?|minutes?|seconds?))",
@@ -60,6 +61,7 @@ def times_sql(source: str) -> str:
     return f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o, i) - 1 AS INTEGER) AS no, kind, text FROM ({parts})"
 
 
+# fixed values: marks of list items, titles of lists, marks of references
 BULLET = r"(?:^|\n)[•\-*●○0-9.]+[ \t]*([^\n]+)"
 
 
@@ -98,6 +100,7 @@ def items_sql(source: str, titles: dict[str, str]) -> str:
     return " UNION ALL ".join(one(k, t) for k, t in titles.items())
 
 
+# fixed values: marks of references
 REFERENCE = r"(?:^|\n)\[([0-9]+)\] ([^\n]+)"
 
 #: Also "(n) text", "n. text" and "n) text"; the number is what is left without the marks.
@@ -129,14 +132,28 @@ def is_heading(line: Column) -> Column:
     return (bare != "") & (known | F.rlike(bare, F.lit(r"^[A-Z][A-Z \-]{3,48}:?\z")) | F.rlike(bare, F.lit(r"^(?:[0-9]+\.)+\s+[A-Z][A-Za-z0-9_ \-]+\z")))
 
 
+def sections_with_text(docs: DataFrame) -> DataFrame:
+    """doc_id, no, title, start, stop, content: a section begins at its heading and ends at the next one's or with the text; content is what stands behind the title. Offsets are of the text as it is.
+
+    A text's lines stay in its row; rows that share a doc_id are cut each.
+    """
+    t = F.coalesce("text", F.lit(""))
+    lines = F.transform(F.split(t, "\n"), lambda x: F.struct(F.length(x).alias("n"), F.when(is_heading(x), F.regexp_replace(F.trim(x), r":\z", "")).alias("title")))
+    # running offsets: a fold that keeps the heads only, which are few beside the lines
+    kind = "struct<at: int, heads: array<struct<title: string, start: int>>>"
+    step = lambda acc, x: F.struct((acc["at"] + x["n"] + 1).alias("at"), F.when(x["title"].isNull(), acc["heads"]).otherwise(F.concat(acc["heads"], F.array(F.struct(x["title"].alias("title"), acc["at"].alias("start"))))).alias("heads"))
+    heads = F.aggregate(lines, F.struct(F.lit(0).alias("at"), F.array().alias("heads")).cast(kind), step, lambda acc: acc["heads"])
+    held = docs.select("doc_id", t.alias("text"), heads.alias("heads"))
+    each = held.select("doc_id", "text", "heads", F.posexplode("heads").alias("no", "x"))
+    stop = F.coalesce(F.get("heads", F.col("no") + 1)["start"], F.length("text"))
+    placed = each.select("doc_id", "no", "x.title", "x.start", stop.alias("stop"), "text")
+    content = F.substr(F.col("text"), F.col("start") + 1 + F.length("title"), F.col("stop") - F.col("start"))
+    return placed.select("doc_id", "no", "title", "start", "stop", content.alias("content"))
+
+
 def sections(docs: DataFrame) -> DataFrame:
-    """doc_id, no, title, start, stop: a section begins at its heading and ends at the next one's or with the text. Offsets are of the text as it is."""
-    split = F.split(F.coalesce("text", F.lit("")), "\n")
-    by_line = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n"), F.posexplode(split).alias("line_no", "line"))
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    placed = by_line.withColumn("start", F.coalesce(F.sum(F.length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    heads = placed.filter(is_heading(F.col("line"))).withColumn("no", F.row_number().over(w) - 1).withColumn("stop", F.coalesce(F.lead("start").over(w), F.col("n")))
-    return heads.select("doc_id", "no", F.regexp_replace(F.trim("line"), r":\z", "").alias("title"), F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))
+    """sections_with_text() without the content."""
+    return sections_with_text(docs).drop("content")
 
 
 def sections_or_whole(docs: DataFrame) -> DataFrame:
@@ -208,17 +225,6 @@ ENTITY_RULES = [
     ("PROCEDURE", r"(?i)((?:blood|urine|liver|mri|chest) [a-z]+)"),
 ]
 
-# fixed values: rules of the reference's fallback extractor
-CUED_ENTITY_RULES = [
-    ("ELIGIBILITY", r"(?i)(?:inclusion|exclusion)[ \t\n\r\f\x0B\-:]+([^\n.]+)"),
-    ("ELIGIBILITY", r"(?i)(?:include|exclude)[ \t\n\r\f\x0B\-:]+([^\n.]+)"),
-    ("ELIGIBILITY", r"(?i)(?:eligible|ineligible)[ \t\n\r\f\x0B\-:]+([^\n.]+)"),
-    ("ELIGIBILITY", r"(?i)(?:criteria|criterion)[ \t\n\r\f\x0B\-:]+([^\n.]+)"),
-    ("PROCEDURE", r"(?i)(?:procedure|protocol|intervention)[ \t\n\r\f\x0B\-:]+([^\n.]+)"),
-    ("PROCEDURE", r"(?i)(?:administer|perform|conduct)[ \t\n\r\f\x0B\-:]+([^\n.]+)"),
-]
-
-
 def rule_entities(docs: DataFrame, rules=ENTITY_RULES) -> DataFrame:
     """Entities that fixed rules find, at confidence 0.5."""
     t = F.coalesce("text", F.lit(""))

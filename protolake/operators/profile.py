@@ -15,16 +15,20 @@ from protolake.functions.text import let
 from protolake.refdata import DOCUMENT_TYPES, LANGUAGE_PROFILES, STOPWORDS
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """Counts of words, sentences and other characters than white space, and averages guarded against none."""
-    t = F.coalesce("text", F.lit(""))
+def statistics_of(text: Column) -> Column:
+    """Struct of the counts of words, sentences and other characters than white space, and averages guarded against none."""
+    t = F.coalesce(text, F.lit(""))
     words = F.regexp_count(t, F.lit(r"[^ \t\r\n]+"))
     sentences = F.regexp_count(t, F.lit(r"[.!?]+(?:[ \t\r\n]+|\z)"))
     chars = F.length(F.regexp_replace(t, r"[ \t\r\n]+", ""))
-    return docs.select("doc_id", words.cast("int").alias("word_count"), sentences.cast("int").alias("sentence_count"), chars.cast("int").alias("character_count"),
+    return F.struct(words.cast("int").alias("word_count"), sentences.cast("int").alias("sentence_count"), chars.cast("int").alias("character_count"),
         F.round(words / F.greatest(F.lit(1), sentences), 6).alias("words_per_sentence"), F.round(chars / F.greatest(F.lit(1), words), 6).alias("characters_per_word"))
 
 
+def text_statistics(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.inline(F.array(statistics_of(F.col("text")))))
+
+
 TEXT_STATISTICS_SQL = r"""SELECT doc_id, CAST(w AS INTEGER) AS word_count, CAST(s AS INTEGER) AS sentence_count, CAST(c AS INTEGER) AS character_count,
     round(w / greatest(1, s), 6) AS words_per_sentence, round(c / greatest(1, w), 6) AS characters_per_word
 FROM (SELECT doc_id, len(regexp_extract_all(t, '[^ \t\r\n]+')) AS w, len(regexp_extract_all(t, '[.!?]+(?:[ \t\r\n]+|\z)')) AS s, length(regexp_replace(t, '[ \t\r\n]+', '', 'g')) AS c
@@ -39,35 +43,43 @@ def lines(docs: DataFrame) -> DataFrame:
 LINES_SQL = "SELECT doc_id, i - 1 AS no, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))"
 
 
-def dedupe_consecutive_lines(docs: DataFrame) -> DataFrame:
-    """A line goes if it equals, stripped, the line before it. Within the row, so nothing is shuffled."""
-    split = F.split(F.coalesce("text", F.lit("")), "\n")
-    kept = F.filter(F.transform(F.array(split), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.trim(x) != F.trim(F.get(s, i - 1)))))[0], lambda x: x.isNotNull())
-    return docs.select("doc_id", (F.size(split) - F.size(kept)).cast("int").alias("dropped"), F.md5(F.array_join(kept, "\n")).alias("digest"))
+def without_repeats(lines: Column) -> Column:
+    """Lines but those that equal, stripped, the line before them."""
+    return let(lines, lambda s: F.filter(s, lambda x, i: (i == 0) | (F.trim(x) != F.trim(F.get(s, i - 1)))))
 
 
-DEDUPE_SQL = f"""SELECT doc_id, CAST(count(*) FILTER (same) AS INTEGER) AS dropped, md5(string_agg(line, chr(10) ORDER BY no) FILTER (NOT same)) AS digest
-FROM (SELECT doc_id, no, line, coalesce(trim(line) = trim(lag(line) OVER (PARTITION BY doc_id ORDER BY no)), false) AS same FROM ({LINES_SQL})) GROUP BY doc_id"""
+def without_headers(lines: Column, repeats: int = 2, width: int = 80) -> Column:
+    """Lines but those that stand more than ``repeats`` times and are short; empty lines stay."""
+    # sorted runs give each line's count without a quadratic search
+    often = lambda o: F.array_distinct(F.filter(o, lambda x, i: (x != "") & (F.length(x) < width) & F.coalesce(F.get(o, i + repeats) == x, F.lit(False))))
+    return let(lines, lambda s: let(let(F.array_sort(F.transform(s, lambda x: F.trim(x))), often), lambda bad: F.filter(s, lambda x: ~F.array_contains(bad, F.trim(x)))))
 
 
-def remove_headers_footers(docs: DataFrame, repeats: int = 2, width: int = 80) -> DataFrame:
-    """Lines that stand more than ``repeats`` times in a text and are short go; empty lines stay."""
+def _kept_lines(docs: DataFrame, rule) -> DataFrame:
     split = F.split(F.coalesce("text", F.lit("")), "\n")
+    held = docs.select("doc_id", F.size(split).alias("n"), rule(split).alias("kept"))
+    return held.select("doc_id", (F.col("n") - F.size("kept")).cast("int").alias("dropped"), F.md5(F.array_join("kept", "\n")).alias("digest"))
 
-    def kept(s: Column) -> Column:
-        # sorted runs give each line's count without a quadratic search
-        often = lambda o: F.array_distinct(F.filter(o, lambda x, i: (x != "") & (F.length(x) < width) & F.coalesce(F.get(o, i + repeats) == x, F.lit(False))))
-        return F.transform(F.array(F.transform(F.array(F.array_sort(F.transform(s, lambda x: F.trim(x)))), often)[0]), lambda bad: F.filter(s, lambda x: ~F.array_contains(bad, F.trim(x))))[0]
 
-    out = F.transform(F.array(split), kept)[0]
-    return docs.select("doc_id", (F.size(split) - F.size(out)).cast("int").alias("dropped"), F.md5(F.array_join(out, "\n")).alias("digest"))
+def dedupe_consecutive_lines(docs: DataFrame) -> DataFrame:
+    """without_repeats() of every text: how many lines go, and a digest of the rest. Within the row, so nothing is shuffled."""
+    return _kept_lines(docs, without_repeats)
+
+
+DEDUPE_SQL = f"""SELECT doc_id, CAST(count(*) FILTER (same) AS INTEGER) AS dropped, md5(string_agg(line, chr(10) ORDER BY no) FILTER (NOT same)) AS digest
+FROM (SELECT doc_id, no, line, coalesce(trim(line) = trim(lag(line) OVER (PARTITION BY doc_id ORDER BY no)), false) AS same FROM ({LINES_SQL})) GROUP BY doc_id"""
+
+
+def remove_headers_footers(docs: DataFrame) -> DataFrame:
+    """without_headers() of every text: how many lines go, and a digest of the rest."""
+    return _kept_lines(docs, without_headers)
 
 
 HEADERS_SQL = f"""SELECT doc_id, CAST(count(*) FILTER (bad) AS INTEGER) AS dropped, md5(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT bad), '')) AS digest
 FROM (SELECT *, trim(line) <> '' AND length(trim(line)) < 80 AND count(*) OVER (PARTITION BY doc_id, trim(line)) > 2 AS bad FROM ({LINES_SQL})) GROUP BY doc_id"""
 
 
-def _frequent(text: str | None, most: int) -> list[tuple[str, int]]:
+def frequent_trigrams(text: str | None, most: int) -> list[tuple[str, int]]:
     """The most frequent trigrams of the lower-cased text between two underscores, and their counts; first seen wins ties."""
     padded = f"_{(text or '').lower()}_"
     if len(padded) < 3:
@@ -87,21 +99,36 @@ def with_trigrams(docs: DataFrame, most: int = 10) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"gram": g, "n": n} for g, n in _frequent(t, most)] for t in batch.column("text").to_pylist()]
+            found = [[{"gram": g, "n": n} for g, n in frequent_trigrams(t, most)] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.struct([("gram", pa.string()), ("n", pa.int64())])))], ["doc_id", "grams"])
 
     return docs.select("doc_id", "text").mapInArrow(count, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, grams array<struct<gram: string, n: bigint>>")
 
 
+def language_scores(grams: Column) -> dict[str, Column]:
+    """For each language 3 - rank of every trigram that its profile lists, added up."""
+    score = lambda gs: F.aggregate(F.transform(grams, lambda x: F.coalesce(F.element_at(F.create_map(*[F.lit(v) for k, g in enumerate(gs) for v in (g, 3 - k)]), x), F.lit(0))), F.lit(0), lambda a, x: a + x)
+    return {x: score(gs) for x, gs in LANGUAGE_PROFILES.items()}
+
+
+def language_of(grams: Column) -> Column:
+    """The language of the highest score above 0 (declared order wins ties), else unknown."""
+    best = lambda s: F.greatest(*[s[x] for x in LANGUAGE_PROFILES])
+    held = F.struct(*[c.alias(x) for x, c in language_scores(grams).items()])
+
+    def name(s: Column) -> Column:
+        out = F.lit("unknown")
+        for x in reversed(LANGUAGE_PROFILES):
+            out = F.when((s[x] == best(s)) & (best(s) > 0), x).otherwise(out)
+        return out
+
+    return let(held, name)
+
+
 def detect_language(docs: DataFrame, ranked: int = 10) -> DataFrame:
     """Trigram profile: the ``ranked`` most frequent trigrams (first seen wins ties) score 3 - rank in each language that lists them; the best above 0, else unknown. A row for each row of docs."""
-    score = lambda gs: F.aggregate(F.transform("grams", lambda x: F.coalesce(F.element_at(F.create_map(*[F.lit(v) for k, g in enumerate(gs) for v in (g, 3 - k)]), x["gram"]), F.lit(0))), F.lit(0), lambda a, x: a + x)
-    sums = with_trigrams(docs, ranked).select("doc_id", *[score(gs).alias(x) for x, gs in LANGUAGE_PROFILES.items()])
-    best = F.greatest(*[F.col(x) for x in LANGUAGE_PROFILES])
-    out = F.lit("unknown")
-    for x in reversed(LANGUAGE_PROFILES):
-        out = F.when((F.col(x) == best) & (best > 0), x).otherwise(out)
-    return sums.select("doc_id", out.alias("language"), *[F.col(x).cast("int").alias(f"score_{x}") for x in LANGUAGE_PROFILES])
+    grams = F.col("grams.gram")
+    return with_trigrams(docs, ranked).select("doc_id", language_of(grams).alias("language"), *[c.cast("int").alias(f"score_{x}") for x, c in language_scores(grams).items()])
 
 
 def top_trigrams(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -118,16 +145,29 @@ LANGUAGE_SQL = f"""SELECT doc_id, CASE WHEN greatest(en, fr, de, es) <= 0 THEN '
 FROM (SELECT doc_id, {', '.join(f'sum({c}) AS {x}' for x, c in _CASES.items())} FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS rank FROM ({_GRAMS_SQL})) WHERE rank <= 10 GROUP BY doc_id)"""
 
 
-def detect_document_type(texts: DataFrame) -> DataFrame:
-    """The kind whose phrases stand most often (declared order wins ties), else unknown; counts by kind."""
-    t = F.lower(F.coalesce("text", F.lit("")))
+def type_counts(text: Column) -> dict[str, Column]:
+    t = F.lower(F.coalesce(text, F.lit("")))
     count = lambda ps: sum(((F.length(t) - F.length(F.replace(t, F.lit(p), F.lit("")))) / len(p) for p in ps), start=F.lit(0)).cast("int")
-    n = texts.select("doc_id", *[count(ps).alias(x) for x, ps in DOCUMENT_TYPES.items()])
-    best = F.greatest(*[F.col(x) for x in DOCUMENT_TYPES])
-    out = F.lit("unknown")
-    for x in reversed(DOCUMENT_TYPES):
-        out = F.when((F.col(x) == best) & (best > 0), x).otherwise(out)
-    return n.select("*", out.alias("document_type"))
+    return {x: count(ps) for x, ps in DOCUMENT_TYPES.items()}
+
+
+def type_of(text: Column) -> Column:
+    """The kind whose phrases stand most often (declared order wins ties), else unknown."""
+    best = lambda n: F.greatest(*[n[x] for x in DOCUMENT_TYPES])
+
+    def name(n: Column) -> Column:
+        out = F.lit("unknown")
+        for x in reversed(DOCUMENT_TYPES):
+            out = F.when((n[x] == best(n)) & (best(n) > 0), x).otherwise(out)
+        return out
+
+    return let(F.struct(*[c.alias(x) for x, c in type_counts(text).items()]), name)
+
+
+def detect_document_type(texts: DataFrame) -> DataFrame:
+    """document_type as type_of() has it; counts by kind."""
+    n = texts.select("doc_id", *[c.alias(x) for x, c in type_counts(F.col("text")).items()], type_of(F.col("text")).alias("document_type"))
+    return n
 
 
 def document_type_sql(source: str) -> str:
@@ -173,19 +213,21 @@ def key_phrase_scores(texts: DataFrame) -> DataFrame:
     return _phrase_rows(texts, every).select("doc_id", F.explode("phrases").alias("x")).select("doc_id", "x.phrase", F.round("x.score", 6).alias("score"), "x.n")
 
 
+def greedy_phrases(text: str | None, k: int = 10) -> list[str]:
+    """Up to k phrases by score that are not part of one taken before."""
+    taken: list[str] = []
+    for phrase, _ in sorted(phrases_of(text).items(), key=lambda x: (-round(x[1][0], 6), x[0])):
+        if not any(phrase in y for y in taken):
+            taken.append(phrase)
+            if len(taken) == k:
+                break
+    return taken
+
+
 def key_phrases(texts: DataFrame, k: int = 10) -> DataFrame:
-    """Up to k phrases of each text by score that are not part of one taken before: rank, phrase."""
-
-    def greedy(text: str | None) -> list[dict]:
-        taken: list[str] = []
-        for phrase, (score, n) in sorted(phrases_of(text).items(), key=lambda x: (-round(x[1][0], 6), x[0])):
-            if not any(phrase in y for y in taken):
-                taken.append(phrase)
-                if len(taken) == k:
-                    break
-        return [{"phrase": p, "score": 0.0, "n": 0} for p in taken]
-
-    return _phrase_rows(texts, greedy).select("doc_id", F.posexplode("phrases.phrase").alias("rank", "phrase"))
+    """doc_id, rank, phrase of greedy_phrases() of every text."""
+    found = lambda t: [{"phrase": p, "score": 0.0, "n": 0} for p in greedy_phrases(t, k)]
+    return _phrase_rows(texts, found).select("doc_id", F.posexplode("phrases.phrase").alias("rank", "phrase"))
 
 
 KEY_PHRASES_SQL = r"""WITH toks AS (SELECT doc_id, i AS pos, ws[i] AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS ws FROM {source}))),

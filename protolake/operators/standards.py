@@ -106,10 +106,10 @@ def create_table_sql(table: str, dialect: str = "postgresql") -> str:
     return f"CREATE TABLE {table} (\n" + ",\n".join(fields) + "\n);"
 
 
-def insert_sql(table: str, df: DataFrame, columns: list[str]) -> DataFrame:
+def insert_sql(table: str, df: DataFrame, columns: list[str], keep: list[Column] | None = None) -> DataFrame:
     """One INSERT statement for each row; quotes doubled, nulls as NULL."""
     quoted = lambda c: F.when(F.col(c).isNull(), F.lit("NULL")).otherwise(F.concat(F.lit("'"), F.replace(F.col(c), F.lit("'"), F.lit("''")), F.lit("'")) if dict(df.dtypes)[c] == "string" else F.col(c).cast("string"))
-    return df.select("protocol_id", F.concat(F.lit(f"INSERT INTO {table} ({', '.join(columns)}) VALUES ("), F.concat_ws(", ", *[quoted(c) for c in columns]), F.lit(");")).alias("statement"))
+    return df.select("protocol_id", *(keep or []), F.concat(F.lit(f"INSERT INTO {table} ({', '.join(columns)}) VALUES ("), F.concat_ws(", ", *[quoted(c) for c in columns]), F.lit(");")).alias("statement"))
 
 
 def activity_id(code: Column, title: Column) -> Column:
@@ -168,6 +168,8 @@ def omop_issues(table: str, rows: DataFrame, key: str) -> DataFrame:
     """rows with string columns: required fields that are missing, values that do not cast, concept ids of 0."""
     checks = []
     for name, kind, required in OMOP_SCHEMAS[table]:
+        if required and name not in rows.columns:
+            checks.append(F.lit(f"Missing required field: {name}"))
         if name in rows.columns:
             c = F.col(name).cast("string")
             if required:
@@ -191,5 +193,5 @@ def report(issues: DataFrame) -> DataFrame:
     """Issues, errors, warnings and one recommendation by what was found first."""
     n = lambda word: F.count_if(F.contains(F.lower("issue"), F.lit(word)))
     sums = issues.agg(F.count("*").alias("total"), F.count_if(severity(F.col("issue")) == "Error").alias("errors"), F.count_if(severity(F.col("issue")) == "Warning").alias("warnings"), n("missing required").alias("missing"), n("should be").alias("invalid"), n("unmapped").alias("unmapped"))
-    advice = F.when(F.col("missing") > 0, "Add required fields that are missing.").when(F.col("invalid") > 0, "Fix data type issues.").when(F.col("unmapped") > 0, "Improve terminology mapping.").when(F.col("total") > 0, "Review each issue.").otherwise("No issues found.")
+    advice = F.when(F.col("missing") > 0, "Add the missing required fields.").when(F.col("invalid") > 0, "Correct the types.").when(F.col("unmapped") > 0, "Map more terms to concepts.").when(F.col("total") > 0, "Look at each issue by itself.").otherwise("No issues found.")
     return sums.select("*", advice.alias("recommendation"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from protolake.functions.text import normalize_term, sql_term
+from protolake.functions.text import CLEAN_RULES, clean_text, normalize_term, sql_replaced, sql_term
 from protolake.operators import entities as N
 from protolake.operators import extract as E
+from protolake.operators import extraction as X
 from protolake.operators import terms as M
 from protolake.plans.overlay import ELEMENTS_SQL, TEXTS_SQL, elements, sql_list
 from protolake.queries.text import docs, texts
-from protolake.refdata import CONTEXT_HINTS, SYNONYMS, TERM_ABBREVIATIONS, TERM_PREFIXES, concepts
+from protolake.refdata import ABBREVIATIONS, CONTEXT_HINTS, SYNONYMS, TERM_ABBREVIATIONS, TERM_PREFIXES, concepts
 
 
 def ids(s, d):
@@ -34,7 +35,22 @@ def _boost(s, d):
     return M.context_boost(matched, "text").select("doc_id", "system", "display", "score", "context_term")
 
 
+def cleaned(s, d):
+    """Texts of the overlay as the extractor cleans them."""
+    return texts(s, d).select("doc_id", clean_text(F.col("text")).alias("text"))
+
+
+def _extracted_relations(s, d):
+    return X.extract_relations(X.extract_entities(texts(s, d)), cleaned(s, d))
+
+
 QUERIES = {
+    "extract_entities": lambda s, d: X.extract_entities(texts(s, d)),
+    "extract_entities_documents": lambda s, d: X.extract_entities(docs(s, d), fallback=True),
+    "extract_relations": _extracted_relations,
+    "extract_relations_documents": lambda s, d: X.extract_relations(X.extract_entities(docs(s, d), fallback=True), docs(s, d).select("doc_id", clean_text(F.col("text")).alias("text")), fallback=True),
+    "relation_texts": lambda s, d: X.relation_texts(_extracted_relations(s, d), X.extract_entities(texts(s, d))),
+    "entity_counts_by_label": lambda s, d: X.extract_entities(texts(s, d)).groupBy("label").agg(F.count("*").alias("n")),
     "bio_decode": lambda s, d: N.bio_decode(N.stub_tags(ids(s, d))),
     "confidence_filter": lambda s, d: N.stub_entities(ids(s, d)).filter("confidence >= 0.7").select("doc_id", "e", "label"),
     "resolve_overlaps": lambda s, d: N.resolve_overlaps(N.stub_entities(ids(s, d))),
@@ -83,7 +99,15 @@ s AS (SELECT system, term, k, round(sum(a * b), 6) AS cosine FROM a JOIN b USING
 SELECT s.system, s.term, d.term AS near, d.code, round(cosine * 100, 4) AS score FROM s JOIN d ON s.system = d.system AND s.k = d.k"""
 _HINT = "CASE " + " ".join(f"WHEN system = '{s}' AND contains(lower(display), '{k}') AND len(list_filter({sql_list(h)}, lambda x: contains(t, x))) > 0 THEN list_filter({sql_list(h)}, lambda x: contains(t, x))[1]" for s, k, h in reversed(CONTEXT_HINTS)) + " END"
 
+CLEANED_SQL = f"SELECT doc_id, {sql_replaced('trim(' + sql_replaced('text', CLEAN_RULES, 'g') + ')', ABBREVIATIONS)} AS text FROM ({TEXTS_SQL})"
+EXTRACTED_SQL = X.entities_sql(CLEANED_SQL)
+_EXTRACTED_RELATIONS = X.relations_numbered_sql(N.relations_sql(N.pairs_sql(f"SELECT doc_id, e, label, start, stop FROM ({EXTRACTED_SQL})"), CLEANED_SQL))
+
 ORACLES = {
+    "extract_entities": EXTRACTED_SQL,
+    "extract_relations": _EXTRACTED_RELATIONS,
+    "relation_texts": f"SELECT r.doc_id, r.id, s.text || ' --[' || relation || ']--> ' || t.text AS line FROM ({_EXTRACTED_RELATIONS}) r JOIN ({EXTRACTED_SQL}) s ON s.doc_id = r.doc_id AND s.e = s_e JOIN ({EXTRACTED_SQL}) t ON t.doc_id = r.doc_id AND t.e = t_e",
+    "entity_counts_by_label": f"SELECT label, count(*) AS n FROM ({EXTRACTED_SQL}) GROUP BY label",
     "bio_decode": N.BIO_SQL,
     "confidence_filter": f"SELECT doc_id, e, label FROM ({N.ENTITIES_SQL}) WHERE confidence >= 0.7",
     "resolve_overlaps": N.OVERLAPS_SQL,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from protolake.plans.overlay import ELEMENTS_SQL
 from protolake.queries.entities import elems
 from protolake.sources.files import html_table
 from protolake.streaming.ingest import event_windows
@@ -19,6 +20,14 @@ QUERIES = {
     "html_rows": lambda s, d: html_table(elems(s, d).select("doc_id", "kind", "text"), ["kind", "text"]).select("doc_id", "html"),
 }
 
+def _escaped(column: str) -> str:
+    out = f"coalesce({column}, '')"
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        out = f"replace({out}, '{a}', '{b}')"
+    return out
+
+
 ORACLES = {
+    "html_rows": f"SELECT doc_id, '<tr><td>' || {_escaped('kind')} || '</td><td>' || {_escaped('text')} || '</td></tr>' AS html FROM ({ELEMENTS_SQL})",
     "event_windows": "SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }

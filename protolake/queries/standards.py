@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from protolake.operators import entities as N
+from protolake.operators import convert as C
+from protolake.operators import extraction as X
+from protolake.operators import sectioning as G
 from protolake.operators import standards as O
+from protolake.operators import training as W
 from protolake.plans.overlay import ELEMENTS_SQL
-from protolake.queries.entities import MAPPED_SQL, elems, ids
-from protolake.queries.text import unit_concept, unit_sql
+from protolake.queries.entities import CLEANED_SQL, EXTRACTED_SQL, MAPPED_SQL, cleaned, elems, ids
+from protolake.queries.extract import ORACLES as SECTION_ORACLES
+from protolake.queries.text import texts, unit_concept, unit_sql
 from protolake.refdata import BODY_SITES, COLORS, CONDITION_WORDS, DEVICE_WORDS, EXCLUSION, INCLUSION, JOB_PROGRESS, LAB_WORDS, OBSERVATION_WORDS, OTHER_COLOR, PROTOCOL, SPECIMEN_TYPES, SPECIMEN_WORDS
 
 
@@ -17,16 +22,6 @@ def _condition_counts(s, d):
     return rows.groupBy("condition_type_concept_id", F.col("condition_source_code").isNotNull().alias("mapped")).agg(F.count("*").alias("n"), F.count_distinct("condition_source_code").alias("codes"))
 
 
-def _consistency(s, d):
-    e = elems(s, d)
-    fhir = O.plan_actions(e).agg(F.count_if(F.col("condition_kind").isNotNull()).alias("conditions"), F.count_if(F.col("definition").isNotNull()).alias("procedures")).withColumn("medications", F.lit(None).cast("long"))
-    meds = O.activities(e).agg(F.count_if(F.col("kind") == "MedicationRequest").alias("medications"))
-    left = fhir.drop("medications").join(F.broadcast(meds)).select(F.expr("stack(3, 'conditions', conditions, 'procedures', procedures, 'medications', medications) as (category, fhir)"))
-    count = lambda df, name: df.agg(F.lit(name).alias("category"), F.count("*").alias("omop"))
-    right = count(O.condition_occurrence(e), "conditions").unionByName(count(O.procedure_occurrence(e), "procedures")).unionByName(count(O.drug_exposure(e), "medications"))
-    return left.join(right, "category", "full").select("category", "fhir", "omop", (F.col("fhir") == F.col("omop")).alias("consistent"))
-
-
 def _resources(s, d):
     """Resources some of which are broken by their id."""
     i = F.col("doc_id")
@@ -86,6 +81,39 @@ def _colors(s, d):
     return N.stub_tags(ids(s, d)).withColumnRenamed("tag", "label").groupBy("label").agg(F.count("*").alias("n")).select("label", color.alias("color"), "n")
 
 
+def _both_rows(s, d):
+    """All issues of resources and rows that are broken by their id."""
+    fhir = O.fhir_issues(_resources(s, d)).select(F.lit("FHIR").alias("standard"), "issue")
+    return fhir.unionByName(_issues(s, d).select(F.lit("OMOP CDM").alias("standard"), "issue"))
+
+
+def _both(s, d):
+    fhir = O.fhir_issues(_resources(s, d)).withColumn("resource_type", F.substring_index("issue", " ", 1))
+    return C.all_issues(fhir, _issues(s, d))
+
+
+def _report(s, d):
+    e = X.extract_entities(texts(s, d))
+    return C.protocol_report(e, X.extract_relations(e, cleaned(s, d)), G.extract_sections(texts(s, d)))
+
+
+def _judged_tags(s, d):
+    """The stub's tags as gold; predicted: some tags lost or of another kind, by token."""
+    n = (F.col("doc_id") + F.col("idx") * 5) % 7
+    return N.stub_tags(ids(s, d)).select("doc_id", "idx", F.col("tag").alias("gold"), F.when(n == 0, "O").when(n == 3, F.regexp_replace("tag", "CONDITION", "MEDICATION")).otherwise(F.col("tag")).alias("predicted"))
+
+
+_JUDGED = f"SELECT doc_id, idx, tag AS gold, CASE (doc_id + idx * 5) % 7 WHEN 0 THEN 'O' WHEN 3 THEN regexp_replace(tag, 'CONDITION', 'MEDICATION') ELSE tag END AS predicted FROM ({N.TAGS_SQL})"
+
+
+def _aligned(s, d):
+    """Word pieces of a sentence made from the id: a mark, one to three pieces of each of five words, a mark."""
+    words = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda w: F.array_repeat(w, (1 + (F.col("doc_id") + w) % 3).cast("int"))))
+    labels = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda w: ((F.col("doc_id") * 3 + w) % 11).cast("int"))
+    none = F.array(F.lit(None).cast("int"))
+    return ids(s, d).select("doc_id", W.align_labels(F.concat(none, words, none), labels).alias("l")).select("doc_id", F.array_join(F.transform("l", lambda x: x.cast("string")), " ").alias("labels"))
+
+
 _IN = ["condition_occurrence_id", "condition_concept_id", "condition_type_concept_id", "condition_source_value"]
 
 QUERIES = {
@@ -110,7 +138,18 @@ QUERIES = {
     "omop_unmapped_tables": lambda s, d: _issues(s, d).groupBy("table_name").agg(F.count_if(F.col("issue").startswith("Unmapped")).alias("unmapped")).filter("unmapped > 0"),
     "issue_severity": lambda s, d: _issues(s, d).groupBy(O.severity(F.col("issue")).alias("severity")).agg(F.count("*").alias("n")),
     "validation_report": lambda s, d: O.report(_issues(s, d)),
-    "consistency_counts": _consistency,
+    "consistency_counts": lambda s, d: C.consistency(elems(s, d), unit_concept),
+    "omop_convert_issues": lambda s, d: C.omop_convert(elems(s, d), unit_concept)["issues"],
+    "omop_convert_summary": lambda s, d: C.omop_convert(elems(s, d), unit_concept)["summary"],
+    "omop_convert_sql": lambda s, d: C.omop_convert(elems(s, d), unit_concept, "sqlite")["sql"],
+    "fhir_convert": lambda s, d: C.fhir_resources(elems(s, d)),
+    "fhir_convert_issues": lambda s, d: C.fhir_convert(elems(s, d))["issues"],
+    "issues_of_both_standards": _both,
+    "recommendations": lambda s, d: C.recommendations(_both_rows(s, d)),
+    "protocol_report": _report,
+    "entity_scores": lambda s, d: W.entity_scores(_judged_tags(s, d)),
+    "aligned_labels": _aligned,
+    "named_tags": lambda s, d: W.named_tags(ids(s, d).select("doc_id", F.when(F.col("doc_id") % 5 == 0, "validation").otherwise("train").alias("split"), (F.col("doc_id") % 12).cast("string").alias("tag"))),
     "confidence_rollup": _rollup,
     "protocol_summary": _summary,
     "monitor_metrics": _monitor,
@@ -151,11 +190,89 @@ ORACLES = {
     "omop_required_issues": f"SELECT * FROM ({_OMOP_ISSUES}) WHERE issue LIKE 'Missing%'",
     "omop_unmapped_tables": f"SELECT table_name, count(*) AS unmapped FROM ({_OMOP_ISSUES}) WHERE issue LIKE 'Unmapped%' GROUP BY 1",
     "issue_severity": f"SELECT CASE WHEN lower(issue) LIKE '%missing required%' THEN 'Error' ELSE 'Warning' END AS severity, count(*) AS n FROM ({_OMOP_ISSUES}) GROUP BY 1",
-    "validation_report": f"SELECT count(*) AS total, count(*) FILTER (issue LIKE 'Missing required%') AS errors, count(*) FILTER (issue NOT LIKE 'Missing required%') AS warnings, count(*) FILTER (issue LIKE 'Missing required%') AS missing, count(*) FILTER (issue LIKE '%should be%') AS invalid, count(*) FILTER (issue LIKE 'Unmapped%') AS unmapped, 'Add required fields that are missing.' AS recommendation FROM ({_OMOP_ISSUES})",
-    "consistency_counts": f"SELECT category, f AS fhir, o AS omop, f = o AS consistent FROM (SELECT CASE kind WHEN 'eligibility_criteria' THEN 'conditions' ELSE kind END AS category, count(*) AS f, count(*) AS o FROM ({ELEMENTS_SQL}) WHERE kind IN ('eligibility_criteria', 'procedures', 'medications') GROUP BY 1)",
+    "validation_report": f"SELECT count(*) AS total, count(*) FILTER (issue LIKE 'Missing required%') AS errors, count(*) FILTER (issue NOT LIKE 'Missing required%') AS warnings, count(*) FILTER (issue LIKE 'Missing required%') AS missing, count(*) FILTER (issue LIKE '%should be%') AS invalid, count(*) FILTER (issue LIKE 'Unmapped%') AS unmapped, 'Add the missing required fields.' AS recommendation FROM ({_OMOP_ISSUES})",
+    "consistency_counts": f"""SELECT category, f AS fhir, o AS omop, f = o AS consistent FROM (SELECT CASE kind WHEN 'eligibility_criteria' THEN 'conditions' ELSE kind END AS category, count(*) AS f, count(*) AS o FROM ({ELEMENTS_SQL}) WHERE kind IN ('eligibility_criteria', 'procedures', 'medications') GROUP BY 1
+        UNION ALL SELECT 'observations', (SELECT count(*) FROM ({ELEMENTS_SQL}) WHERE kind IN ('endpoints', 'measurements')), (SELECT count(*) FROM ({ELEMENTS_SQL}) WHERE kind = 'endpoints' OR (kind = 'eligibility_criteria' AND NOT {_ANY(CONDITION_WORDS)} AND {_ANY(OBSERVATION_WORDS)})))""",
     "confidence_rollup": f"SELECT coalesce(label, 'ALL') AS label, round(avg(confidence), 6) AS mean, count(*) AS n FROM ({N.ENTITIES_SQL}) GROUP BY ROLLUP (label)",
     "protocol_summary": "SELECT protocol_id, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in ("eligibility_criteria", "procedures", "medications", "endpoints")) + f", count(*) AS total FROM ({ELEMENTS_SQL}) GROUP BY 1",
     "monitor_metrics": f"SELECT round(avg((doc_id % 9 + 1) / 10), 6) AS mean_seconds, round(avg(c), 6) AS mean_confidence, round(avg(n), 6) AS mean_entities, round(count(*) FILTER (doc_id % 10 = 0) / (greatest(1, count(*)) + count(*) FILTER (doc_id % 10 = 0)), 6) AS error_rate FROM (SELECT doc_id, count(*) AS n, avg(confidence) AS c FROM ({N.ENTITIES_SQL}) GROUP BY 1)",
     "job_progress": "SELECT doc_id, {0}[doc_id % 6 + 1] AS state, {1}[doc_id % 6 + 1] AS progress FROM documents WHERE doc_id IS NOT NULL".format(list(JOB_PROGRESS), list(JOB_PROGRESS.values())),
     "entity_colors": f"SELECT tag AS label, CASE regexp_replace(tag, '^[BI]-', '') {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {chr(39)}{v}{chr(39)}' for k, v in COLORS.items())} ELSE '{OTHER_COLOR}' END AS color, count(*) AS n FROM ({N.TAGS_SQL}) GROUP BY 1",
 }
+
+# what builds on the SQL of the seven tables
+_TABLES = {x: ORACLES[f"omop_{x}"] for x in O.OMOP_SCHEMAS}
+_CONCEPT = {x: next(n for n, _, need in O.OMOP_SCHEMAS[x] if need and n.endswith("_concept_id") and "type" not in n) for x in _TABLES}
+_CONVERTED = " UNION ALL ".join(f"SELECT '{x}' AS table_name, protocol_id, {x}_id AS record, 'Warning' AS severity, 'Unmapped concept: {_CONCEPT[x]}' AS issue FROM ({q})" for x, q in _TABLES.items())
+_MADE = {
+    "condition_occurrence": "condition_occurrence_id condition_concept_id condition_type_concept_id condition_source_value", "drug_exposure": "drug_exposure_id drug_concept_id drug_type_concept_id sig drug_source_value",
+    "procedure_occurrence": "procedure_occurrence_id procedure_concept_id procedure_type_concept_id quantity procedure_source_value", "observation": "observation_id observation_concept_id observation_type_concept_id value_as_string observation_source_value",
+    "measurement": "measurement_id measurement_concept_id measurement_type_concept_id unit_concept_id range_low range_high measurement_source_value unit_source_value value_source_value",
+    "device_exposure": "device_exposure_id device_concept_id device_type_concept_id quantity device_source_value", "specimen": "specimen_id specimen_concept_id specimen_type_concept_id quantity specimen_source_value anatomic_site_source_value",
+}
+
+
+def _literal(column: str) -> str:
+    quoted = f"'''' || replace({column}, '''', '''''') || ''''"
+    text = column in ("sig", "value_as_string") or column.endswith("_source_value")
+    return f"CASE WHEN {column} IS NULL THEN 'NULL' ELSE {quoted if text else f'CAST({column} AS VARCHAR)'} END"
+
+
+def _insert(table: str) -> str:
+    names = _MADE[table].split()
+    values = " || ', ' || ".join(map(_literal, names))
+    return f"SELECT '{table}' AS table_name, 'insert' AS kind, protocol_id, {table}_id AS record, 'INSERT INTO {table} ({', '.join(names)}) VALUES (' || {values} || ');' AS statement FROM ({_TABLES[table]})"
+
+
+_FIXED = [("_preamble", "setup", "PRAGMA foreign_keys = ON;")] + [(x, "create", O.create_table_sql(x, "sqlite")) for x in _TABLES] + [(x, "index", f"-- CREATE INDEX idx_{x}_{f} ON {x}({f});") for x, fs in C.INDEXED.items() for f in fs]
+_FIXED_SQL = " UNION ALL ".join(f"SELECT '{x}' AS table_name, '{k}' AS kind, CAST(NULL AS BIGINT) AS protocol_id, CAST(NULL AS INTEGER) AS record, '{t}' AS statement" for x, k, t in _FIXED)
+
+
+def _json(column: str) -> str:
+    return f"CAST(to_json({column}) AS VARCHAR)"
+
+
+def _field(name: str, column: str) -> str:
+    """A field that is left out if the column is null."""
+    return f"""coalesce(',"{name}":' || {_json(column)}, '')"""
+
+
+def _coded(system: str, code: str) -> str:
+    return '{"coding":[{"system":"http://terminology.hl7.org/CodeSystem/' + system + '","code":"' + code + '"}]}'
+
+
+def _head(kind: str, id_: str) -> str:
+    return f"""'{{"resourceType":"{kind}","id":' || {_json(id_)} || ',"status":"draft"'"""
+
+
+_CONDITION_JSON = f"""CASE WHEN condition_kind IS NULL THEN '' ELSE ',"condition":[{{"kind":' || {_json('condition_kind')} || ',"expression":{{"language":"text/plain","expression":' || {_json('description')} || '}}}}]' END"""
+_ACTION = f"""'{{"title":' || {_json('title')} || {_field('description', 'description')} || {_CONDITION_JSON} || {_field('definitionCanonical', 'definition')} || '}}'"""
+_SHORT = f"""'{{"title":' || {_json('title')} || {_field('description', 'description')} || {_field('definitionCanonical', 'definition')} || '}}'"""
+_ITEM = f"""'{{"linkId":' || {_json('link_id')} || ',"text":' || {_json('text')} || ',"type":' || {_json('type')} || '}}'"""
+_IDS = f"SELECT DISTINCT protocol_id FROM ({ELEMENTS_SQL})"
+_PLAN_ID, _FORM_ID, _LIBRARY_ID = ("'" + x + "-' || p.protocol_id" for x in ("plan", "questionnaire", "library"))
+_RESOURCES_SQL = f"""SELECT p.protocol_id, 'PlanDefinition' AS resource_type, {_PLAN_ID} AS id, CAST(0 AS INTEGER) AS no, {_head('PlanDefinition', _PLAN_ID)} || ',"type":{_coded('plan-definition-type', 'protocol')}' || coalesce(',"action":[' || a || ']', '') || '}}' AS resource
+    FROM ({_IDS}) p LEFT JOIN (SELECT protocol_id, string_agg({_ACTION}, ',' ORDER BY action_no) AS a FROM ({_ACTIONS}) GROUP BY 1) x ON p.protocol_id = x.protocol_id
+UNION ALL SELECT protocol_id, 'ActivityDefinition', id, CAST(row_number() OVER (PARTITION BY protocol_id ORDER BY doc_id) - 1 AS INTEGER), {_head('ActivityDefinition', 'id')} || ',"kind":' || {_json('kind')} || ',"title":' || {_json('title')} || '}}' FROM ({_ACTIVITIES})
+UNION ALL SELECT p.protocol_id, 'Library', {_LIBRARY_ID}, 0, {_head('Library', _LIBRARY_ID)} || ',"type":{_coded('library-type', 'logic-library')},"title":"Logic for Protocol ' || p.protocol_id || '"}}' FROM ({_IDS}) p
+UNION ALL SELECT p.protocol_id, 'Questionnaire', {_FORM_ID}, 0, {_head('Questionnaire', _FORM_ID)} || coalesce(',"item":[' || i || ']', '') || '}}'
+    FROM ({_IDS}) p LEFT JOIN (SELECT protocol_id, string_agg({_ITEM}, ',' ORDER BY link_id, text, type) AS i FROM ({ORACLES['fhir_questionnaire_items']}) GROUP BY 1) x ON p.protocol_id = x.protocol_id"""
+_BOTH_ROWS = f"SELECT 'FHIR' AS standard, issue FROM (WITH r AS ({_RES}) {_FHIR_ISSUES}) UNION ALL SELECT 'OMOP CDM', issue FROM ({_OMOP_ISSUES})"
+_FOUND_RELATIONS = N.relations_sql(N.pairs_sql(f"SELECT doc_id, e, label, start, stop FROM ({EXTRACTED_SQL})"), CLEANED_SQL)
+ORACLES |= {
+    "omop_convert_issues": _CONVERTED,
+    "omop_convert_summary": "SELECT table_name, records, CAST(0 AS BIGINT) AS errors, CAST(CASE WHEN records > 0 THEN 1 ELSE 0 END AS BIGINT) AS warnings, records > 0 AS with_data FROM (" + " UNION ALL ".join(f"SELECT '{x}' AS table_name, count(*) AS records FROM ({q})" for x, q in _TABLES.items()) + ")",
+    "omop_convert_sql": " UNION ALL ".join([_FIXED_SQL, *map(_insert, _TABLES)]),
+    "fhir_convert": _RESOURCES_SQL,
+    "fhir_convert_issues": "SELECT CAST(0 AS BIGINT) AS protocol_id, '' AS resource_type, CAST(0 AS INTEGER) AS no, '' AS issue WHERE false",
+    "fhir_plan_definition_json": f"""SELECT protocol_id, '{{"resourceType":"PlanDefinition","id":"plan-' || protocol_id || '","status":"draft","action":[' || string_agg({_SHORT}, ',' ORDER BY action_no) || ']}}' AS resource FROM ({_ACTIONS}) GROUP BY protocol_id""",
+    "issues_of_both_standards": f"SELECT DISTINCT standard, CASE standard WHEN 'FHIR' THEN split_part(issue, ' ', 1) ELSE 'procedure_occurrence' END AS place, issue FROM ({_BOTH_ROWS})",
+    "recommendations": f"""WITH n AS (SELECT standard, count(*) FILTER (lower(issue) LIKE '%missing required%') AS m, count(*) FILTER (lower(issue) LIKE '%should be%') AS t, count(*) FILTER (lower(issue) LIKE '%unmapped%') AS u FROM ({_BOTH_ROWS}) GROUP BY 1)
+        SELECT standard, CAST(0 AS INTEGER) AS no, 'Required ' || CASE standard WHEN 'FHIR' THEN 'elements' ELSE 'fields' END || ' are missing ' || m || ' times: add them.' AS recommendation FROM n
+        UNION ALL SELECT standard, 1, 'Correct the types of ' || t || ' fields.' FROM n WHERE standard <> 'FHIR' UNION ALL SELECT standard, 2, 'Map more terms to concepts.' FROM n WHERE standard <> 'FHIR'""",
+    "protocol_report": f"""WITH r AS (SELECT 'entities' AS part, label, confidence FROM ({EXTRACTED_SQL}) UNION ALL SELECT 'relations', relation, confidence FROM ({_FOUND_RELATIONS}) UNION ALL SELECT 'sections', type, confidence FROM ({SECTION_ORACLES['extract_sections']}))
+        SELECT part, coalesce(label, 'ALL') AS label, count(*) AS n, round(avg(confidence), 6) AS confidence FROM r GROUP BY GROUPING SETS ((part, label), (part))""",
+    "entity_scores": W.scores_sql(_JUDGED),
+    "aligned_labels": "SELECT doc_id, '-100 ' || string_agg((doc_id * 3 + w) % 11 || repeat(' -100', CAST((doc_id + w) % 3 AS INTEGER)), ' ' ORDER BY w) || ' -100' AS labels FROM (SELECT doc_id, unnest(range(0, 5)) AS w FROM documents WHERE doc_id IS NOT NULL) GROUP BY doc_id",
+    "named_tags": f"WITH n AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'validation' ELSE 'train' END AS split, {W.TAG_NAMES}[doc_id % 12 + 1] AS tag FROM documents WHERE doc_id IS NOT NULL) SELECT * FROM n UNION ALL SELECT doc_id, 'test', tag FROM n WHERE split = 'validation'",
+}

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from protolake.functions import text as T
+from protolake.operators import preprocess as R
 from protolake.operators import profile as P
 from protolake.plans.overlay import ELEMENTS_SQL, TEXTS_SQL, elements, protocol_texts
-from protolake.refdata import UNIT_NAMES, UNITS
+from protolake.refdata import PARSER_ABBREVIATIONS, UNIT_NAMES, UNITS
 
 
 def docs(spark, d, *columns):
@@ -58,6 +59,11 @@ QUERIES = {
     "valid_date_check": lambda s, d: docs(s, d, "doc_id").withColumn("date", F.expr(_DATES)).select("doc_id", "date", T.is_valid_date(F.col("date")).alias("valid")),
     "sanitize_name": lambda s, d: docs(s, d, "doc_id", "source").withColumn("name", F.concat(F.lit("My File "), F.coalesce("source", F.lit("?")), F.lit(" #"), "doc_id", F.lit("!@$%.txt"))).select("doc_id", T.sanitize_filename(F.col("name")).alias("name")),
     "unit_map": lambda s, d: elements(docs(s, d, "doc_id")).filter("units is not null").select("doc_id", "units", unit_concept(F.col("units")).alias("concept_id")),
+    "preprocess_medical_text": lambda s, d: texts(s, d).select("doc_id", R.preprocess_medical_text(F.col("text")).alias("text")),
+    "preprocess_medical_text_documents": lambda s, d: docs(s, d).select("doc_id", F.md5(R.preprocess_medical_text(F.coalesce("text", F.lit("")))).alias("digest")),
+    "preprocess_for_model": lambda s, d: R.preprocess_for_model(docs(s, d)).select("doc_id", "no", "start", "text", F.size("tables").alias("n_tables"), "statistics.word_count"),
+    "preprocess_document": lambda s, d: R.preprocess_document(docs(s, d)).select("doc_id", F.md5("text").alias("digest"), "document_type", "language", "sentence_count", "section_count", F.array_join("key_phrases", "|").alias("key_phrases"), "n_chunks", "word_count"),
+    "normalize_parsed_whitespace": lambda s, d: docs(s, d).select("doc_id", F.md5(T.normalize_parsed_whitespace(F.coalesce("text", F.lit("")))).alias("digest")),
     "text_statistics": lambda s, d: P.text_statistics(docs(s, d)),
     "dedupe_consecutive_lines": lambda s, d: P.dedupe_consecutive_lines(docs(s, d)),
     "remove_headers_footers": lambda s, d: P.remove_headers_footers(docs(s, d)),
@@ -87,6 +93,8 @@ ORACLES = {
     "valid_date_check": "SELECT doc_id, date, CAST(substring(date, 1, 4) AS INTEGER) BETWEEN 1900 AND 2100 AND CAST(substring(date, 6, 2) AS INTEGER) BETWEEN 1 AND 12 AND CAST(substring(date, 9, 2) AS INTEGER) BETWEEN 1 AND 31 AS valid FROM (SELECT doc_id, printf('%04d-%02d-%02d', 1890 + doc_id % 230, doc_id % 14, doc_id % 33) AS date FROM documents)",
     "sanitize_name": r"SELECT doc_id, rtrim(substring(regexp_replace(replace('My File ' || coalesce(source, '?') || ' #' || doc_id || '!@$%', ' ', '_'), '[^\p{L}\p{N}_-]', '', 'g'), 1, 50), '_') || '_txt' AS name FROM documents",
     "unit_map": f"SELECT doc_id, units, {unit_sql('units')} AS concept_id FROM ({ELEMENTS_SQL}) WHERE units IS NOT NULL",
+    "preprocess_medical_text": f"SELECT doc_id, {T.sql_replaced(T.sql_replaced('text', PARSER_ABBREVIATIONS), R.PARSER_RULES, 'g')} AS text FROM ({TEXTS_SQL})",
+    "normalize_parsed_whitespace": f"SELECT doc_id, md5(trim({T.sql_replaced('coalesce(text, ' + chr(39) * 2 + ')', T.PARSED_WHITESPACE_RULES, 'g')})) AS digest FROM documents",
     "text_statistics": P.TEXT_STATISTICS_SQL,
     "dedupe_consecutive_lines": P.DEDUPE_SQL,
     "remove_headers_footers": P.HEADERS_SQL,

@@ -15,6 +15,14 @@ ABBREVIATIONS = [
     (r"\bAM\b", "morning"), (r"\bPM\b", "evening"), (r"\byo\b", "year old"), (r"\by\.o\.", "year old"),
 ]
 
+# fixed values: abbreviations of notes that the parser spells out, applied in this order, any case
+PARSER_ABBREVIATIONS = [
+    (r"\bpt\b", "patient"), (r"\bpts\b", "patients"), (r"\bDx\b", "diagnosis"), (r"\bRx\b", "prescription"), (r"\bTx\b", "treatment"), (r"\bHx\b", "history"), (r"\bFHx\b", "family history"),
+    (r"\bPMH\b", "past medical history"), (r"\bHTN\b", "hypertension"), (r"\bDM\b", "diabetes mellitus"), (r"\bBID\b", "twice daily"), (r"\bTID\b", "three times daily"), (r"\bQID\b", "four times daily"),
+    (r"\bPRN\b", "as needed"), (r"\bq([0-9]+)h\b", "every $1 hours"), (r"\byo\b", "year old"), (r"\by/o\b", "year old"), (r"\bw/\b", "with"), (r"\bs/p\b", "status post"), (r"\bc/o\b", "complains of"),
+    (r"\ba/w\b", "associated with"),
+]
+
 # fixed values: dosage units, frequencies and routes, applied in this order, any case; $1 is the first group
 DOSAGE_RULES = [
     (r"\bkg\b", "kg"), (r"\bkilograms?\b", "kg"), (r"\bg\b", "g"), (r"\bgrams?\b", "g"), (r"\bmg\b", "mg"), (r"\bmilligrams?\b", "mg"), (r"\bµg\b", "mcg"), (r"\bmcg\b", "mcg"), (r"\bmicrograms?\b", "mcg"),
@@ -94,6 +102,16 @@ TYPE_RELATIONS = [
     ("MEDICATION", "ADVERSE_EVENT", "CAUSES", 0.6), ("ENDPOINT", "PROCEDURE", "MEASURES", 0.6), ("RECOMMENDATION", "PROCEDURE", "RECOMMENDS", 0.7), ("RECOMMENDATION", "MEDICATION", "RECOMMENDS", 0.7),
 ]
 
+# fixed values: cued rules of the fallback extractor
+CUED_ENTITY_RULES = [
+    ("ELIGIBILITY", r"(?i)(?:inclusion|exclusion)[ \t\n\r\f\x0B\-:]+([^\n.]+)"),
+    ("ELIGIBILITY", r"(?i)(?:include|exclude)[ \t\n\r\f\x0B\-:]+([^\n.]+)"),
+    ("ELIGIBILITY", r"(?i)(?:eligible|ineligible)[ \t\n\r\f\x0B\-:]+([^\n.]+)"),
+    ("ELIGIBILITY", r"(?i)(?:criteria|criterion)[ \t\n\r\f\x0B\-:]+([^\n.]+)"),
+    ("PROCEDURE", r"(?i)(?:procedure|protocol|intervention)[ \t\n\r\f\x0B\-:]+([^\n.]+)"),
+    ("PROCEDURE", r"(?i)(?:administer|perform|conduct)[ \t\n\r\f\x0B\-:]+([^\n.]+)"),
+]
+
 # fixed values: colours of entity types
 COLORS = {
     "ELIGIBILITY": "#ffcccb", "PROCEDURE": "#c2f0c2", "MEDICATION": "#c2e0ff", "ENDPOINT": "#ffffcc", "TIMING": "#e6ccff", "DOSAGE": "#ffd8b1", "ADVERSE_EVENT": "#ffc0cb",
