@@ -14,7 +14,8 @@ def labelled_rows(docs: DataFrame, marks: DataFrame, per_label: int | dict, most
     hashes. Rows of one label are taken until their texts reach ``most_chars`` characters together; no text is cut.
 
     The first pass counts rows by label and by the size class of their hash (64 classes), without
-    texts but for their being empty; the second fetches the classes that hold enough rows.
+    texts but for their being empty; the second fetches the classes that hold enough rows, about
+    twice as many as wanted, which is what a label's one task sorts.
     """
     rows = docs.filter(F.col("text") != "").filter(~is_held_out(F.col("doc_id")))
     h = F.xxhash64(F.col("doc_id"), F.lit("sample"))
@@ -38,13 +39,14 @@ def labelled_rows(docs: DataFrame, marks: DataFrame, per_label: int | dict, most
         return [], [], {}
     spark = docs.sparkSession
     bound = spark.createDataFrame([(v, *x) for v, x in wanted.items()], keyed.select("label").schema.add("top", "integer").add("most", "integer"))
+    bound = F.broadcast(bound)  # a row for each label
     if marks is not None:
         # about twice the wanted rows: a bounded list of ids, so the texts stay where they are
         some = keyed.withColumn("level", level).join(bound, "label").filter("level <= top").select("doc_id", "label", "most").distinct().collect()
         ids = spark.createDataFrame(some, keyed.select("doc_id", "label").schema.add("most", "integer"))
         chosen = rows.join(F.broadcast(ids), "doc_id")
     else:
-        chosen = held.filter("label is not null").withColumn("level", level).join(F.broadcast(bound), "label").filter("level <= top")
+        chosen = held.filter("label is not null").withColumn("level", level).join(bound, "label").filter("level <= top")
     order = Window.partitionBy("label").orderBy("h", "text")
     chosen = chosen.select("label", "most", "text", h.alias("h")).withColumn("k", F.row_number().over(order)).filter("k <= most")
     before = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -35,7 +35,7 @@ from protolake.llm.storage import stored
 SHINGLE, BANDS, ROWS, BATCH = 5, 32, 4, 16
 PERCENT, MISS = 75, 1e-6
 #: Members, and their shingles, of a chunk of a bucket in the last round.
-CHUNK, CHUNK_SHINGLES = 256, 1 << 20
+CHUNK, CHUNK_SHINGLES = 256, 1 << 18
 _IS_SPACE = np.isin(np.arange(256), list(SPACES))
 _LOWER = np.array([c + 32 if 0x41 <= c <= 0x5A else c for c in range(256)], np.uint8)
 _MIX = np.uint64(0xD1342543DE82EF95)
@@ -93,7 +93,7 @@ def sign(df: DataFrame) -> DataFrame:
     """doc_id, n_shingles, fingerprint (f1, f2), band hashes and the minima's low bytes; null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batch_chunks(batches, "text", 2_000_000):
+        for batch in batch_chunks(batches, "text", 800_000):
             code, offsets = shingle_sets(batch.column("text"))
             sizes = np.diff(offsets)
             full = sizes > 0
@@ -177,7 +177,7 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Stored pairs (a, b) of documents whose full sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batch_chunks(batches, "ta", 800_000):
             for a in range(0, len(batch), 500):
                 part = batch.slice(a, 500)
                 (x, xo), (y, yo) = shingle_sets(part.column("ta")), shingle_sets(part.column("tb"))

@@ -147,11 +147,12 @@ def taken(docs: DataFrame, slots: DataFrame) -> DataFrame:
 
 
 def mixed(df: DataFrame, **options) -> DataFrame:
-    """The rows of df in the order of the mix: each as often as slots take the block that holds its first word.
+    """The rows of the mix: each row of df as often as slots take the block that holds its first word, in slot order inside every partition.
 
     So a block stands for the documents that begin in it, and rows stay whole; a row comes up to ``most``
-    times. Rows without a word are in no block. Null doc_ids, sources and repeated rows are rows as
-    others. All columns stay, whatever their names; an empty table gives no row.
+    times. Partitions are dealt by a hash, so each holds an even part of the mix, which is near the targets from its
+    beginning on; texts are shuffled once. Rows without a word are in no block. Null doc_ids, sources and repeated
+    rows are rows as others. All columns stay, whatever their names; an empty table gives no row.
     """
     names = df.columns
     at = {c.lower(): k for k, c in reversed(list(enumerate(names)))}
@@ -170,7 +171,7 @@ def mixed(df: DataFrame, **options) -> DataFrame:
     rows = rows.withColumn("nth", F.row_number().over(alike) if repeated else F.lit(1))
     same = F.col("doc_id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("tie") == F.col("t")) & (rows["nth"] == chosen["nth"])
     out = rows.drop("text").join(chosen, same).select(*[f"c{k}" for k in range(len(names))], "slot", "begin")
-    return out.repartitionByRange("slot", "begin").sortWithinPartitions("slot", "begin").select(*[f"c{k}" for k in range(len(names))]).toDF(*names)
+    return out.sortWithinPartitions("slot", "begin").select(*[f"c{k}" for k in range(len(names))]).toDF(*names)
 
 
 def op2_source_mix(spark, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ def judged(df: DataFrame, text: str, added: list[StructField], judge: Callable[[
     out = StructType([StructField(f"c{k}", df.schema[k].dataType, True) for k in stay] + ([] if keep else [StructField(f"a{k}", f.dataType) for k, f in enumerate(added)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batch_chunks(batches, read):
+        for batch in batch_chunks(batches, read, 500_000):
             found = judge(batch.column(read).to_pylist())
             rows = batch.select([f"c{k}" for k in stay])
             if keep:

@@ -158,7 +158,7 @@ class ToxicityModel:
     parameters: dict[str, np.ndarray]
     sharpness: float = 1.0
     shift: float = 0.0
-    most_words: int = 150_000
+    most_words: int = 80_000
     _known: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     _rows: np.ndarray = field(default_factory=lambda: np.zeros((0, 6 * HIDDEN), np.float32))
 
@@ -180,7 +180,7 @@ class ToxicityModel:
                 self._known, self._rows = every[order], np.concatenate([self._rows, out[fresh]])[order]
         return out
 
-    def highest(self, texts: list[str | None], batch: int = 4096) -> np.ndarray:
+    def highest(self, texts: list[str | None], batch: int = 1024) -> np.ndarray:
         """The highest logit of each text's windows; -inf without words."""
         words = read_words(texts, BREAK)
         best = np.full(len(texts), -np.inf)

@@ -84,7 +84,7 @@ def _slices(data: np.ndarray, is_break: np.ndarray, most: int):
         a = b
 
 
-def read_words(texts: list[str | None], is_break: np.ndarray = _BREAK, most: int = 1_000_000) -> Words:
+def read_words(texts: list[str | None], is_break: np.ndarray = _BREAK, most: int = 400_000) -> Words:
     """Words in lower case; texts are worked on ``most`` bytes at a time, so the memory beside them and their words is bounded."""
     blobs = [(x or "").lower().encode() for x in texts]
     data = _FOLD[np.frombuffer(b" " + b" ".join([*blobs, b""]), np.uint8)]
