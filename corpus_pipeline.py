@@ -51,7 +51,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in the order of the mix, each as often as slots take the block that it begins in: none, one or two times.
+    """The documents of the mix, each as often as slots take the block that it begins in (none, one or two times), in slot order inside every file.
 
     Texts without a word (null, empty) are in no block and go; a null source is a source; repeated rows are documents each.
     """
