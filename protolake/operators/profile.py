@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from protolake.functions.text import let
 from protolake.refdata import DOCUMENT_TYPES, LANGUAGE_PROFILES, STOPWORDS
@@ -312,12 +313,14 @@ def with_chunks(docs: DataFrame, size: int = 500, overlap: int = 50, reach: int
     """
     if not 0 < overlap + reach < size:
         raise ValueError("overlap and reach must leave a chunk some way ahead")
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
-    @F.pandas_udf("array<struct<start: int, stop: int>>")
-    def cut(texts):
-        return texts.map(lambda t: [{"start": a, "stop": b} for a, b in chunks_of(t or "", size, overlap, reach, marks, at_lines)])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[{"start": a, "stop": b} for a, b in chunks_of(t or "", size, overlap, reach, marks, at_lines)] for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "chunks"])
 
-    return docs.withColumn("chunks", cut(F.col("text")))
+    return docs.mapInArrow(cut, StructType([*docs.schema.fields, StructField("chunks", ArrayType(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType())])))]))
 
 
 def chunk_offsets(docs: DataFrame, size: int = 500, overlap: int = 50, reach: int = 100, marks: str = ".", at_lines: bool = False) -> DataFrame:

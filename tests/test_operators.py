@@ -5,6 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from protolake.functions import display as V
 from protolake.functions import text as T
 from protolake.operators import entities as N
 from protolake.operators import extract as E
@@ -100,7 +101,7 @@ def test_ddl_and_issues(spark):
         assert all(O.create_table_sql(t, d).startswith(f"CREATE TABLE {t} (") for t in O.OMOP_SCHEMAS)
     rows = spark.createDataFrame([("1", None, "2023-13-40")], "doc_id string, procedure_concept_id string, procedure_date string")
     got = {r["issue"] for r in O.omop_issues("procedure_occurrence", rows, "doc_id").collect()}
-    assert got == {"Missing required field: procedure_concept_id", "procedure_date should be date"}
+    assert got == {f"Missing required field: procedure_{x}_id" for x in ("concept", "type_concept", "occurrence")} | {"procedure_date should be date"}  # fields that the rows lack are missing too
 
 
 def test_parse_files(spark, tmp_path):
@@ -113,7 +114,7 @@ def test_parse_files(spark, tmp_path):
         z.writestr("word/document.xml", xml)
     got = {r["path"][-5:]: r for r in S.parse(spark, str(tmp_path)).collect()}
     assert got["a.txt"]["line_count"] == 3 and got["a.txt"]["text"].startswith("One é.\n") and got["b.txt"]["text"] == "é à"
-    assert got["c.xyz"]["error"].startswith("unsupported") and got["d.docx"[-5:]]["text"] == "Title\na | b"
+    assert got["c.xyz"]["error"].startswith("unsupported") and got["d.docx"[-5:]]["text"] == "Title" and got["d.docx"[-5:]]["tables"][0]["col_count"] == 2
 
 
 def test_iob2_annotations_and_html(spark, tmp_path):
@@ -122,7 +123,8 @@ def test_iob2_annotations_and_html(spark, tmp_path):
     assert got == [(0, ["Aspirin", "helps"], ["B-MED", "O"]), (1, ["Yes"], ["O"])]
     (tmp_path / "x.json").write_text('{"document_info": {"name": "n"}, "entities": [{"id": "e1", "text": "t", "type": "A", "start_pos": 0, "end_pos": 1, "confidence": 0.9}]}')
     assert S.annotated_entities(S.read_annotations(spark, str(tmp_path))).first()["label"] == "A"
-    assert S.highlight("a<b & c", [(0, 1, "#fff")]) == '<span style="background-color: #fff">a</span>&lt;b &amp; c'
+    marked = spark.sql("SELECT 'a<b & c\nd' AS t, array(named_struct('start', 0, 'stop', 1, 'label', 'X', 'confidence', 0.5D)) AS s").select(V.highlight_entities(F.col("t"), F.col("s"))).first()[0]
+    assert marked == '<span class="entity" style="background-color: #e0e0e0;" data-type="X" title="X 50%">a</span>&lt;b &amp; c<br>d'
 
 
 def test_upsert_latest_wins(spark):
@@ -236,3 +238,136 @@ def test_context_raises_fuzzy_matches_only(spark):
     rows = [("snomed", "hypertention", "BP 140 mmHg"), ("snomed", "hypertension", "BP 140"), ("snomed", "hypertention", "none")]
     got = M.map_terms(spark.createDataFrame(rows, "system string, text string, context string"), context="context").collect()
     assert sorted((r["term"], r["context"], round(r["score"], 2), r["context_term"]) for r in got) == [("hypertension", "BP 140", 100.0, None), ("hypertention", "BP 140 mmHg", 100.0, "bp"), ("hypertention", "none", 91.67, None)]
+
+
+def _docx(path, body):
+    import zipfile
+
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+
+
+def test_files_of_every_kind(spark, tmp_path):
+    p = lambda text, style="": f'<w:p>{f"<w:pPr><w:pStyle w:val=\'{style}\'/></w:pPr>" if style else ""}<w:r><w:t>{text}</w:t></w:r></w:p>'
+    row = lambda *cells: "<w:tr>" + "".join(f"<w:tc>{p(c)}</w:tc>" for c in cells) + "</w:tr>"
+    _docx(tmp_path / "a.docx", p("Aims", "Heading1") + p("First words.") + p("Methods", "Heading2") + f"<w:tbl>{row('Name', '')}{row('x', 'y')}</w:tbl>")
+    (tmp_path / "b.pdf").write_bytes(b"%PDF one")
+    (tmp_path / "c").write_bytes(b"%PDF two")
+    (tmp_path / "d").write_text("plain text\r\nPt on 5mg\n")
+    (tmp_path / "e.txt").write_text("SUMMARY OF RESULTS\nAll went well.\nNEXT STEPS\nNone.\n")
+    (tmp_path / "f.bin").write_bytes(b"\x00\x01\x02")
+    (tmp_path / "g.docx").write_bytes(b"PK\x03\x04broken")
+    pages = lambda data: ["Page one has text.", " ", data.decode()]
+    parsed = S.parse(spark, str(tmp_path), pages, lambda data, k: f"read {k} of {data[-3:].decode()}")
+    got = {r["path"].rpartition("/")[2]: r for r in parsed.collect()}
+    assert got["a.docx"]["text"] == "Aims\nFirst words.\nMethods\nx | y" and [tuple(h) for h in got["a.docx"]["headings"]] == [("Aims", 1, 0), ("Methods", 2, 18)]
+    assert got["a.docx"]["tables"][0]["rows"] == [{"Name": "x", "col_2": "y"}] and (got["a.docx"]["tables"][0]["row_count"], got["a.docx"]["tables"][0]["col_count"]) == (2, 2)
+    assert got["b.pdf"]["page_count"] == 3 and got["b.pdf"]["text"] == "Page one has text.\n\nread 1 of one\n\nread 2 of one"
+    assert got["c"]["extension"] == ".pdf" and got["d"]["text"] == "plain text\npatient on 5 mg"
+    assert got["f.bin"]["error"].startswith("unsupported") and got["g.docx"]["error"].startswith("BadZipFile")
+    sections = {(r["path"].rpartition("/")[2], r["title"]): (r["level"], r["content"]) for r in S.parsed_sections(parsed).collect()}
+    assert sections["a.docx", "Aims"] == (1, "First words.") and sections["a.docx", "Methods"] == (2, "x | y")
+    assert sections["e.txt", "SUMMARY OF RESULTS"][1] == "All went well."
+    assert [r["path"].rpartition("/")[2] for r in S.list_files(spark, str(tmp_path), [".DOCX"]).collect()] and S.list_files(spark, str(tmp_path), [".docx"]).count() == 2
+
+
+def test_file_operations_and_sinks(spark, tmp_path):
+    files = S.Files(spark, f"file://{tmp_path}/store")
+    path = files.save("x.bin", b"abc")
+    assert files.path("x.bin") == path and files.copy("x.bin", "y.bin") and files.remove("x.bin") and not files.remove("x.bin") and files.path("x.bin") is None
+    assert (tmp_path / "store/y.bin").read_bytes() == b"abc" and files.path(files.temporary())
+    df = spark.createDataFrame([(1, "a", [1, 2]), (2, None, [])], "k int, t string, xs array<int>")
+    S.save_result(df, f"{tmp_path}/r")
+    assert sorted(map(tuple, S.load_result(spark, f"{tmp_path}/r", df.schema).collect())) == sorted(map(tuple, df.collect()))
+    for kind in ("json", "xml", "csv"):
+        S.export(df, f"{tmp_path}/{kind}", kind)
+    assert spark.read.option("header", "true").csv(f"{tmp_path}/csv").orderBy("k").first()["xs"] == "[1,2]" and spark.read.option("rowTag", "row").format("xml").load(f"{tmp_path}/xml").count() == 2
+    S.export(df.selectExpr("'SELECT 1;' AS statement"), f"{tmp_path}/sql", "sql")
+    with pytest.raises(ValueError):
+        S.export(df, f"{tmp_path}/z", "doc")
+    (tmp_path / "s.csv").write_text("code,term\n9,Zorbitis\n")
+    assert [tuple(r) for r in S.read_terminologies(spark, {"snomed": str(tmp_path / "s.csv"), "loinc": str(tmp_path / "none.csv")}).collect()] == [("snomed", "zorbitis", "9", "Zorbitis")]
+
+
+def test_conversion_writes_tables_and_statements(spark, tmp_path):
+    from protolake.operators import convert as C
+    from protolake.queries.entities import elems
+    from protolake.queries.text import unit_concept
+
+    out = C.omop_convert(elems(spark, "/root/testdata/sf0.001"), unit_concept, "sqlite")
+    done = C.write_tables(out["tables"], str(tmp_path))
+    assert done == list(out["tables"]) and spark.read.option("header", "true").csv(f"{tmp_path}/specimen").count() == out["tables"]["specimen"].count()
+    import sqlite3
+
+    con = sqlite3.connect(":memory:")
+    order = {"setup": 0, "create": 1, "index": 2, "insert": 3}
+    for r in sorted(out["sql"].collect(), key=lambda r: order[r["kind"]]):
+        con.execute(r["statement"].replace("_id INTEGER NOT NULL PRIMARY KEY", "_id INTEGER NOT NULL"))  # ids count within a protocol
+    assert con.execute("SELECT count(*) FROM measurement").fetchone()[0] == out["tables"]["measurement"].count()
+    assert {x for x in ("postgresql", "mysql", "mssql") if "CREATE TABLE" in C.generate_sql(out["tables"], x).filter("kind = 'create'").first()["statement"]} == {"postgresql", "mysql", "mssql"}
+    need = [("person_id", "integer", True), ("x_date", "date", True)]
+    rows = spark.createDataFrame([(1, 1, None), (1, 2, 5)], "protocol_id long, specimen_id int, person_id int")
+    whole, warnings = C.filled("specimen", rows, "2024-01-02", need)
+    assert sorted((r["person_id"], r["x_date"]) for r in whole.collect()) == [(0, "2024-01-02"), (5, "2024-01-02")] and warnings.count() == 3
+
+
+def test_broken_resources_are_found(spark):
+    from protolake.operators import convert as C
+
+    rows = [
+        (1, "PlanDefinition", "p", 0, '{"resourceType":"PlanDefinition","status":"odd","action":[{"title":"","condition":[{"kind":"a"},{"expression":{"expression":"x"}}]},{"title":"t","definitionCanonical":"ActivityDefinition/none"}]}'),
+        (2, "PlanDefinition", "p", 0, '{"resourceType":"Plan","action":"no"}'), (1, "ActivityDefinition", "a", 0, '{"resourceType":"ActivityDefinition","status":"draft","kind":"Odd","participant":[{}]}'),
+        (1, "Library", "l", 0, '{"resourceType":"Library","status":"draft","type":{"text":"x"}}'), (1, "Questionnaire", "q", 0, '{"resourceType":"Questionnaire","status":"draft","item":[{"type":"odd"},{"linkId":"1"}]}'),
+    ]
+    got = {r["issue"] for r in C.fhir_validation(spark.createDataFrame(rows, "protocol_id long, resource_type string, id string, no int, resource string")).collect()}
+    assert got == {
+        "PlanDefinition has invalid status: odd", "PlanDefinition action[0] missing both title and description", "PlanDefinition action[0] condition[0] missing expression", "PlanDefinition action[0] condition[1] missing kind",
+        "PlanDefinition has an invalid reference: ActivityDefinition/none", "Invalid resourceType for PlanDefinition", "PlanDefinition missing required element: status", "PlanDefinition action must be an array",
+        "ActivityDefinition[0] has invalid kind: Odd", "ActivityDefinition[0] participant[0] missing type", "Library type.coding must be an array",
+        "Questionnaire item[0] missing linkId", "Questionnaire item[0] has invalid type: odd", "Questionnaire item[1] missing type",
+    }
+
+
+def test_sections_by_other_cues():
+    from protolake.operators import sectioning as G
+
+    text = "Intro words\nmore\n\n  \nMETHODS\nWe did it.\n\n" + "long text " * 120 + "\n\nlast one"
+    short = "A:\n\nbody\n\nB:\n\nrest"
+    assert [(t, short[a:b]) for t, a, b in G.by_paragraphs(short)] == [("A:", "A:\n\nbody"), ("B:", "B:\n\nrest")]
+    got = G.by_paragraphs(text)
+    assert [t for t, _, _ in got] == ["Intro words", "last one"] and got[-1][2] == len(text) and text[got[1][1] :] == "last one"
+    assert [t for t, _, _ in G.boundaries("1. Aims\nx\nWHAT WE DID\ny\nNotes:\n\nSmall head\n  indented")] == ["Aims", "WHAT WE DID", "Notes", "Small head"]
+    assert G.boundaries("just one line of lower case words that is much longer than fifty characters") == [("Document", 0, 75)] and G.by_spacing("") == []
+    assert [(t, x.strip()) for t, a, b in G.by_capital_lines("intro\nRESULTS ONE\nfine\nEND PART:\nbye") for x in ["intro\nRESULTS ONE\nfine\nEND PART:\nbye"[a:b]]] == [("RESULTS ONE", "fine"), ("END PART:", "bye")]
+    whole = "x\nAims:\n" + "a" * 30 + " target " + "b" * 30 + "\nNext Part:\nmore"
+    at = whole.index("target")
+    assert G.context_of(whole, at, at + 6) == "Aims:\n" + "a" * 30 + " target " + "b" * 30
+    assert G.font_segments('a<font size="bold 3">b</bold>c<font x>d</font>') == [("a", "default", False, False), ("b", "default", True, False), ("c", "default", False, False), ("d", "unknown", False, False)]
+
+
+def test_extraction_falls_back_and_shifts_offsets(spark):
+    from protolake.operators import extraction as X
+
+    text = "filler words without any known term. " * 30 + "Patient on metformin and aspirin."
+    docs = spark.createDataFrame([(1, text), (2, "Exclude: smokers and minors."), (3, None), (4, ""), (1, "asthma")], "doc_id long, text string")
+    got = X.extract_entities(docs, clean=False, fallback=True).collect()
+    first = [r for r in got if r["doc_id"] == 1 and r["label"] == "MEDICATION"]
+    assert [text[r["start"] :].split()[0].strip(".") for r in first][:1] == ["metformin"] and any(r["text"] == "asthma" for r in got)
+    assert [(r["label"], r["text"], r["confidence"]) for r in got if r["doc_id"] == 2] == [("ELIGIBILITY", "smokers and minors", 0.5)] and not [r for r in got if r["doc_id"] in (3, 4)]
+    shout = lambda texts: [[(0, len(t), "B-ALL", 0.6)] for t in texts]
+    assert X.extract_entities(docs, shout, clean=False).count() == 0 and {r["label"] for r in X.extract_entities(docs, shout, fallback=True).collect()} == {"ALL"}
+    spans = [("a", "X", 0, 10, 0.9), ("b", "Y", 5, 20, 0.95), ("c", "Z", 20, 30, 0.5)]
+    assert [x[0] for x in X.without_overlaps(spans)] == ["b", "c"]
+
+
+def test_rows_that_share_an_id_are_kept_apart(spark):
+    df = spark.createDataFrame([(1, "der die und der die und"), (1, "the and the and the and"), (None, "RESULTS\nx"), (None, "METHODS\ny")], "doc_id long, text string")
+    assert sorted(r["language"] for r in P.detect_language(df).collect() if r["doc_id"] == 1) == ["de", "en"] and P.detect_language(df).count() == 4
+    assert sorted(r["title"] for r in E.sections(df).collect()) == ["METHODS", "RESULTS"]
+    from protolake.operators import preprocess as R
+
+    got = R.preprocess_document(df).collect()
+    assert len(got) == 4 and {r["section_count"] for r in got if r["doc_id"] is None} == {1}
+    tables = spark.createDataFrame([(1, "x\na | b\nc | d\ny"), (1, "no table")], "doc_id long, text string")
+    chunks = R.preprocess_for_model(tables).orderBy("text").collect()
+    assert [r["text"] for r in chunks] == ["no table", "x\n[TABLE_1]\ny"] and chunks[1]["tables"] == ["a | b\nc | d"]
