@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -131,11 +131,12 @@ class Cues:
         return None
 
 
-def classify_relations(pairs: DataFrame, texts: DataFrame, margin: int = 50, least: float = 0.5) -> DataFrame:
+def classify_relations(pairs: DataFrame, texts: DataFrame, margin: int = 50, least: float = 0.5, model: Callable[[str, int, int], tuple[str | None, float]] | None = None) -> DataFrame:
     """A cue between the two 0.8, else a cue within ``margin`` around 0.6, else or if surer what the labels suggest.
 
     pairs: of doc_id; texts: doc_id, text. A document's pairs meet its text once; the text's cues
-    are found once and each pair is decided by their places.
+    are found once and each pair is decided by their places. model: (text, start and stop of what lies
+    between) to (relation or None, confidence), asked first; the rules decide where it gives None.
     """
     low, high = F.least("s_start", "t_start"), F.greatest("s_stop", "t_stop")
     kind, sure = F.lit(None).cast("string"), F.lit(0.0)
@@ -155,7 +156,9 @@ def classify_relations(pairs: DataFrame, texts: DataFrame, margin: int = 50, lea
                 text = (text or "").lower()
                 places, n = cues.places(text), len(text)
                 for x in mine:
-                    found, score = cues.first(places, x["inner"], min(x["outer"], n)), 0.8
+                    found, score = model(text, x["inner"], x["outer"]) if model else (None, 0.0)
+                    if found is None:
+                        found, score = cues.first(places, x["inner"], min(x["outer"], n)), 0.8
                     if found is None and x["sure"] <= 0.6:
                         found, score = cues.first(places, x["low"], min(x["high"], n)), 0.6
                     if found is None:

@@ -132,6 +132,13 @@ def is_heading(line: Column) -> Column:
     return (bare != "") & (known | F.rlike(bare, F.lit(r"^[A-Z][A-Z \-]{3,48}:?\z")) | F.rlike(bare, F.lit(r"^(?:[0-9]+\.)+\s+[A-Z][A-Za-z0-9_ \-]+\z")))
 
 
+def heads_at(lines: Column) -> Column:
+    """lines: array of (n, title), title null but for heads: (title, start) of the heads. A fold of running offsets that keeps the heads only, which are few beside the lines."""
+    kind = "struct<at: int, heads: array<struct<title: string, start: int>>>"
+    step = lambda acc, x: F.struct((acc["at"] + x["n"] + 1).alias("at"), F.when(x["title"].isNull(), acc["heads"]).otherwise(F.concat(acc["heads"], F.array(F.struct(x["title"].alias("title"), acc["at"].alias("start"))))).alias("heads"))
+    return F.aggregate(lines, F.struct(F.lit(0).alias("at"), F.array().alias("heads")).cast(kind), step, lambda acc: acc["heads"])
+
+
 def sections_with_text(docs: DataFrame) -> DataFrame:
     """doc_id, no, title, start, stop, content: a section begins at its heading and ends at the next one's or with the text; content is what stands behind the title. Offsets are of the text as it is.
 
@@ -139,11 +146,7 @@ def sections_with_text(docs: DataFrame) -> DataFrame:
     """
     t = F.coalesce("text", F.lit(""))
     lines = F.transform(F.split(t, "\n"), lambda x: F.struct(F.length(x).alias("n"), F.when(is_heading(x), F.regexp_replace(F.trim(x), r":\z", "")).alias("title")))
-    # running offsets: a fold that keeps the heads only, which are few beside the lines
-    kind = "struct<at: int, heads: array<struct<title: string, start: int>>>"
-    step = lambda acc, x: F.struct((acc["at"] + x["n"] + 1).alias("at"), F.when(x["title"].isNull(), acc["heads"]).otherwise(F.concat(acc["heads"], F.array(F.struct(x["title"].alias("title"), acc["at"].alias("start"))))).alias("heads"))
-    heads = F.aggregate(lines, F.struct(F.lit(0).alias("at"), F.array().alias("heads")).cast(kind), step, lambda acc: acc["heads"])
-    held = docs.select("doc_id", t.alias("text"), heads.alias("heads"))
+    held = docs.select("doc_id", t.alias("text"), heads_at(lines).alias("heads"))
     each = held.select("doc_id", "text", "heads", F.posexplode("heads").alias("no", "x"))
     stop = F.coalesce(F.get("heads", F.col("no") + 1)["start"], F.length("text"))
     placed = each.select("doc_id", "no", "x.title", "x.start", stop.alias("stop"), "text")
@@ -157,19 +160,23 @@ def sections(docs: DataFrame) -> DataFrame:
 
 
 def sections_or_whole(docs: DataFrame) -> DataFrame:
-    """sections(); a text without a heading is cut at its paragraphs' short first lines, and a text without those is one section, Document. Blank texts give none."""
-    split = F.split(F.coalesce("text", F.lit("")), "\n")
-    by_line = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n"), F.posexplode(split).alias("line_no", "line"))
-    every, w = Window.partitionBy("doc_id"), Window.partitionBy("doc_id").orderBy("line_no")
-    bare, blank = F.trim("line"), F.rlike(F.col("line"), F.lit(r"^[ \t\r\f\x0B]*\z"))
-    placed = by_line.withColumns({"start": F.coalesce(F.sum(F.length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "head": is_heading(F.col("line")), "blank": blank})
-    capitals = (F.upper(bare) == bare) & (F.lower(bare) != bare)
-    first = ~F.col("blank") & F.coalesce(F.lag("blank").over(w), F.lit(True)) & (F.length(bare) < 50) & (F.endswith(bare, F.lit(":")) | capitals | ~F.coalesce(F.lead("blank").over(w), F.lit(True)))
-    judged = placed.withColumns({"first": first, "heads": F.max("head").over(every), "text": F.max(~F.col("blank")).over(every)}).withColumn("firsts", F.max("first").over(every))
-    cut = F.when(F.col("heads"), F.col("head")).when(F.col("firsts"), F.col("first")).otherwise((F.col("line_no") == 0) & F.col("text"))
-    title = F.when(F.col("heads") | F.col("firsts"), F.regexp_replace(bare, r":\z", "")).otherwise(F.lit("Document"))
-    cuts = judged.filter(cut).withColumns({"no": F.row_number().over(w) - 1, "stop": F.coalesce(F.lead("start").over(w), F.col("n"))})
-    return cuts.select("doc_id", "no", title.alias("title"), F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))
+    """sections(); a text without a heading is cut at its paragraphs' short first lines, and a text without those is one section, Document. Blank texts give none. A text's lines stay in its row."""
+    t = F.coalesce("text", F.lit(""))
+    judged = lambda x: F.struct(F.length(x).alias("n"), F.trim(x).alias("bare"), is_heading(x).alias("head"), F.rlike(x, F.lit(r"^[ \t\r\f\x0B]*\z")).alias("blank"))
+    lines = F.transform(F.split(t, "\n"), judged)
+    blank_at = lambda ls, i: F.coalesce(F.get(ls, i)["blank"], F.lit(True))
+    capitals = lambda b: (F.upper(b) == b) & (F.lower(b) != b)
+    first = lambda ls, x, i: ~x["blank"] & blank_at(ls, i - 1) & (F.length(x["bare"]) < 50) & (F.endswith(x["bare"], F.lit(":")) | capitals(x["bare"]) | ~blank_at(ls, i + 1))
+    marked = let(lines, lambda ls: F.transform(ls, lambda x, i: F.struct(x["n"].alias("n"), x["bare"].alias("bare"), x["head"].alias("head"), x["blank"].alias("blank"), first(ls, x, i).alias("first"))))
+
+    def titled(ls: Column) -> Column:
+        heads, firsts, filled = F.exists(ls, lambda x: x["head"]), F.exists(ls, lambda x: x["first"]), F.exists(ls, lambda x: ~x["blank"])
+        name = lambda x, i: F.when(F.when(heads, x["head"]).when(firsts, x["first"]).otherwise((i == 0) & filled), F.when(heads | firsts, F.regexp_replace(x["bare"], r":\z", "")).otherwise(F.lit("Document")))
+        return F.transform(ls, lambda x, i: F.struct(x["n"].alias("n"), name(x, i).alias("title")))
+
+    held = docs.select("doc_id", F.length(t).alias("n"), heads_at(let(marked, titled)).alias("heads"))
+    each = held.select("doc_id", "n", "heads", F.posexplode("heads").alias("no", "x"))
+    return each.select("doc_id", "no", "x.title", "x.start", F.coalesce(F.get("heads", F.col("no") + 1)["start"], F.col("n")).alias("stop"))
 
 
 def sections_or_whole_sql(source: str) -> str:

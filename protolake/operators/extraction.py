@@ -136,13 +136,13 @@ def extract_entities(docs: DataFrame, tagger: Tagger = lexicon_tagger, threshold
     return out.select("doc_id", F.posexplode("found").alias("e", "x")).select("doc_id", "e", "x.text", "x.label", "x.start", "x.stop", F.round("x.confidence", 6).alias("confidence"))
 
 
-def extract_relations(entities: DataFrame, texts: DataFrame, threshold: float = 0.5, fallback: bool = False) -> DataFrame:
+def extract_relations(entities: DataFrame, texts: DataFrame, threshold: float = 0.5, fallback: bool = False, model: Callable[[str, int, int], tuple[str | None, float]] | None = None) -> DataFrame:
     """doc_id, id (rel1, rel2, ... in order of the pairs), s_e, t_e, relation, confidence of entities of their texts (doc_id, text).
 
-    fallback: a document without a relation is tried again at 0.8 of the threshold.
+    fallback: a document without a relation is tried again at 0.8 of the threshold. model: see classify_relations().
     """
     least = 0.8 * threshold if fallback else threshold
-    found = classify_relations(entity_pairs(entities), texts, least=least)
+    found = classify_relations(entity_pairs(entities), texts, least=least, model=model)
     if fallback:
         any_sure = F.max(F.col("confidence") >= threshold).over(Window.partitionBy("doc_id"))
         found = found.withColumn("any", any_sure).filter(~F.col("any") | (F.col("confidence") >= threshold)).drop("any")

@@ -270,3 +270,35 @@ def map_terms(terms: DataFrame, d: DataFrame | None = None, synonyms: DataFrame
     fuzzy = F.col("match_type").isin(*SCORERS, "cosine")
     boosted = context_boost(mapped.withColumn("before", F.col("score")), context)
     return boosted.withColumn("context_term", F.when(fuzzy, F.col("context_term"))).withColumn("score", F.when(fuzzy, F.col("score")).otherwise(F.col("before"))).drop("before")
+
+
+#: Services in the order in which they are asked, and the systems that each knows (None: all).
+SERVICES = {"rxnav": ["rxnorm"], "umls": None, "bioportal": None}
+
+
+def external_matches(terms: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """terms: distinct (system, term): service, code, display of the first service whose table (system, term, code, display) has the term.
+
+    Services are offline tables here: what a caller has fetched. They are asked in the order of SERVICES; those without a table are left out.
+    """
+    parts = []
+    for k, (name, systems) in enumerate(SERVICES.items()):
+        if name in tables:
+            rows = tables[name].select("system", F.lower("term").alias("term"), F.struct(F.lit(k).alias("k"), F.lit(name).alias("service"), "code", "display").alias("x"))
+            parts.append(rows if systems is None else rows.filter(F.col("system").isin(systems)))
+    if not parts:
+        return terms.filter(F.lit(False)).select("system", "term", *[F.lit("").alias(c) for c in ("service", "code", "display")])
+    found = terms.select("system", "term").join(reduce(DataFrame.unionByName, parts), ["system", "term"]).groupBy("system", "term").agg(F.min("x").alias("x"))
+    return found.select("system", "term", "x.service", "x.code", "x.display")
+
+
+def cascade_with_services(terms: DataFrame, tables: dict[str, DataFrame], d: DataFrame | None = None, synonyms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """cascade(), with what the services know of terms that it leaves; and these as custom mappings (system, term, code, display) for the next dictionary()."""
+    found = cascade(terms, d, synonyms)
+    open_ = found.filter("match_type = 'none'").select("system", "term")
+    more = external_matches(open_, tables)
+    renamed = more.select("system", "term", "service", F.col("code").alias("c"), F.col("display").alias("s"))
+    hit = F.col("service").isNotNull()
+    both = found.join(renamed, ["system", "term"], "left")
+    out = both.select("system", "term", F.coalesce("code", "c").alias("code"), F.coalesce("display", "s").alias("display"), F.when(hit, F.col("service")).otherwise(F.col("match_type")).alias("match_type"), F.when(hit, 100.0).otherwise(F.col("score")).alias("score"), F.when(F.col("match_type") == "none", F.concat("attempted", F.lit(",external"))).otherwise(F.col("attempted")).alias("attempted"))
+    return out, more.drop("service")

@@ -44,7 +44,18 @@ def _extracted_relations(s, d):
     return X.extract_relations(X.extract_entities(texts(s, d)), cleaned(s, d))
 
 
+#: A made-up service's answers: (service, system, term, code, display).
+ANSWERS = [("rxnav", "rxnorm", "study drug", "R1", "Study drug"), ("rxnav", "snomed", "liver biopsy", "no", "not asked"), ("umls", "snomed", "liver biopsy", "U1", "Biopsy of liver"), ("umls", "rxnorm", "study drug", "U2", "late"), ("bioportal", "loinc", "overall survival", "B1", "Survival")]
+
+
+def _served(s, d):
+    rows = s.createDataFrame(ANSWERS, "service string, system string, term string, code string, display string")
+    tables = {x: rows.filter(F.col("service") == x) for x in M.SERVICES}
+    return M.cascade_with_services(distinct_terms(s, d), tables)[0].select("system", "term", "code", "match_type")
+
+
 QUERIES = {
+    "term_services": _served,
     "extract_entities": lambda s, d: X.extract_entities(texts(s, d)),
     "extract_entities_documents": lambda s, d: X.extract_entities(docs(s, d), fallback=True),
     "extract_relations": _extracted_relations,
@@ -103,6 +114,26 @@ CLEANED_SQL = f"SELECT doc_id, {sql_replaced('trim(' + sql_replaced('text', CLEA
 EXTRACTED_SQL = X.entities_sql(CLEANED_SQL)
 _EXTRACTED_RELATIONS = X.relations_numbered_sql(N.relations_sql(N.pairs_sql(f"SELECT doc_id, e, label, start, stop FROM ({EXTRACTED_SQL})"), CLEANED_SQL))
 
+_SORTED = lambda c: f"array_to_string(list_sort(list_filter(string_split_regex({c}, '\\s+'), lambda w: w <> '')), ' ')"
+# the longest common subsequence of all pairs, a row of bits at a time: terms have fewer than 62 characters
+_RATIO = f"""WITH t AS ({TERMS_SQL}), d AS ({DICTIONARY_SQL}), p AS (SELECT t.system, t.term, d.term AS near, d.code, d.display, d.priority, d.ord FROM t JOIN d USING (system) WHERE t.term <> ''),
+o AS (SELECT *, CASE WHEN length(term) <= length(near) THEN term ELSE near END AS short, CASE WHEN length(term) <= length(near) THEN near ELSE term END AS long FROM p),
+w AS (SELECT *, unnest(range(1 - length(short), length(long))) AS k FROM o),
+s AS (SELECT system, term, near, code, display, priority, ord, 0 AS scorer, term AS a, near AS b FROM p UNION ALL SELECT system, term, near, code, display, priority, ord, 2, {_SORTED('term')}, {_SORTED('near')} FROM p
+    UNION ALL SELECT DISTINCT system, term, near, code, display, priority, ord, 1, short, substring(long, greatest(0, k) + 1, k + length(short) - greatest(0, k)) FROM w),
+m AS (SELECT *, (1::BIGINT << length(a)) - 1 AS whole, list_transform(string_split(b, ''), lambda c: CAST(list_sum(list_transform(range(1, length(a) + 1), lambda i: CASE WHEN a[i] = c THEN 1::BIGINT << (i - 1) ELSE 0::BIGINT END)) AS BIGINT)) AS masks FROM s WHERE a <> '' AND b <> ''),
+x AS (SELECT *, 200.0::DOUBLE * (length(a) - bit_count(list_reduce(list_concat([whole], masks), lambda r, q: ((r + (r & q)) | (r - (r & q))) & whole))) / (length(a) + length(b)) AS score FROM m)
+SELECT system, term, near, code, display, score, ['ratio', 'partial_ratio', 'token_sort_ratio'][scorer + 1] AS scorer FROM x WHERE score >= [90, 95, 85][scorer + 1] QUALIFY row_number() OVER (PARTITION BY system, term ORDER BY score DESC, scorer, priority, ord) = 1"""
+
+
+def _cascade_sql(variations: str) -> str:
+    return f"""SELECT t.system, t.term, coalesce(e.code, v.code, CASE WHEN c.score > coalesce(r.score, 0) THEN c.code ELSE r.code END) AS code, coalesce(e.display, v.display, CASE WHEN c.score > coalesce(r.score, 0) THEN c.display ELSE r.display END) AS display,
+    CASE WHEN e.code IS NOT NULL THEN 'exact' WHEN v.code IS NOT NULL THEN 'variation' WHEN c.score > coalesce(r.score, 0) THEN 'cosine' ELSE coalesce(r.scorer, 'none') END AS match_type,
+    CASE WHEN coalesce(e.code, v.code) IS NOT NULL THEN 100.0::DOUBLE ELSE greatest(coalesce(c.score, 0), coalesce(r.score, 0)) END AS score, CASE WHEN e.code IS NOT NULL THEN 'exact' WHEN v.code IS NOT NULL THEN 'exact,variation' ELSE 'exact,variation,string,cosine' END AS attempted
+    FROM ({TERMS_SQL}) t LEFT JOIN ({DICTIONARY_SQL}) e ON e.system = t.system AND e.term = t.term LEFT JOIN ({variations}) v ON v.system = t.system AND v.term = t.term LEFT JOIN ({_RATIO}) r ON r.system = t.system AND r.term = t.term
+    LEFT JOIN (SELECT k.*, d.display FROM ({_COSINE}) k JOIN ({DICTIONARY_SQL}) d ON d.system = k.system AND d.term = k.near) c ON c.system = t.system AND c.term = t.term"""
+
+
 ORACLES = {
     "extract_entities": EXTRACTED_SQL,
     "extract_relations": _EXTRACTED_RELATIONS,
@@ -126,3 +157,14 @@ ORACLES = {
     "term_cosine_top1": _COSINE,
     "term_context_boost": f"SELECT doc_id, system, display, CASE WHEN hint IS NULL THEN 85.0::DOUBLE ELSE 95.0::DOUBLE END AS score, hint AS context_term FROM (SELECT doc_id, system, display, {_HINT} AS hint FROM (SELECT m.doc_id, system, display, lower(x.text) AS t FROM ({MAPPED_SQL}) m JOIN ({TEXTS_SQL}) x USING (doc_id) WHERE code IS NOT NULL))",
 }
+_CASCADE = _cascade_sql(ORACLES["term_variations"])
+_FUZZY = "match_type IN ('ratio', 'partial_ratio', 'token_sort_ratio', 'cosine')"
+ORACLES |= {
+    "term_services": f"""SELECT c.system, c.term, coalesce(c.code, x.code) AS code, coalesce(x.service, match_type) AS match_type FROM ({_CASCADE}) c LEFT JOIN (SELECT * FROM (VALUES {', '.join(map(str, ANSWERS))}) v(service, system, term, code, display)
+        WHERE service <> 'rxnav' OR system = 'rxnorm' QUALIFY row_number() OVER (PARTITION BY system, term ORDER BY service = 'bioportal', service = 'umls') = 1) x ON c.code IS NULL AND x.system = c.system AND x.term = c.term""",
+    "term_ratio_top1": _RATIO,
+    "term_cascade": _CASCADE,
+    "term_map": f"""SELECT doc_id, system, term, code, match_type, round(CASE WHEN {_FUZZY} AND hint IS NOT NULL THEN least(100, score + 10) ELSE score END, 4) AS score, CASE WHEN {_FUZZY} THEN hint END AS context_term
+        FROM (SELECT *, {_HINT} AS hint FROM (SELECT x.doc_id, m.*, 'patient on metformin, glucose ' || x.doc_id AS t FROM (SELECT doc_id, system, {sql_term('text')} AS term FROM ({ELEMENTS_SQL})) x JOIN ({_CASCADE}) m ON m.system = x.system AND m.term = x.term))""",
+    "term_statistics": f"SELECT system, count(*) AS n, count(*) FILTER (priority = 0) AS custom, 90.0::DOUBLE AS ratio_cutoff, 95.0::DOUBLE AS partial_ratio_cutoff, 85.0::DOUBLE AS token_sort_ratio_cutoff, 70.0::DOUBLE AS cosine_cutoff, true AS fuzzy, false AS external FROM ({DICTIONARY_SQL}) GROUP BY system",
+}

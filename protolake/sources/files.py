@@ -48,11 +48,12 @@ def sniffed_encoding(content: Column, sample: int = 10_000) -> Column:
     head = F.substring(content, 1, sample)
     digits = F.hex(head)
     pairs = F.greatest(F.lit(1), F.floor(F.length(head) / 2))
-    count = lambda pattern: F.regexp_count(digits, F.lit(pattern))
+    by_pair = F.regexp_replace(digits, "(.{4})", "$1 ")
+    count = lambda pattern: F.regexp_count(by_pair, F.lit(pattern))
     marked = encoding(content)
     whole = F.is_valid_utf8(F.substring(content, 1, sample).cast("string"))
     cut = F.exists(F.array(*[F.lit(k) for k in (1, 2, 3)]), lambda k: F.is_valid_utf8(F.substr(head, F.lit(1), F.length(head) - k).cast("string"))) & (F.length(head) == sample)
-    return (F.when(marked.isin("utf-8-sig", "utf-16-le", "utf-16-be"), marked).when(count("(?:[2-7][0-9A-F]00)") * 2 > pairs, "utf-16-le").when(count("(?:00[2-7][0-9A-F])") * 2 > pairs, "utf-16-be")
+    return (F.when(marked.isin("utf-8-sig", "utf-16-le", "utf-16-be"), marked).when(count(r"\b[2-7][0-9A-F]00 ") * 2 > pairs, "utf-16-le").when(count(r"\b00[2-7][0-9A-F] ") * 2 > pairs, "utf-16-be")
         .when(whole | cut, "utf-8").when(F.rlike(digits, F.lit("^(?:..)*(?:8[0-9A-F]|9[0-9A-F])")), "windows-1252").otherwise("iso-8859-1"))
 
 
@@ -219,6 +220,20 @@ def read_terminologies(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return out
 
 
+def write_dictionary(spark: SparkSession, path: str, concepts: dict[str, str] | None = None, mappings: str | None = None) -> DataFrame:
+    """Sets terminologies up: reads concept files by system and a file of custom mappings, writes the dictionary as a table by system, and gives its statistics."""
+    from protolake.operators.terms import dictionary, mapper_statistics
+
+    custom = read_mappings(spark, mappings)[0] if mappings else None
+    dictionary(spark, read_terminologies(spark, concepts or {}), custom).write.mode("overwrite").partitionBy("system").parquet(path)
+    return mapper_statistics(read_dictionary(spark, path))
+
+
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """A dictionary that write_dictionary() wrote; lookups of one system read its part only."""
+    return spark.read.parquet(path)
+
+
 def iob2_sentences(lines: DataFrame) -> DataFrame:
     """lines: path, no, value (token TAB tag, blank between sentences): path, sentence, tokens, tags. Each file's lines are one group."""
     w = Window.partitionBy("path").orderBy("no")

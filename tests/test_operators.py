@@ -371,3 +371,34 @@ def test_rows_that_share_an_id_are_kept_apart(spark):
     tables = spark.createDataFrame([(1, "x\na | b\nc | d\ny"), (1, "no table")], "doc_id long, text string")
     chunks = R.preprocess_for_model(tables).orderBy("text").collect()
     assert [r["text"] for r in chunks] == ["no table", "x\n[TABLE_1]\ny"] and chunks[1]["tables"] == ["a | b\nc | d"]
+
+
+def test_terminologies_are_set_up_and_services_asked(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("code,term\n9,Zorbitis\n")
+    got = {r["system"]: r["n"] for r in S.write_dictionary(spark, f"{tmp_path}/d", {"snomed": str(tmp_path / "c.csv")}).collect()}
+    d = S.read_dictionary(spark, f"{tmp_path}/d")
+    assert set(got) == {"snomed", "loinc", "rxnorm"} and sum(got.values()) == d.count()
+    terms = spark.createDataFrame([("snomed", "zorbitis"), ("rxnorm", "unheard of"), ("snomed", "unheard of")], "system string, term string")
+    rows = spark.createDataFrame([("rxnorm", "Unheard of", "1", "x")], "system string, term string, code string, display string")
+    out, learned = M.cascade_with_services(terms, {"rxnav": rows, "umls": rows.withColumn("code", F.lit("2"))}, d)
+    got = {(r["system"], r["term"]): (r["code"], r["match_type"]) for r in out.collect()}
+    assert got == {("snomed", "zorbitis"): ("9", "exact"), ("rxnorm", "unheard of"): ("1", "rxnav"), ("snomed", "unheard of"): (None, "none")}
+    assert M.map_exact(spark.createDataFrame([("rxnorm", "unheard of")], "system string, text string"), M.dictionary(spark, mappings=learned)).first()["code"] == "1"
+
+
+def test_relation_model_is_asked_first(spark):
+    from protolake.operators import extraction as X
+
+    text = "metformin before asthma"
+    e = spark.createDataFrame([(1, 0, "metformin", "MEDICATION", 0, 9, 0.9), (1, 1, "asthma", "CONDITION", 17, 23, 0.9)], "doc_id long, e int, text string, label string, start int, stop int, confidence double")
+    t = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    model = lambda whole, a, b: ("OWN", 0.7) if "before" in whole[a:b] else (None, 0.0)
+    assert {r["relation"] for r in X.extract_relations(e, t, model=model).collect()} == {"OWN"} and {r["relation"] for r in X.extract_relations(e, t).collect()} == {"PRECEDES"}
+
+
+def test_log_of_runs(spark):
+    from protolake.operators import monitor as Q
+
+    runs, found = spark.createDataFrame([(1, 2.0), (2, 4.0)], "run long, seconds double"), spark.createDataFrame([(1, 0.5), (1, 0.7)], "run long, confidence double")
+    log = Q.record_errors(Q.record_extractions(Q.new_log(spark), runs, found), runs.select("run"))
+    assert tuple(Q.metrics(log).first()) == (3.0, 0.6, 1.0, 0.5) and Q.metrics(Q.new_log(spark)).first()["error_rate"] == 0.0
