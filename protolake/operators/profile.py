@@ -281,7 +281,7 @@ REPLACE_TABLES_SQL = f"""WITH l AS (SELECT *, contains(line, '|') OR contains(li
 m AS (SELECT *, CASE WHEN row THEN no - row_number() OVER (PARTITION BY doc_id, row ORDER BY no) END AS run FROM l),
 r AS (SELECT doc_id, run, min(no) AS first, string_agg(line, chr(10) ORDER BY no) AS body, row_number() OVER (PARTITION BY doc_id ORDER BY min(no)) AS k FROM m WHERE row GROUP BY doc_id, run HAVING count(*) >= 2),
 t AS (SELECT m.doc_id, string_agg(CASE WHEN r.k IS NULL THEN line ELSE '[TABLE_' || k || ']' END, chr(10) ORDER BY no) AS text FROM m LEFT JOIN r USING (doc_id, run) WHERE r.k IS NULL OR no = first GROUP BY m.doc_id)
-SELECT doc_id, text, len(coalesce(b, [])) AS n, md5(coalesce(array_to_string(b, chr(10)), '')) AS digest FROM t LEFT JOIN (SELECT doc_id, list(body ORDER BY k) AS b FROM r GROUP BY doc_id) USING (doc_id)"""
+SELECT doc_id, text, CAST(len(coalesce(b, [])) AS INTEGER) AS n, md5(coalesce(array_to_string(b, chr(10)), '')) AS digest FROM t LEFT JOIN (SELECT doc_id, list(body ORDER BY k) AS b FROM r GROUP BY doc_id) USING (doc_id)"""
 
 
 TABLE_RUNS_SQL = f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_line) AS INTEGER) AS table_no, CAST(first_line AS INTEGER) AS first_line, n_lines FROM (

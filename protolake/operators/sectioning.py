@@ -248,4 +248,4 @@ def spacing_sql(source: str) -> str:
     """by_spacing() of texts whose empty lines hold nothing, in SQL."""
     return rf"""WITH l AS ({_LINES.format(source)}), j AS (SELECT *, coalesce(lag(b) OVER w, '') AS p, lead(line) OVER w AS nx FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
     h AS (SELECT * FROM j WHERE b <> '' AND p = '' AND length(b) < 50 AND (ends_with(b, ':') OR (upper(b) = b AND lower(b) <> b) OR (nx <> '' AND NOT starts_with(nx, ' '))))
-    SELECT doc_id, CAST(row_number() OVER w - 1 AS INTEGER) AS no, b AS title, least(start + length(line) + CASE WHEN coalesce(nx, '') = '' THEN 0 ELSE 1 END, n) AS start, coalesce(lead(start) OVER w, n) AS stop FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)"""
+    SELECT doc_id, CAST(row_number() OVER w - 1 AS INTEGER) AS no, b AS title, CAST(least(start + length(line) + CASE WHEN coalesce(nx, '') = '' THEN 0 ELSE 1 END, n) AS INTEGER) AS start, coalesce(lead(start) OVER w, n) AS stop FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)"""
