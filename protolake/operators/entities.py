@@ -88,10 +88,18 @@ MERGE_SQL = f"""SELECT doc_id, CAST(no AS INTEGER) AS no, min(label) AS label, m
 
 
 def entity_pairs(entities: DataFrame, reach: int = 500) -> DataFrame:
-    """Ordered pairs of entities of a document, but those with both distances over ``reach``. One equi-join; entities of a document are few."""
+    """Ordered pairs of entities of a document, but those with both distances over ``reach``.
+
+    Entities meet by document and stretch of text, so a long text's pairs grow with its length, not with its square: first those
+    whose target begins near the source's end, then these turned around, but for what that finds again.
+    """
     s, t = (entities.select("doc_id", *[F.col(c).alias(f"{p}_{c}") for c in ("e", "label", "start", "stop")]) for p in ("s", "t"))
-    far = (F.abs(F.col("s_stop") - F.col("t_start")) > reach) & (F.abs(F.col("t_stop") - F.col("s_start")) > reach)
-    return s.join(t, "doc_id").filter((F.col("s_e") != F.col("t_e")) & ~far)
+    width = reach + 1
+    cell = F.floor(F.col("s_stop") / width)
+    left, right = s.withColumn("cell", F.explode(F.sequence(cell - 1, cell + 1))), t.withColumn("cell", F.floor(F.col("t_start") / width))
+    near = left.join(right, ["doc_id", "cell"]).filter((F.col("s_e") != F.col("t_e")) & (F.abs(F.col("s_stop") - F.col("t_start")) <= reach)).drop("cell")
+    turned = near.select("doc_id", *[F.col(f"{q}_{c}").alias(f"{p}_{c}") for p, q in (("s", "t"), ("t", "s")) for c in ("e", "label", "start", "stop")])
+    return near.unionByName(turned.filter(F.abs(F.col("s_stop") - F.col("t_start")) > reach))
 
 
 def pairs_sql(entities: str) -> str:

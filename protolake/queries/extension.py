@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from protolake.plans.overlay import ELEMENTS_SQL, TEXTS_SQL
 from protolake.queries.entities import elems
 from protolake.functions import display as V
+from protolake.functions.text import file_size_text, month_number
 from protolake.operators import extraction as X
 from protolake.operators import sectioning as G
 from protolake.operators.convert import fhir_resources, omop_tables
@@ -14,8 +15,8 @@ from protolake.queries.entities import CLEANED_SQL, EXTRACTED_SQL, cleaned, ids
 from protolake.queries.extract import ORACLES as SECTIONS
 from protolake.queries.standards import ORACLES as STANDARDS
 from protolake.queries.text import texts, unit_concept
-from protolake.refdata import COLORS, JOB_PROGRESS, OTHER_COLOR, SAMPLE_DESCRIPTIONS
-from protolake.sources.files import empty_concepts, html_table, html_tables, pretty_json, sniffed_encoding
+from protolake.refdata import COLORS, JOB_PROGRESS, MONTHS, OTHER_COLOR, SAMPLE_DESCRIPTIONS
+from protolake.sources.files import empty_concepts, expired, html_table, html_tables, pretty_json, sniffed_encoding
 from protolake.streaming.ingest import event_windows, latest_states
 
 
@@ -71,7 +72,20 @@ def _pages(s, d):
     return s.read.parquet(f"{d}/documents.parquet").filter("doc_id is not null").select("doc_id", V.needs_ocr(page).alias("ocr"), V.expected_entities(F.col("text")).alias("expected"))
 
 
+def _aged(s, d):
+    """Files changed one hour after another, seen at the hundredth hour."""
+    files = ids(s, d).select("doc_id", F.timestamp_seconds(F.col("doc_id") * 3600).alias("modificationTime"))
+    return expired(files, F.timestamp_seconds(F.lit(100 * 3600))).select("doc_id")
+
+
+def _sizes(s, d):
+    n = F.col("doc_id") * F.col("doc_id") * F.col("doc_id") * 64
+    return ids(s, d).select("doc_id", file_size_text(n).alias("size"), month_number(F.get(F.array(*[F.lit(m) for m in [*MONTHS, "No month"]]), (F.col("doc_id") % 13).cast("int"))).alias("month"))
+
+
 QUERIES = {
+    "expired_files": _aged,
+    "file_sizes": _sizes,
     "highlight_entities": _highlighted,
     "highlight_sections": _marked_sections,
     "side_by_side": _compared,
@@ -104,7 +118,11 @@ _DIV = f"""'<div class="section-header" data-section-type="' || type || '">' ||
 _SAMPLES = [*SAMPLE_DESCRIPTIONS, "other.doc"]
 _PRETTY = "'{' || chr(10) || '  \"resourceType\" : \"Library\",' || chr(10) || '  \"id\" : \"library-' || protocol_id || '\",' || chr(10) || '  \"status\" : \"draft\",' || chr(10) || '  \"title\" : \"Logic for Protocol ' || protocol_id || '\"' || chr(10) || '}'"
 
+_BYTES = "doc_id * doc_id * doc_id * 64"
 ORACLES = {
+    "expired_files": "SELECT doc_id FROM documents WHERE doc_id < 76",
+    "file_sizes": f"""SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f', round(n / 1024, 1)) || ' KB' WHEN n < 1073741824 THEN printf('%.1f', round(n / 1048576, 1)) || ' MB' ELSE printf('%.1f', round(n / 1073741824, 1)) || ' GB' END AS size,
+        CAST(CASE WHEN doc_id % 13 = 12 THEN 1 ELSE doc_id % 13 + 1 END AS INTEGER) AS month FROM (SELECT doc_id, {_BYTES} AS n FROM documents WHERE doc_id IS NOT NULL)""",
     "highlight_entities": _HIGHLIGHT,
     "highlight_sections": f"""SELECT doc_id, md5(replace(string_agg({_PART('text', 'coalesce(prior, 0)', 'start')} || {_DIV}, '' ORDER BY start) || any_value({_PART('text', 'final', 'length(text)')}), chr(10), '<br>')) AS digest FROM (
         SELECT x.*, t.text, lag(stop) OVER (PARTITION BY x.doc_id ORDER BY start) AS prior, max(stop) OVER (PARTITION BY x.doc_id) AS final FROM (SELECT doc_id, start, stop, type FROM ({SECTIONS['extract_sections']})) x JOIN ({TEXTS_SQL}) t USING (doc_id)) GROUP BY doc_id""",
