@@ -648,3 +648,20 @@ def test_storage_is_refused_on_a_cluster_without_a_shared_folder():
 
 def test_let_computes_once(spark):
     assert spark.range(1).select(columns.let(F.lit(3), lambda x: x + x)).first()[0] == 6
+
+
+def test_scratch_folders_are_discarded(spark):
+    kept = storage.stored(spark.range(3), "gone")
+    assert kept.count() == 3
+    storage.discard_scratch(spark)
+    with pytest.raises(Exception):
+        kept.count()
+
+
+def test_names_that_differ_in_case(spark, odd):
+    """Columns whose names differ in case only from an operator's are replaced, others stay."""
+    df = odd.drop("score", "kept", "labels", "predicted", "row").select("*", F.lit(1).alias("SCORE"), F.lit(1).alias("Kept"), F.lit("y").alias("Labels"), F.lit(1).alias("Row"))
+    model = langid.LanguageModel(["en"], np.zeros((4, 2)), np.zeros(2), 1.0, 0.0, True)
+    assert [c for c in langid.identify(df, model).columns if c.lower() == "score"] == ["score"] and langid.identify(df, model).count() == len(ROWS)
+    for out, name in ((licenses.scan_licenses(df), "labels"), (quality.quality(df), "kept")):
+        assert [c.lower() for c in out.columns].count(name) == 1 and "Row" in out.columns and out.count() == len(ROWS)
