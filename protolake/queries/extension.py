@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from protolake.plans.overlay import ELEMENTS_SQL, TEXTS_SQL
-from protolake.queries.entities import elems
 from protolake.functions import display as V
 from protolake.functions.text import file_size_text, month_number
 from protolake.operators import extraction as X
 from protolake.operators import sectioning as G
 from protolake.operators.convert import fhir_resources, omop_tables
-from protolake.queries.entities import CLEANED_SQL, EXTRACTED_SQL, cleaned, ids
+from protolake.plans.overlay import ELEMENTS_SQL, TEXTS_SQL
+from protolake.queries.entities import CLEANED_SQL, EXTRACTED_SQL, cleaned, elems, ids
 from protolake.queries.extract import ORACLES as SECTIONS
 from protolake.queries.standards import ORACLES as STANDARDS
 from protolake.queries.text import texts, unit_concept
