@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from protolake.llm.components import components
 from protolake.llm.kernels import BYTE_VALUES, SPACES, batch_chunks, joined_bytes, mixed, span_hashes, word_spans
+from protolake.llm.rows import unused
 from protolake.llm.storage import stored
 
 SHINGLE, BANDS, ROWS, BATCH = 5, 32, 4, 16
@@ -161,16 +162,32 @@ def prune(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(sig("b", "sb"), "b").join(sig("a", "sa"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def among(docs: DataFrame, ids: DataFrame, most_bits: int = 1 << 26) -> DataFrame:
-    """Rows of docs whose doc_id is in ids (distinct). Others are sifted out before the shuffle by a bitmap of hashed ids, whose size is bounded."""
+def _sifted(docs: DataFrame, ids: DataFrame, hit: str, most_bits: int) -> DataFrame:
+    """docs with hit: whether a bitmap of the hashed ids (doc_id, distinct) has the row's; always true for those in ids, rarely for others while there are fewer than most_bits / 16. The bitmap's size is bounded."""
     bits = 1 << 15
     while bits < min(most_bits, 16 * ids.count()):
         bits *= 2
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    maps = ids.select(spot("doc_id").alias("h")).groupBy(F.floor(F.col("h") / 32768).alias("part")).agg(F.expr("bitmap_construct_agg(h % 32768)").alias("map"))
-    held = docs.withColumn("_h", spot("doc_id")).withColumn("part", F.floor(F.col("_h") / 32768)).join(F.broadcast(maps), "part")
-    byte = F.conv(F.hex(F.substring("map", (F.col("_h") % 32768 / 8).cast("int") + 1, 1)), 16, 10).cast("int")
-    return held.filter(F.getbit(byte, (F.col("_h") % 8).cast("int")) == 1).drop("_h", "part", "map").join(ids, "doc_id")
+    part, bitmap = unused(docs, "part"), unused(docs, "bitmap")
+    maps = ids.select(spot("doc_id").alias("h")).groupBy(F.floor(F.col("h") / 32768).alias(part)).agg(F.expr("bitmap_construct_agg(h % 32768)").alias(bitmap))
+    held = docs.withColumn(part, F.floor(spot("doc_id") / 32768)).join(F.broadcast(maps), part, "left")
+    h = spot("doc_id") % 32768
+    byte = F.conv(F.hex(F.substr(F.col(bitmap), (h / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return held.withColumn(hit, F.coalesce(F.getbit(byte, (h % 8).cast("int")) == 1, F.lit(False))).drop(part, bitmap)
+
+
+def among(docs: DataFrame, ids: DataFrame, most_bits: int = 1 << 26) -> DataFrame:
+    """Rows of docs whose doc_id is in ids (distinct). Others are sifted out before the shuffle by a bitmap of hashed ids, whose size is bounded."""
+    hit = unused(docs, "hit")
+    return _sifted(docs, ids, hit, most_bits).filter(F.col(hit)).drop(hit).join(ids, "doc_id")
+
+
+def without(docs: DataFrame, ids: DataFrame, most_bits: int = 1 << 26) -> DataFrame:
+    """Rows of docs whose doc_id is not in ids (distinct), null ids included. Rows that the bitmap clears stay where they are; only the others meet ids in a shuffle."""
+    hit, own = unused(docs, "hit"), unused(docs, "own_id")
+    marked = _sifted(docs, ids, hit, most_bits)
+    open_ = marked.filter(F.col(hit)).drop(hit).join(ids.select(F.col("doc_id").alias(own)), F.col("doc_id") == F.col(own), "left_anti")
+    return marked.filter(~F.col(hit)).drop(hit).unionByName(open_)
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:

@@ -665,3 +665,14 @@ def test_names_that_differ_in_case(spark, odd):
     assert [c for c in langid.identify(df, model).columns if c.lower() == "score"] == ["score"] and langid.identify(df, model).count() == len(ROWS)
     for out, name in ((licenses.scan_licenses(df), "labels"), (quality.quality(df), "kept")):
         assert [c.lower() for c in out.columns].count(name) == 1 and "Row" in out.columns and out.count() == len(ROWS)
+
+
+def test_sifting_by_bitmaps_is_exact(spark, odd):
+    rows = odd.unionByName(spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")), allowMissingColumns=True)
+    ids = spark.range(0, 3000, 7).select(F.col("id").alias("doc_id"))
+    inside, all_ids = {r[0] for r in ids.collect()}, [r["doc_id"] for r in rows.collect()]
+    for bits in (1 << 26, 1 << 15, 8):  # the last one: a bitmap that tells nothing apart
+        assert sorted(r["doc_id"] for r in minhash.among(rows, ids, bits).collect()) == sorted(x for x in all_ids if x in inside)
+        out = minhash.without(rows, ids, bits)
+        assert out.columns == rows.columns and sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out.collect()) == sorted((x is None, x or 0) for x in all_ids if x not in inside)
+    assert minhash.without(rows, ids.filter("doc_id < 0")).count() == len(all_ids)
