@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from protolake.llm.langid import fit_languages, identify
-from protolake.llm.minhash import near_duplicates
+from protolake.llm.minhash import near_duplicates, without
 from protolake.llm.mixing import mixed
 from protolake.llm.packing import pack_documents
 from protolake.llm.rows import unused
@@ -37,17 +37,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows of one doc_id are one document: the one with the least hash of its text stays.
     """
-    kept = stored(near_duplicates(docs).filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    mine, nth = unused(docs, "kept_id"), unused(docs, "nth")
-    ids = lambda rows: rows.select(F.col("doc_id").alias(mine))
-    same = F.col("doc_id") == F.col(mine)
-    out = docs.join(ids(kept), same, "left_semi").unionByName(docs.filter("doc_id is null"))
-    repeated = kept.filter("n > 1")
+    judged = stored(near_duplicates(docs).select("doc_id", "kept"), "kept")
+    out = without(docs, stored(judged.filter("doc_id is not null and not kept").select("doc_id").distinct(), "removed"))
+    repeated = judged.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if repeated.isEmpty():
         return out
+    mine, nth = unused(docs, "kept_id"), unused(docs, "nth")
+    ids, same = repeated.select(F.col("doc_id").alias(mine)), F.col("doc_id") == F.col(mine)
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    once = out.join(ids(repeated), same, "left_semi").withColumn(nth, F.row_number().over(first)).filter(F.col(nth) == 1).drop(nth)
-    return out.join(ids(repeated), same, "left_anti").unionByName(once)
+    once = out.join(ids, same, "left_semi").withColumn(nth, F.row_number().over(first)).filter(F.col(nth) == 1).drop(nth)
+    return out.join(ids, same, "left_anti").unionByName(once)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
