@@ -31,23 +31,30 @@ LEXICON = {
     "ELIGIBILITY": ["consent", "age", "inclusion", "exclusion"],
     "TIMEPOINT": ["week", "weeks", "day"],
 }
-_LABELS = {w: label for label, words in LEXICON.items() for w in words}
 _TOKEN = re.compile(r"[A-Za-z0-9]+")
 SCHEMA = "e int, text string, label string, start int, stop int, confidence double"
 
 
-def lexicon_tagger(texts: list[str]) -> list[list[Token]]:
-    """Words of the lexicon as B-, or as I- behind a word of the same label; surer with the word's length."""
-    out = []
-    for text in texts:
-        tokens, last = [], None
-        for m in _TOKEN.finditer(text):
-            label = _LABELS.get(m.group().lower())
-            tag = "O" if label is None else f"{'I' if label == last else 'B'}-{label}"
-            tokens.append((m.start(), m.end(), tag, 0.9 if label is None else (52 + 5 * min(9, len(m.group()))) / 100))
-            last = label
-        out.append(tokens)
-    return out
+def tagger_of(lexicon: dict[str, list[str]]) -> Tagger:
+    """A tagger that knows words: those of the lexicon are B-, or I- behind a word of the same label; surer with the word's length."""
+    labels = {w: label for label, words in lexicon.items() for w in words}
+
+    def tag(texts: list[str]) -> list[list[Token]]:
+        out = []
+        for text in texts:
+            tokens, last = [], None
+            for m in _TOKEN.finditer(text):
+                label = labels.get(m.group().lower())
+                name = "O" if label is None else f"{'I' if label == last else 'B'}-{label}"
+                tokens.append((m.start(), m.end(), name, 0.9 if label is None else (52 + 5 * min(9, len(m.group()))) / 100))
+                last = label
+            out.append(tokens)
+        return out
+
+    return tag
+
+
+lexicon_tagger = tagger_of(LEXICON)
 
 
 def decoded(text: str, tokens: list[Token], threshold: float) -> list[tuple[str, str, int, int, float]]:
@@ -165,11 +172,11 @@ def _quoted(words: list[str]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-def entities_sql(texts: str, threshold: float = 0.7) -> str:
-    """extract_entities() of cleaned texts (doc_id, text), in SQL: chunks by recursion, tokens by their gaps, and the greedy choice by recursion."""
+def entities_sql(texts: str, threshold: float = 0.7, lexicon: dict[str, list[str]] = LEXICON) -> str:
+    """extract_entities() of texts (doc_id, text) as they are, in SQL: chunks by recursion, tokens by their gaps, and the greedy choice by recursion."""
     cut = "substring(t, {0} - 99, 100)"
     stop = f"CASE WHEN {{0}} >= n THEN n WHEN contains({cut}, '.') THEN {{0}} - instr(reverse({cut}), '.') + 1 ELSE {{0}} END"
-    label = "CASE " + " ".join(f"WHEN lower(w) IN ({_quoted(ws)[1:-1]}) THEN '{x}'" for x, ws in LEXICON.items()) + " END"
+    label = "CASE " + " ".join(f"WHEN lower(w) IN ({_quoted(ws)[1:-1]}) THEN '{x}'" for x, ws in lexicon.items()) + " END"
     return rf"""WITH RECURSIVE d AS (SELECT doc_id, text AS t, CAST(length(text) AS BIGINT) AS n FROM ({texts}) WHERE text <> ''),
     c AS (SELECT doc_id, t, n, CAST(0 AS BIGINT) AS a, CASE WHEN n <= 512 THEN n ELSE {stop.format('400')} END AS b FROM d
         UNION ALL SELECT doc_id, t, n, b - 50, {stop.format('(b + 350)')} FROM c WHERE b < n),

@@ -40,6 +40,14 @@ def cleaned(s, d):
     return texts(s, d).select("doc_id", clean_text(F.col("text")).alias("text"))
 
 
+#: Words that the raw documents have: of licenses and of addresses.
+RAW_LEXICON = {"LICENSE": ["license", "licensed", "version", "public", "rights", "reserved", "apache", "general"], "CONTACT": ["example", "token", "https", "email"]}
+
+
+def _raw_entities(s, d):
+    return X.extract_entities(docs(s, d).filter("doc_id is not null"), X.tagger_of(RAW_LEXICON), clean=False)
+
+
 def _extracted_relations(s, d):
     return X.extract_relations(X.extract_entities(texts(s, d)), cleaned(s, d))
 
@@ -57,9 +65,9 @@ def _served(s, d):
 QUERIES = {
     "term_services": _served,
     "extract_entities": lambda s, d: X.extract_entities(texts(s, d)),
-    "extract_entities_documents": lambda s, d: X.extract_entities(docs(s, d), fallback=True),
+    "extract_entities_documents": _raw_entities,
     "extract_relations": _extracted_relations,
-    "extract_relations_documents": lambda s, d: X.extract_relations(X.extract_entities(docs(s, d), fallback=True), docs(s, d).select("doc_id", clean_text(F.col("text")).alias("text")), fallback=True),
+    "extract_relations_documents": lambda s, d: X.extract_relations(_raw_entities(s, d), docs(s, d)),
     "relation_texts": lambda s, d: X.relation_texts(_extracted_relations(s, d), X.extract_entities(texts(s, d))),
     "entity_counts_by_label": lambda s, d: X.extract_entities(texts(s, d)).groupBy("label").agg(F.count("*").alias("n")),
     "bio_decode": lambda s, d: N.bio_decode(N.stub_tags(ids(s, d))),
@@ -134,7 +142,12 @@ def _cascade_sql(variations: str) -> str:
     LEFT JOIN (SELECT k.*, d.display FROM ({_COSINE}) k JOIN ({DICTIONARY_SQL}) d ON d.system = k.system AND d.term = k.near) c ON c.system = t.system AND c.term = t.term"""
 
 
+RAW_SQL = "SELECT doc_id, text FROM documents WHERE doc_id IS NOT NULL"
+_RAW_ENTITIES = X.entities_sql(RAW_SQL, lexicon=RAW_LEXICON)
+
 ORACLES = {
+    "extract_entities_documents": _RAW_ENTITIES,
+    "extract_relations_documents": X.relations_numbered_sql(N.relations_sql(N.pairs_sql(f"SELECT doc_id, e, label, start, stop FROM ({_RAW_ENTITIES})"), RAW_SQL)),
     "extract_entities": EXTRACTED_SQL,
     "extract_relations": _EXTRACTED_RELATIONS,
     "relation_texts": f"SELECT r.doc_id, r.id, s.text || ' --[' || relation || ']--> ' || t.text AS line FROM ({_EXTRACTED_RELATIONS}) r JOIN ({EXTRACTED_SQL}) s ON s.doc_id = r.doc_id AND s.e = s_e JOIN ({EXTRACTED_SQL}) t ON t.doc_id = r.doc_id AND t.e = t_e",

@@ -163,9 +163,11 @@ def parsed_sections(parsed: DataFrame) -> DataFrame:
     good = parsed.filter("text is not null").withColumn("doc_id", F.xxhash64("path"))
     with_heads = good.filter("size(headings) > 0").select("path", "text", "headings", F.posexplode("headings").alias("no", "h"))
     stop = F.coalesce(F.get("headings", F.col("no") + 1)["start"], F.length("text"))
-    own = with_heads.select("path", "no", F.col("h.text").alias("title"), F.col("h.level").alias("level"), F.col("h.start").alias("start"), stop.alias("stop"), F.trim(F.regexp_replace(F.substr(F.col("text"), F.col("h.start") + F.length("h.text") + 1, stop - F.col("h.start") - F.length("h.text")), r"^\s+|\s+\z", "")).alias("content"))
+    own = with_heads.select("path", "no", F.col("h.text").alias("title"), F.col("h.level").alias("level"), F.col("h.start").alias("start"), stop.alias("stop"), F.regexp_replace(F.substr(F.col("text"), F.col("h.start") + F.length("h.text") + 1, stop - F.col("h.start") - F.length("h.text")), r"^\s+|\s+\z", "").alias("content"))
     rest = good.filter("headings is null or size(headings) = 0").select("doc_id", "path", "text")
-    known = sections_with_text(rest)
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+\z", "")
+    # content runs on by the title's length there, for the cues of short sections
+    known = sections_with_text(rest).withColumn("content", bare(F.substr(F.col("content"), F.lit(1), F.col("stop") - F.col("start") - F.length("title"))))
     enough = known.groupBy("doc_id").count().filter("count > 1").select("doc_id")
     none = F.lit(None).cast("int").alias("level")
     columns = ["doc_id", "no", "title", none, "start", "stop", "content"]
