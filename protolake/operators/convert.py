@@ -149,7 +149,10 @@ _PARSED = """resourceType string, status string, kind string, action array<struc
 
 
 def fhir_validation(resources: DataFrame) -> DataFrame:
-    """resource rows of fhir_resources(): protocol_id, resource_type, no, issue: type, required elements, allowed values, structure of actions, conditions, participants, codings and items, and references to activities that are not there."""
+    """resource rows of fhir_resources(): protocol_id, resource_type, no, issue: type, required elements, allowed values, structure of actions, conditions, participants, codings and items, and references to activities that are not there.
+
+    The issues' texts are fixed values.
+    """
     raw = lambda path: F.get_json_object("resource", f"$.{path}")
     of = lambda kind: F.col("resource_type") == kind
     held = resources.withColumn("x", F.from_json("resource", _PARSED))

@@ -193,25 +193,31 @@ def with_context(entities: DataFrame, texts: DataFrame, window: int = 200) -> Da
     return entities.join(texts.select("doc_id", F.col("text").alias("whole_text")), "doc_id").withColumn("context", look("whole_text", "start", "stop")).drop("whole_text")
 
 
+# fixed values: marks of fonts, what each turns into, and what that changes
+FONT_MARKS = [(r'(?i)<font[\s="\w]+bold[\s="\w]+>', "<bold>"), (r'(?i)<font[\s="\w]+italic[\s="\w]+>', "<italic>"), (r'<font[\s="\w]+>', "<font>")]
+FONT_CHANGES = {
+    "<bold>": {"bold": True}, "</bold>": {"bold": False}, "<italic>": {"italic": True}, "</italic>": {"italic": False}, "<font>": {"font": "unknown"},
+    "</font>": {"font": "default", "bold": False, "italic": False},
+}
+_FONT_TOKEN = re.compile("|".join(FONT_CHANGES))
+PLAIN = {"font": "default", "bold": False, "italic": False}
+
+
 def font_segments(text: str) -> list[tuple[str, str, bool, bool]]:
-    """(text, font, bold, italic) of the runs between font marks; a text without marks is one run."""
-    if not re.search(r'<font[\s="\w]+>|</font>', text):
-        return [(text, "default", False, False)]
-    text = re.sub(r'<font[\s="\w]+bold[\s="\w]+>', "<bold>", text, flags=re.I)
-    text = re.sub(r'<font[\s="\w]+italic[\s="\w]+>', "<italic>", text, flags=re.I)
-    text = re.sub(r'<font[\s="\w]+>', "<font>", text)
-    state, out = {"font": "default", "bold": False, "italic": False}, []
-    changes = {"<bold>": {"bold": True}, "<italic>": {"italic": True}, "<font>": {"font": "unknown"}, "</bold>": {"bold": False}, "</italic>": {"italic": False}, "</font>": {"font": "default", "bold": False, "italic": False}}
-    run = ""
-    for token in re.split(r"(</?(?:font|bold|italic)>)", text):
-        if token not in changes:
-            run += token
-            continue
+    """(text, font, bold, italic) of the runs between font marks; a text without font marks is one run, whatever else it holds."""
+    if not re.search(FONT_MARKS[-1][0], text) and "</font>" not in text:
+        return [(text, *PLAIN.values())]
+    for mark, token in FONT_MARKS:
+        text = re.sub(mark, token, text)
+    out, state, at = [], dict(PLAIN), 0
+    for m in [*_FONT_TOKEN.finditer(text), None]:
+        run = text[at : m.start() if m else len(text)]
         if run:
             out.append((run, *state.values()))
-            run = ""
-        state |= changes[token]
-    return [*out, (run, *state.values())] if run else out
+        if m:
+            state |= FONT_CHANGES[m.group()]
+            at = m.end()
+    return out
 
 
 def segment_by_font(docs: DataFrame) -> DataFrame:
