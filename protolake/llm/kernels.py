@@ -46,7 +46,7 @@ def joined_bytes(texts: pa.Array, sep: bytes = b" ") -> tuple[bytes, np.ndarray]
     return sep.join([*blobs, b""]), np.concatenate([[0], np.cumsum(lengths)])
 
 
-def chunks(texts: pa.Array, most: int = 1_000_000):
+def chunks(texts: pa.Array, most: int = 400_000):
     """(first, last) ranges of rows whose texts together have about ``most`` bytes."""
     sizes = np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(float)) if len(texts) else np.zeros(0)
     part = (np.cumsum(sizes) // most).astype(np.int64)
@@ -54,7 +54,7 @@ def chunks(texts: pa.Array, most: int = 1_000_000):
     return [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
-def batch_chunks(batches, column: str = "text", most: int = 1_000_000):
+def batch_chunks(batches, column: str = "text", most: int = 400_000):
     """Slices of record batches, each with about ``most`` bytes in ``column``."""
     for batch in batches:
         texts = batch.column(column)

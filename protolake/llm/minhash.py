@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from protolake.llm.components import components
 from protolake.llm.kernels import BYTE_VALUES, SPACES, batch_chunks, joined_bytes, mixed, span_hashes, word_spans
 from protolake.llm.rows import unused
-from protolake.llm.storage import stored
+from protolake.llm.storage import small_batches, stored
 
 SHINGLE, BANDS, ROWS, BATCH = 5, 32, 4, 16
 PERCENT, MISS = 75, 1e-6
@@ -113,7 +113,7 @@ def sign(df: DataFrame) -> DataFrame:
                 "bands": pa.array([bands[k] if k >= 0 else None for k in place.tolist()], pa.list_(pa.int64())), "sig": pa.array([low[k].tobytes() if k >= 0 else None for k in place.tolist()], pa.binary()),
             })
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SIGNED)
+    return small_batches(df).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SIGNED)
 
 
 @cache

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from protolake.llm.encode import tokenizer_path, worker_encoder
 from protolake.llm.kernels import batch_chunks
-from protolake.llm.storage import stored
+from protolake.llm.storage import small_batches, stored
 from protolake.llm.token_files import with_end
 
 CAPACITY = 1024
@@ -80,7 +80,7 @@ def token_pieces(df: DataFrame, end_id: int = 2, capacity: int = CAPACITY, token
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(take), "row_id": batch.column("row_id").take(take), "piece": pa.array(doc * 0 + np.arange(len(doc)) - np.searchsorted(doc, doc), pa.int32()), "start": start, "length": length, "ids_crc32": np.array(crc, np.int64)})
 
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, PIECES)
+    return small_batches(rows).mapInArrow(cut, PIECES)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = 20_000) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from protolake.llm.kernels import batch_chunks
+from protolake.llm.storage import small_batches
 
 
 def position(df: DataFrame, name: str) -> int:
@@ -54,4 +55,4 @@ def judged(df: DataFrame, text: str, added: list[StructField], judge: Callable[[
             else:
                 yield pa.RecordBatch.from_pydict(dict(zip(rows.schema.names, rows.columns)) | {f"a{k}": x for k, x in enumerate(found)})
 
-    return sent.mapInArrow(run, out).toDF(*[names[k] for k in stay], *([] if keep else [f.name for f in added]))
+    return small_batches(sent).mapInArrow(run, out).toDF(*[names[k] for k in stay], *([] if keep else [f.name for f in added]))

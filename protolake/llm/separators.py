@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from protolake.llm.encode import tokenizer_path, worker_encoder
 from protolake.llm.kernels import batch_chunks
-from protolake.llm.storage import open_to_read, open_to_write, scratch, stored
+from protolake.llm.storage import open_to_read, open_to_write, scratch, small_batches, stored
 from protolake.llm.token_files import with_end
 
 END_ID = 50256
@@ -60,7 +60,7 @@ def write_flat_files(df: DataFrame, path: str, end_id: int = END_ID, tokenizer:
             yield pa.RecordBatch.from_pydict({"path": pa.array([uri]), "ordinal": pa.nulls(1, pa.int64()), "doc_id": pa.nulls(1, pa.int64()), "n_bytes": pa.array([size]), "id_bytes": pa.array([width], pa.int32())})
 
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stored(rows.mapInArrow(write, WRITTEN), "flat-files")
+    return stored(small_batches(rows).mapInArrow(write, WRITTEN), "flat-files")
 
 
 def scan_flat_files(files: DataFrame, end_id: int = END_ID, block_bytes: int = 4 << 20, task_bytes: int = 256 << 20) -> DataFrame:

@@ -34,6 +34,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_UNSET = "67108864b"  # Spark's own value
+
+
+def small_batches(df: DataFrame, most: str = "4m") -> DataFrame:
+    """df, after setting the bytes that a batch of rows for Python may hold in this session, unless the session has a bound of its own: Spark's is 64 MB, for each task and in both processes."""
+    if df.sparkSession.conf.get(_BATCH) == _UNSET:
+        df.sparkSession.conf.set(_BATCH, most)
+    return df
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from protolake.llm.encode import tokenizer_path, worker_encoder
 from protolake.llm.kernels import batch_chunks, ragged
-from protolake.llm.storage import open_to_read, open_to_write, scratch, stored
+from protolake.llm.storage import open_to_read, open_to_write, scratch, small_batches, stored
 
 BLOCK = 128
 _MAGIC = b"PFOR1\0\0\0"
@@ -195,7 +195,7 @@ def write_token_files(df: DataFrame, path: str, end_id: int = 0, tokenizer: str
 
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = ("doc_id", F.xxhash64("text"))
-    return stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(write, MANIFEST), "token-manifest")
+    return stored(small_batches(rows).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(write, MANIFEST), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame, most_ids: int = 1 << 20) -> DataFrame:
