@@ -152,23 +152,21 @@ def type_counts(text: Column) -> dict[str, Column]:
     return {x: count(ps) for x, ps in DOCUMENT_TYPES.items()}
 
 
-def type_of(text: Column) -> Column:
-    """The kind whose phrases stand most often (declared order wins ties), else unknown."""
-    best = lambda n: F.greatest(*[n[x] for x in DOCUMENT_TYPES])
-
-    def name(n: Column) -> Column:
-        out = F.lit("unknown")
-        for x in reversed(DOCUMENT_TYPES):
-            out = F.when((n[x] == best(n)) & (best(n) > 0), x).otherwise(out)
-        return out
-
-    return let(F.struct(*[c.alias(x) for x, c in type_counts(text).items()]), name)
+def type_in(text: str) -> str:
+    """The kind whose phrases stand most often in a text (declared order wins ties), else unknown."""
+    low = text.lower()
+    counts = {x: sum(low.count(p) for p in ps) for x, ps in DOCUMENT_TYPES.items()}
+    best = max(counts, key=counts.get)
+    return best if counts[best] else "unknown"
 
 
 def detect_document_type(texts: DataFrame) -> DataFrame:
-    """document_type as type_of() has it; counts by kind."""
-    n = texts.select("doc_id", *[c.alias(x) for x, c in type_counts(F.col("text")).items()], type_of(F.col("text")).alias("document_type"))
-    return n
+    """document_type as type_in() has it, from counts by kind."""
+    n = texts.select("doc_id", *[c.alias(x) for x, c in type_counts(F.col("text")).items()])
+    best, out = F.greatest(*[F.col(x) for x in DOCUMENT_TYPES]), F.lit("unknown")
+    for x in reversed(DOCUMENT_TYPES):
+        out = F.when((F.col(x) == best) & (best > 0), x).otherwise(out)
+    return n.select("*", out.alias("document_type"))
 
 
 def document_type_sql(source: str) -> str:
