@@ -3,7 +3,7 @@
 The tagger is a function of the caller: texts in, for each the tokens' (start,
 stop, tag, confidence). It runs in Arrow batches, so a model is loaded once for
 each worker. The one here needs no model: it knows a few words. Everything of a
-text happens in its row; nothing is shuffled before entities are paired.
+text happens in its row; pairs of entities are made in a row of their document and never shuffled.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from protolake.functions.text import clean_text
-from protolake.operators.entities import classify_relations, entity_pairs
+from protolake.operators.entities import Cues, Judge, Model, relations_of, sliced
 from protolake.operators.profile import chunks_of
 from protolake.refdata import CUED_ENTITY_RULES
 
@@ -32,6 +32,8 @@ LEXICON = {
     "TIMEPOINT": ["week", "weeks", "day"],
 }
 _TOKEN = re.compile(r"[A-Za-z0-9]+")
+#: Rows of a batch that goes back to Spark.
+OUT_ROWS = 20_000
 SCHEMA = "e int, text string, label string, start int, stop int, confidence double"
 
 
@@ -143,18 +145,43 @@ def extract_entities(docs: DataFrame, tagger: Tagger = lexicon_tagger, threshold
     return out.select("doc_id", F.posexplode("found").alias("e", "x")).select("doc_id", "e", "x.text", "x.label", "x.start", "x.stop", F.round("x.confidence", 6).alias("confidence"))
 
 
-def extract_relations(entities: DataFrame, texts: DataFrame, threshold: float = 0.5, fallback: bool = False, model: Callable[[str, int, int], tuple[str | None, float]] | None = None) -> DataFrame:
+def extract_relations(entities: DataFrame, texts: DataFrame, threshold: float = 0.5, fallback: bool = False, model: Model | None = None) -> DataFrame:
     """doc_id, id (rel1, rel2, ... in order of the pairs), s_e, t_e, relation, confidence of entities of their texts (doc_id, text).
 
-    fallback: a document without a relation is tried again at 0.8 of the threshold. model: see classify_relations().
+    fallback: a document without a relation is tried again at 0.8 of the threshold. model: see classify_relations(); it is asked once for a pair and its reverse.
+    A document's entities meet its texts in one row. Pairs are made and judged there, a few documents at a time, and never shuffled.
     """
     least = 0.8 * threshold if fallback else threshold
-    found = classify_relations(entity_pairs(entities), texts, least=least, model=model)
-    if fallback:
-        any_sure = F.max(F.col("confidence") >= threshold).over(Window.partitionBy("doc_id"))
-        found = found.withColumn("any", any_sure).filter(~F.col("any") | (F.col("confidence") >= threshold)).drop("any")
-    order = Window.partitionBy("doc_id").orderBy("s_e", "t_e")
-    return found.select("doc_id", F.concat(F.lit("rel"), F.row_number().over(order).cast("string")).alias("id"), "s_e", "t_e", "relation", "confidence")
+    names = ("e", "label", "start", "stop")
+
+    def found(mine: list[dict], judges: list[Judge]) -> Iterator[tuple[int, int, str, float]]:
+        related = lambda lowest: (x for x in relations_of([tuple(y[c] for c in names) for y in mine], judges) if x[3] >= lowest)
+        return related(threshold if least < threshold and any(True for _ in related(threshold)) else least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cues = Cues()
+        ids, rows = [], []
+        for b in sliced(batches):
+            for doc_id, mine, own in zip(*(b.column(c).to_pylist() for c in ("doc_id", "entities", "texts"))):
+                for n, x in enumerate(found(mine, [Judge(cues, t, model) for t in own]), 1):
+                    ids.append((doc_id, n))
+                    rows.append(x)
+                    if len(rows) == OUT_ROWS:
+                        yield packed(ids, rows)
+                        ids, rows = [], []
+        if rows:
+            yield packed(ids, rows)
+
+    def packed(ids: list[tuple], rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((*zip(*ids), *zip(*rows)), schema)], schema=schema)
+
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("s_e", pa.int32()), ("t_e", pa.int32()), ("relation", pa.string()), ("confidence", pa.float64())])
+    whole = entities.dropna(subset=["e", "start", "stop"])
+    mine = whole.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("entities"))
+    own = texts.groupBy("doc_id").agg(F.collect_list(F.coalesce("text", F.lit(""))).alias("texts"))
+    both = mine.join(own, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "entities", "texts")
+    out = both.mapInArrow(run, "doc_id long, n int, s_e int, t_e int, relation string, confidence double")
+    return out.select("doc_id", F.concat(F.lit("rel"), F.col("n").cast("string")).alias("id"), "s_e", "t_e", "relation", "confidence")
 
 
 def filter_relations(relations: DataFrame, least: float = 0.5) -> DataFrame:

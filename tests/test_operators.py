@@ -402,3 +402,33 @@ def test_log_of_runs(spark):
     runs, found = spark.createDataFrame([(1, 2.0), (2, 4.0)], "run long, seconds double"), spark.createDataFrame([(1, 0.5), (1, 0.7)], "run long, confidence double")
     log = Q.record_errors(Q.record_extractions(Q.new_log(spark), runs, found), runs.select("run"))
     assert tuple(Q.metrics(log).first()) == (3.0, 0.6, 1.0, 0.5) and Q.metrics(Q.new_log(spark)).first()["error_rate"] == 0.0
+
+
+def test_relations_are_made_in_their_documents_row(spark):
+    """As pairs and their verdicts give them, without a shuffle of pairs: with ids used twice, far entities, texts that are null."""
+    import random
+
+    from pyspark.sql import Window
+
+    from protolake.operators import extraction as X
+
+    r = random.Random(5)
+    words, labels = ["filler", "words", "before", "with", "causes", "İ", "prior to"], ["MEDICATION", "CONDITION", "ELIGIBILITY", "PROCEDURE", "TIMEPOINT", None]
+    texts = [(d, " ".join(r.choices(words, k=r.choice([0, 30, 600])))) for d in range(12)] + [(3, "metformin before asthma"), (4, None), (None, "x"), (99, "no entities")]
+    rows = [(d, e, r.choice(labels), a, a + r.randint(1, 40)) for d in range(14) for e in range(r.choice([1, 9, 40])) for a in [r.randint(0, 3000)]] + [(5, e, "CONDITION", 7 * e, 7 * e + 5) for e in range(4)] + [(None, 0, "CONDITION", 0, 5)]
+    ents = spark.createDataFrame(rows, "doc_id long, e int, label string, start int, stop int")
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = X.extract_relations(ents, docs)
+    cols = ["doc_id", "s_e", "t_e", "relation", "confidence"]
+    slow = N.classify_relations(N.entity_pairs(ents), docs)
+    got, want = ([tuple(x) for x in df.select(*cols).collect()] for df in (found, slow))
+    assert len(got) > 500 and sorted(got) == sorted(want)
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("s_e", "t_e"))
+    ids = [sorted(tuple(x) for x in df.select("doc_id", "id", "s_e", "t_e").collect()) for df in (found, slow.withColumn("id", F.concat(F.lit("rel"), number)))]
+    assert ids[0] == ids[1]
+    low = [x for x in (tuple(x) for x in N.classify_relations(N.entity_pairs(ents), docs, least=0.8 * 0.7).select(*cols).collect())]
+    sure = {x[0] for x in low if x[4] >= 0.7}
+    again = [tuple(x) for x in X.extract_relations(ents, docs, 0.7, fallback=True).select(*cols).collect()]
+    assert sorted(again) == sorted(x for x in low if x[0] not in sure or x[4] >= 0.7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan and plan.count("Exchange hashpartitioning") == 2
