@@ -78,8 +78,10 @@ def _aged(s, d):
 
 
 def _sizes(s, d):
-    n = F.col("doc_id") * F.col("doc_id") * F.col("doc_id") * 64
-    return ids(s, d).select("doc_id", file_size_text(n).alias("size"), month_number(F.get(F.array(*[F.lit(m) for m in [*MONTHS, "No month"]]), (F.col("doc_id") % 13).cast("int"))).alias("month"))
+    """Bytes made from the id, exact up to 38 digits and then as a double: 64 cubes pass a long from the id 2^19 on."""
+    i, x = F.col("doc_id").cast("decimal(38,0)"), F.col("doc_id").cast("double")
+    exact = F.try_multiply(F.try_multiply(F.try_multiply(i, i), i), F.lit(64).cast("decimal(38,0)"))
+    return ids(s, d).select("doc_id", F.coalesce(file_size_text(exact), file_size_text(x * x * x * 64)).alias("size"), month_number(F.get(F.array(*[F.lit(m) for m in [*MONTHS, "No month"]]), (F.col("doc_id") % 13).cast("int"))).alias("month"))
 
 
 QUERIES = {

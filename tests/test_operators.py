@@ -404,6 +404,16 @@ def test_log_of_runs(spark):
     assert tuple(Q.metrics(log).first()) == (3.0, 0.6, 1.0, 0.5) and Q.metrics(Q.new_log(spark)).first()["error_rate"] == 0.0
 
 
+def test_sizes_go_on_beyond_a_long(spark, tmp_path):
+    from protolake.queries.extension import QUERIES
+
+    ids = [None, 2, 27, 600, 524_287, 524_288, 599_999, 10**13]
+    spark.createDataFrame([(i, "") for i in ids], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["size"] for r in QUERIES["file_sizes"](spark, str(tmp_path)).collect()}
+    assert float(got.pop(10**13).removesuffix(" GB")) == pytest.approx(64e39 / 2**30)
+    assert got == {2: "512 B", 27: "1.2 MB", 600: "12.9 GB", 524_287: "8589885440.1 GB", 524_288: "8589934592.0 GB", 599_999: "12874538898.6 GB"}
+
+
 def test_relations_are_made_in_their_documents_row(spark):
     """As pairs and their verdicts give them, without a shuffle of pairs: with ids used twice, far entities, texts that are null."""
     import random
