@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from protolake.llm.storage import rest
+
 
 def labelled_rows(docs: DataFrame, marks: DataFrame, per_label: int | dict, most_chars: int = 8_000_000):
     """A bounded sample of labelled rows off the held-out fold: (texts, labels, rows of each label), in the order of a hash.
@@ -51,6 +53,7 @@ def labelled_rows(docs: DataFrame, marks: DataFrame, per_label: int | dict, most
     chosen = chosen.select("label", "most", "text", h.alias("h")).withColumn("k", F.row_number().over(order)).filter("k <= most")
     before = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = [(r["h"], r["text"], r["label"]) for r in chosen.withColumn("before", before).filter(F.col("before") < most_chars).select("h", "text", "label").collect()]
+    rest(spark)  # before the training
     parts.sort(key=lambda x: x[:2])
     return [x[1] for x in parts], [x[2] for x in parts], {v: sum(n.values()) for v, n in by_level.items()}
 

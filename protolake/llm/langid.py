@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField
 
-from protolake.llm.kernels import ragged
+from protolake.llm.kernels import give_back, ragged
 from protolake.llm.labels import is_held_out, labelled_rows
 from protolake.llm.rows import judged
 from protolake.llm.words import read_words
@@ -44,9 +44,9 @@ def has_letter(text: str | None) -> bool:
 def negatives(texts: list[str], n: int, rng: np.random.Generator, words: int = 40) -> list[str]:
     """n texts of no language: runs of words of the texts with their letters shuffled over the run, words of letters of one alphabet, of consonants, or of shuffled syllables."""
     out = []
-    split = [x.split() for x in texts if x and x.split()]
-    for k in range(n if split else 0):
-        own = split[int(rng.integers(len(split)))]
+    worded = [x for x in texts if x and not x.isspace()]
+    for k in range(n if worded else 0):
+        own = worded[int(rng.integers(len(worded)))].split()
         at = int(rng.integers(max(1, len(own) - words)))
         run = own[at : at + int(rng.integers(3, words + 1))]
         lengths = [len(w) for w in run]
@@ -104,7 +104,9 @@ def train_languages(texts: list[str], labels: list[str], buckets: int = 1 << 16,
     bad = negatives(texts, made, rng)
     texts, y = [*texts, *bad], np.array([languages.index(x) for x in labels] + [k] * len(bad))
     words = read_words(texts)
+    give_back()
     spots, whose = words.subwords(buckets, SIZES, ordered=True)
+    give_back()
     per = np.bincount(whose, minlength=words.n)
     first = np.cumsum(per) - per
     n_words = np.bincount(words.doc, minlength=len(texts))
@@ -200,7 +202,10 @@ def fit_languages(df: DataFrame, per_label: int = 500, most_chars: int = 4_000_0
     """Train on documents' text and lang: at most per_label whole texts of each lang, and of each no more once they hold most_chars characters; every lang is learned."""
     docs = df.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").alias("label"))
     texts, labels, _ = labelled_rows(docs, None, per_label, most_chars)
-    return train_languages(texts, labels) if texts else LanguageModel([UNKNOWN], np.zeros((1, 1)), np.zeros(1), 1.0, 0.0)
+    model = train_languages(texts, labels) if texts else LanguageModel([UNKNOWN], np.zeros((1, 1)), np.zeros(1), 1.0, 0.0)
+    del texts, labels
+    give_back()
+    return model
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

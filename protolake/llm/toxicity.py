@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField
 
-from protolake.llm.kernels import ragged
+from protolake.llm.kernels import give_back, ragged
 from protolake.llm.labels import is_held_out, labelled_rows
 from protolake.llm.rows import judged
 from protolake.llm.words import Words, read_words
@@ -211,6 +211,7 @@ def train_toxicity(texts: list[str], labels: list[int], prior: float = 0.1, step
     y = np.array(labels, np.int64)
     p = new_parameters(rng)
     words = read_words(texts, BREAK)
+    give_back()
     counts = np.bincount(words.doc, minlength=len(texts))
     begin = np.cumsum(counts) - counts
     held = np.arange(len(texts)) % 5 == 4
@@ -220,6 +221,7 @@ def train_toxicity(texts: list[str], labels: list[int], prior: float = 0.1, step
         model.shift = -5.0
         return model
     every = Subwords.of(words)
+    give_back()
     dense = [k for k in p if k not in ("words", "chars")]
     mean, square = {k: np.zeros_like(p[k]) for k in dense}, {k: np.zeros_like(p[k]) for k in dense}
     gathered = {k: np.full(len(p[k]), 1e-3, np.float32) for k in ("words", "chars")}
@@ -311,7 +313,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 800, clean
     """
     marks = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     texts, found, counts = labelled_rows(docs.select("doc_id", F.col("text").cast("string").alias("text")), marks, {0: clean_rows, 1: per_label}, most_chars)
-    return train_toxicity(texts, found, (counts.get(1, 0) + 1) / (sum(counts.values()) + 2))
+    model = train_toxicity(texts, found, (counts.get(1, 0) + 1) / (sum(counts.values()) + 2))
+    del texts, found
+    give_back()
+    return model
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", only_clean: bool = False) -> DataFrame:

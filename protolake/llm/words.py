@@ -13,7 +13,7 @@ _BREAK = np.array([c < 0x80 and not chr(c).isalpha() for c in range(256)])
 _FOLD = np.array([c + 32 if 0x41 <= c <= 0x5A else c for c in range(256)], np.uint8)
 
 
-def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, buckets: int, sizes: tuple[int, ...] = (1, 2, 3, 4), ordered: bool = False, block: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, buckets: int, sizes: tuple[int, ...] = (1, 2, 3, 4), ordered: bool = False, block: int = 1 << 13) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each subword of each word, and the word it belongs to (ordered: word by word). data: bytes, folded, a break after each word.
 
     Subwords: the whole word, and all n-grams of bytes of the word between two marks.

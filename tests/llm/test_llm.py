@@ -1,7 +1,9 @@
 """The training-data operators: small cases, brute force, round trips, held-out accuracy."""
 
+import gc
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -677,3 +679,27 @@ def test_sifting_by_bitmaps_is_exact(spark, odd):
         out = minhash.without(rows, ids, bits)
         assert out.columns == rows.columns and sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out.collect()) == sorted((x is None, x or 0) for x in all_ids if x not in inside)
     assert minhash.without(rows, ids.filter("doc_id < 0")).count() == len(all_ids)
+
+
+def test_driver_gives_free_memory_back(spark):
+    jvm, server = spark.sparkContext._jvm, spark.sparkContext._jvm.java.lang.management.ManagementFactory
+    collected = lambda: sum(b.getCollectionCount() for b in server.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    storage._next_rest = 0.0
+    kept = [jvm.java.nio.ByteBuffer.allocate(50_000_000) for _ in range(6)]
+    held = jvm.java.lang.Runtime.getRuntime().totalMemory()
+    del kept
+    gc.collect()
+    before = collected()
+    assert storage.stored(spark.range(3), "rest").count() == 3
+    assert collected() == before + 1 and jvm.java.lang.Runtime.getRuntime().totalMemory() <= held
+    assert storage.stored(spark.range(3), "rest").count() == 3 and collected() == before + 1  # not again at once
+    storage._next_rest = 0.0
+
+
+def test_negatives_hold_no_words_of_all_texts():
+    texts = [f"{LONG} {k}" for k in range(40)] + [" \n", "", None]
+    tracemalloc.start()
+    made = langid.negatives(texts, 30, np.random.default_rng(2))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(made) == 30 and most < 20e6, most
